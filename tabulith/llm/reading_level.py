@@ -36,8 +36,12 @@ SAID = re.compile(r"(?mi)^.{0,80}\b(?:wrote|said|says):[ \t]*$")
 BREAK = re.compile(r"(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|h\d|tr|table)\b[^>]*>")
 BB = re.compile(r"\[/?[A-Za-z*]+(?:=[^\]\n]{0,200})?\]")
 SIGNATURE = re.compile(r"\n[ \t]*(?:-{2,3}|_{3,}|={3,})[ \t]*\n(?=((?:[^\n]*\n?){1,6})\Z)")
-URL = re.compile(r"(?i)\b(?:https?://|www\.)\S+|\S+\.invalid\S*")
+URL = re.compile(r"(?i)\b(?:https?://|www\.)\S+|\b[\w-]+\.(?:com|org|net|info|invalid|example|test)\b\S*")
+DIGIT = re.compile(r"\d")
+NUMBERED = re.compile(r"(?<!\S)[^\s\d]*\d")
+LONG = re.compile(r"\S{41}")
 SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n\s*\n")
+VOWELS = re.compile(r"[aeiouy]+")
 WRAP = re.compile(r"(?<=\w)-\n(?=\w)")
 
 # English words that only join or point.
@@ -51,54 +55,73 @@ def own_prose(text: str | None) -> list[str]:
     signatures are left out; a last paragraph of one short line counts as a signature if there are others before it."""
     if not text:
         return []
-    t = PRE.sub("\n\n", text.replace("\r\n", "\n"))
-    t = unescaped(t)
-    t = PRE.sub("\n\n", t)
-    for quote in (BB_QUOTE, HTML_QUOTE):
-        n = 1
-        while n:
-            t, n = quote.subn("\n", t)  # an outer quote that was cut off still ends at the next empty line
-    t = OPEN_QUOTE.sub("\n\n", t)
-    t = ORIGINAL.sub("\n\n", t)
+    t = text.replace("\r\n", "\n") if "\r" in text else text
+    # the patterns run only where what they look for is there: posts are many
+    code = "<" in t or "```" in t or "[" in t
+    t = unescaped(PRE.sub("\n\n", t) if code else t)
+    tagged, bracketed = "<" in t, "[" in t
+    if tagged or bracketed or "```" in t:
+        t = PRE.sub("\n\n", t)
+        for quote, there in ((BB_QUOTE, bracketed), (HTML_QUOTE, tagged)):
+            n = there
+            while n:
+                t, n = quote.subn("\n", t)  # an outer quote that was cut off still ends at the next empty line
+        t = OPEN_QUOTE.sub("\n\n", t)
+    if "Original Message" in t:
+        t = ORIGINAL.sub("\n\n", t)
     m = SIGNATURE.search(t)
     if m and len(m[1].split()) <= 30:
         t = t[: m.start()]
-    t = LINE_QUOTE.sub("\n", t)
-    t = SAID.sub("", t)
-    t = BREAK.sub("\n\n", t)
-    t = TAG.sub("", t)
-    t = BB.sub("", t)
-    t = URL.sub(" ", WRAP.sub("", t))
-    lines = []
-    for line in t.split("\n"):
-        parts = line.split()
-        if parts and (max(map(len, parts)) > 40 or sum(any(c.isdigit() for c in p) for p in parts) * 3 > len(parts)):
-            line = ""
-        lines.append(line.replace("_", "").replace("*", ""))
-    paragraphs = [p for p in re.split(r"\n\s*\n", "\n".join(lines)) if p.strip()]
+    if ">" in t:
+        t = LINE_QUOTE.sub("\n", t)
+    if ":\n" in t or t.endswith(":"):
+        t = SAID.sub("", t)
+    if tagged:
+        t = TAG.sub("", BREAK.sub("\n\n", t))
+    if bracketed:
+        t = BB.sub("", t)
+    if "-\n" in t:
+        t = WRAP.sub("", t)
+    if "." in t:
+        t = URL.sub(" ", t)
+    if DIGIT.search(t) or LONG.search(t):
+        t = "\n".join("" if LONG.search(x) or (DIGIT.search(x) and len(NUMBERED.findall(x)) * 3 > len(x.split())) else x for x in t.split("\n"))
+    t = t.replace("_", "").replace("*", "")
+    paragraphs = [p for p in re.split(r"\n\s*\n", t) if p.strip()]
     if len(paragraphs) > 1 and "\n" not in paragraphs[-1].strip() and len(paragraphs[-1].split()) < 12:
         paragraphs.pop()
     return [s for p in paragraphs for s in SENTENCE.split(p) if s and WORD.search(s)]
 
 
+_known: dict[str, tuple] = {}
+
+
+def _word(w: str) -> tuple:
+    """(length, syllables, subordinates, personal, no content, place of its count); kept, for texts use the same words again and again."""
+    x = _known.get(w)
+    if x is None:
+        if len(_known) > 200_000:
+            _known.clear()
+        x = _known[w] = (len(w), max(1, len(VOWELS.findall(w))), w in SUBORDINATE, w in PERSONAL, w in COMMON, 16 + xxhash.xxh32_intdigest(w) % VOCABULARY)
+    return x
+
+
 def features(sentences: list[str]) -> np.ndarray:
     """Syntax (lengths, clauses, commas), vocabulary (lengths, syllables, kinds of words) and hashed relative word counts."""
     out = np.zeros(16 + VOCABULARY, dtype=np.float64)
-    toks = [[w for w in WORD.findall(s.lower())] for s in sentences]
+    toks = [WORD.findall(s.lower()) for s in sentences]
     flat = [w for t in toks for w in t]
     if not flat:
         return out
     n, m = len(flat), len(toks)
-    lens = np.array([len(w) for w in flat])
-    per = np.array([len(t) for t in toks])
-    sub = sum(w in SUBORDINATE for w in flat)
-    content = [w for w in flat if w not in COMMON]
-    syl = sum(max(1, len(re.findall(r"[aeiouy]+", w))) for w in flat)
+    w = np.array([_word(x) for x in flat], dtype=np.int64)
+    lens, content = w[:, 0], w[:, 4] == 0
+    sub, marks = int(w[:, 2].sum()), sum(s.count(",") + s.count(";") + s.count(":") for s in sentences)
     out[:16] = (
         np.log(n / m),
         n / m / 10,
-        np.log(per.max()),
-        sum(s.count(",") + s.count(";") + s.count(":") for s in sentences) / m,
+        np.log(max(map(len, toks))),
+        marks / m,
         sub / m,
         sub / n * 10,
         lens.mean(),
@@ -106,13 +129,13 @@ def features(sentences: list[str]) -> np.ndarray:
         (lens >= 8).mean() * 5,
         (lens >= 11).mean() * 5,
         (lens >= 13).mean() * 5,
-        syl / n,
-        sum(w in PERSONAL for w in flat) / n * 10,
+        w[:, 1].mean(),
+        w[:, 3].mean() * 10,
         flat.count("of") / n * 10,
-        len(content) / n * 5,
-        np.mean([len(w) for w in content]) if content else 0,
+        content.mean() * 5,
+        lens[content].mean() if content.any() else 0,
     )
-    np.add.at(out[16:], [xxhash.xxh32_intdigest(w) % VOCABULARY for w in flat], 10 / n)
+    out[16:] = np.bincount(w[:, 5], minlength=16 + VOCABULARY)[16:] * (10 / n)
     return out
 
 
