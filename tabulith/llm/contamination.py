@@ -29,6 +29,7 @@ LEAST_MATCHED = 10  # a passage of twelve words of which two were altered
 LEAST_WORDS_WEIGHT = 11.0  # in words of mean weight
 BAND = 8
 CHUNK = 16_384
+FOOTHOLD = 6
 ITEM_BLOCK = 2_000
 
 
@@ -61,6 +62,7 @@ class Items:
                 start.append(p)
         used = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.int32)
         self.least = LEAST_WORDS_WEIGHT * float(self.weight[used].mean()) if len(used) else 0.0
+        self.runs = np.unique(np.concatenate([_codes(t) for t in self.tokens] or [np.zeros(0, np.uint64)]))
         self.windows = np.array(flat, dtype=np.int32).reshape(-1, WINDOW)
         self.item, self.start = np.array(item, dtype=np.int32), np.array(start, dtype=np.int32)
         self.hashes = self._hash_rows(self.windows)
@@ -170,6 +172,20 @@ class Items:
             prev = row
         return best
 
+    def footholds(self, texts: list[list[str]]) -> np.ndarray:
+        """Whether each text has ``FOOTHOLD`` words in sequence of some item: a quick test for what isn't a search for leaks itself."""
+        coded = [self.encode(t) for t in texts]
+        out = np.zeros(len(texts), bool)
+        lens = np.array([len(c) for c in coded], dtype=np.int64)
+        if lens.sum() < FOOTHOLD:
+            return out
+        toks = np.concatenate(coded)
+        doc = np.repeat(np.arange(len(coded)), lens)
+        n = len(toks) - FOOTHOLD + 1
+        at = np.flatnonzero((doc[:n] == doc[FOOTHOLD - 1 :]) & np.isin(_codes(toks), self.runs))
+        out[doc[at]] = True
+        return out
+
     def leaks(self, texts: list[list[str]]) -> list[tuple[int, int, int, list[int]]]:
         """(text, item, words matched, positions of the windows) of each item that a text holds a passage of."""
         coded = [self.encode(t) for t in texts]
@@ -209,6 +225,15 @@ class Items:
         return matched if matched >= LEAST_MATCHED and weight >= self.least and matched >= 0.7 * span else 0
 
 
+def _codes(toks: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``FOOTHOLD`` words."""
+    n = max(0, len(toks) - FOOTHOLD + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(FOOTHOLD):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + toks[k : k + n].astype(np.uint64) + np.uint64(1)
+    return out
+
+
 def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.contamination import Items, _items, item_blocks
-from tabulith.llm.text import TAG, WORD, unescaped, words
+from tabulith.llm.contamination import WINDOW, Items, _items, item_blocks
+from tabulith.llm.text import CONFUSABLE, TAG, WORD, unescaped
 
 MAX_LABELLED = 5_000
 PAIRS_PER_DOC = 200
@@ -93,54 +93,93 @@ def own_prose(text: str | None) -> list[str]:
     return [s for p in paragraphs for s in SENTENCE.split(p) if s and WORD.search(s)]
 
 
-_known: dict[str, tuple] = {}
+class _Words:
+    """Attributes of the words met so far: (length, syllables, subordinates, personal, common, is "of", place of its count)."""
 
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.table = np.zeros((0, 7), dtype=np.int64)
 
-def _word(w: str) -> tuple:
-    """(length, syllables, subordinates, personal, no content, place of its count); kept, for texts use the same words again and again."""
-    x = _known.get(w)
-    if x is None:
-        if len(_known) > 200_000:
-            _known.clear()
-        x = _known[w] = (len(w), max(1, len(VOWELS.findall(w))), w in SUBORDINATE, w in PERSONAL, w in COMMON, 16 + xxhash.xxh32_intdigest(w) % VOCABULARY)
-    return x
+    def of(self, words_: list[str]) -> np.ndarray:
+        if len(self.ids) > 300_000:
+            self.__init__()
+        ids, new = self.ids, []
+        for w in words_:
+            if w not in ids:
+                ids[w] = len(ids)
+                new.append((len(w), max(1, len(VOWELS.findall(w))), w in SUBORDINATE, w in PERSONAL, w in COMMON, w == "of", xxhash.xxh32_intdigest(w) % VOCABULARY))
+        if new:
+            self.rows += new
+            if len(self.rows) > len(self.table):
+                self.table = np.concatenate([self.table, np.array(new, dtype=np.int64)])
+        return self.table[[ids[w] for w in words_]]
 
 
-def features(sentences: list[str]) -> np.ndarray:
-    """Syntax (lengths, clauses, commas), vocabulary (lengths, syllables, kinds of words) and hashed relative word counts."""
-    out = np.zeros(16 + VOCABULARY, dtype=np.float64)
-    toks = [WORD.findall(s.lower()) for s in sentences]
-    flat = [w for t in toks for w in t]
-    if not flat:
-        return out
-    n, m = len(flat), len(toks)
-    w = np.array([_word(x) for x in flat], dtype=np.int64)
-    lens, content = w[:, 0], w[:, 4] == 0
-    sub, marks = int(w[:, 2].sum()), sum(s.count(",") + s.count(";") + s.count(":") for s in sentences)
-    out[:16] = (
-        np.log(n / m),
-        n / m / 10,
-        np.log(max(map(len, toks))),
-        marks / m,
-        sub / m,
-        sub / n * 10,
-        lens.mean(),
-        lens.std(),
-        (lens >= 8).mean() * 5,
-        (lens >= 11).mean() * 5,
-        (lens >= 13).mean() * 5,
-        w[:, 1].mean(),
-        w[:, 3].mean() * 10,
-        flat.count("of") / n * 10,
-        content.mean() * 5,
-        lens[content].mean() if content.any() else 0,
-    )
-    out[16:] = np.bincount(w[:, 5], minlength=16 + VOCABULARY)[16:] * (10 / n)
-    return out
+_words = _Words()
+
+
+Post = tuple[list[str], list[list[str]]]  # sentences and their words
+
 
+def tokens(sentence: str) -> list[str]:
+    s = sentence.lower()
+    return WORD.findall(s if s.isascii() else s.translate(CONFUSABLE))
 
-def is_english(toks: list[str]) -> bool:
-    return bool(toks) and sum(w in COMMON for w in toks) >= 0.2 * len(toks)
+
+def features(posts: list[Post]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each post a row of features, the number of words, and whether they are English.
+
+    Features are those of syntax (lengths, clauses, commas), of vocabulary (lengths, syllables, kinds of words), and hashed relative
+    word counts. A text is English if a fifth of its words are ones that only join or point there.
+    """
+    k = len(posts)
+    flat: list[str] = []
+    n, m, longest, marks = (np.zeros(k) for _ in range(4))
+    for i, (sentences, toks) in enumerate(posts):
+        lens = []
+        for s, t in zip(sentences, toks, strict=True):
+            flat += t
+            lens.append(len(t))
+            marks[i] += s.count(",") + s.count(";") + s.count(":")
+        n[i], m[i], longest[i] = sum(lens), len(lens), max(lens, default=0)
+    out = np.zeros((k, 16 + VOCABULARY))
+    if not flat:
+        return out, n.astype(int), np.zeros(k, bool)
+    w = _words.of(flat)
+    doc = np.repeat(np.arange(k), n.astype(int))
+    total = lambda v: np.bincount(doc, v, k)
+    some = np.maximum(n, 1)
+    lens = w[:, 0].astype(float)
+    common = total(w[:, 4])
+    content = np.maximum(n - common, 1)
+    mean = total(lens) / some
+    sub = total(w[:, 2])
+    m = np.maximum(m, 1)
+    out[:, :16] = np.stack(
+        [
+            np.log(some / m),
+            n / m / 10,
+            np.log(np.maximum(longest, 1)),
+            marks / m,
+            sub / m,
+            sub / some * 10,
+            mean,
+            np.sqrt(np.maximum(total(lens**2) / some - mean**2, 0)),
+            total(lens >= 8) / some * 5,
+            total(lens >= 11) / some * 5,
+            total(lens >= 13) / some * 5,
+            total(w[:, 1]) / some,
+            total(w[:, 3]) / some * 10,
+            total(w[:, 5]) / some * 10,
+            (n - common) / some * 5,
+            total(lens * (w[:, 4] == 0)) / content,
+        ],
+        axis=1,
+    )
+    out[:, 16:] = np.bincount(doc * VOCABULARY + w[:, 6], minlength=k * VOCABULARY).reshape(k, VOCABULARY) * (10 / some)[:, None]
+    out[n == 0] = 0
+    return out, n.astype(int), (n > 0) & (common >= 0.2 * n)
 
 
 @dataclass
@@ -220,21 +259,22 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ranker:
     return Ranker(mean, scale, weights, cuts, levels)
 
 
-def _own(frame: pd.DataFrame, index: Items | None) -> list[list[str]]:
-    """Own sentences of each post, without those that belong to a pasted item."""
-    posts = [own_prose(t) for t in frame["t"]]
+def _own(frame: pd.DataFrame, index: Items | None) -> list[Post]:
+    """Own sentences of each post and their words, without those that belong to a pasted item."""
+    posts = [(p, [tokens(s) for s in p]) for p in map(own_prose, frame["t"])]
     if index is None:
         return posts
-    toks = [[words(s) for s in p] for p in posts]
-    flat = [[w for s in p for w in s] for p in toks]
+    flat = [[w for t in toks for w in t] for _, toks in posts]
+    near = np.flatnonzero(index.footholds(flat)).tolist()
     pasted: dict[int, np.ndarray] = {}
-    for k, _, _, at in index.leaks(flat):
-        mark = pasted.setdefault(k, np.zeros(len(flat[k]), bool))
+    for j, _, _, at in index.leaks([flat[k] for k in near]):
+        mark = pasted.setdefault(near[j], np.zeros(len(flat[near[j]]), bool))
         for p in at:
-            mark[p : p + 12] = True
+            mark[p : p + WINDOW] = True
     for k, mark in pasted.items():
-        ends = np.cumsum([len(s) for s in toks[k]])
-        posts[k] = [s for s, e, n in zip(posts[k], ends, map(len, toks[k]), strict=True) if n == 0 or mark[e - n : e].sum() < 0.5 * n]
+        ends = np.cumsum([len(t) for t in posts[k][1]])
+        kept = [(s, t) for s, t, e in zip(*posts[k], ends, strict=True) if not t or mark[e - len(t) : e].sum() < 0.5 * len(t)]
+        posts[k] = ([s for s, _ in kept], [t for _, t in kept])
     return posts
 
 
@@ -245,7 +285,7 @@ def _featured(docs: DataFrame, block, keep: list[str]) -> DataFrame:
             for a in range(0, len(f), 500):
                 part = f.iloc[a : a + 500]
                 posts = _own(part, index)
-                yield pd.DataFrame({"d": part["d"].to_numpy(), **{c: part[c].to_numpy() for c in keep}, "x": [features(p) for p in posts]})
+                yield pd.DataFrame({"d": part["d"].to_numpy(), **{c: part[c].to_numpy() for c in keep}, "x": list(features(posts)[0])})
 
     ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("d", *keep))
     return docs.mapInPandas(run, f"{ddl}, x array<double>")
@@ -293,10 +333,9 @@ def reading_levels(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
             for a in range(0, len(f), 500):
                 part = f.iloc[a : a + 500]
                 posts = _own(part, index)
-                toks = [WORD.findall(" ".join(p).lower()) for p in posts]
-                english = np.array([is_english(t) for t in toks])
-                score = model.score(np.array([features(p) for p in posts]))
-                yield pd.DataFrame({"doc_id": part["d"].to_numpy(), "own_words": [len(t) for t in toks], "english": english, "score": np.where(english, score, np.nan), "level": np.where(english, model.level(score), np.nan)})
+                x, n, english = features(posts)
+                score = model.score(x)
+                yield pd.DataFrame({"doc_id": part["d"].to_numpy(), "own_words": n, "english": english, "score": np.where(english, score, np.nan), "level": np.where(english, model.level(score), np.nan)})
 
     kind = src.schema["d"].dataType.simpleString()
     out = src.mapInPandas(run, f"doc_id {kind}, own_words int, english boolean, score double, level double")
