@@ -2,7 +2,7 @@
 
 Two nested schemas are ordered labelled trees (fields, list elements, map keys and values) with stable ids as labels. The edit
 script is a tree edit distance: deleting and inserting a field cost 1, mapping a field to the one of the same id costs a quarter
-for each differing attribute, fields of different ids never map. A field that both versions hold but that no order-preserving
+for each differing attribute and a half for another parent, fields of different ids never map. A field that both versions hold but that no order-preserving
 mapping can keep in place has moved. Siblings are put in id order first, so their order in the text plays no part.
 """
 
@@ -22,6 +22,7 @@ from tabulith.functions.paths import same_file
 from tabulith.operators.common import in_force
 
 ATTRIBUTE_COST = 0.25
+PARENT_COST = 0.5
 LAG_BLOCK = 64
 MAX_DEPTH = 200
 
@@ -101,6 +102,10 @@ def _postorder(nodes: dict[int, Node]) -> tuple[list[int], list[int]]:
     return order, first
 
 
+def change_cost(x: Node, y: Node) -> float:
+    return ATTRIBUTE_COST * sum(p != q for p, q in zip(x[2:], y[2:], strict=True)) + PARENT_COST * (x.parent != y.parent)
+
+
 def tree_mapping(old: dict[int, Node], new: dict[int, Node]) -> set[int]:
     """Ids that a minimum-cost ordered tree mapping keeps in place (Zhang-Shasha)."""
     common = old.keys() & new.keys()
@@ -112,7 +117,7 @@ def tree_mapping(old: dict[int, Node], new: dict[int, Node]) -> set[int]:
     def change(x: int, y: int) -> float:
         if x != y:
             return float("inf")
-        return 0.0 if x == -1 else ATTRIBUTE_COST * (sum(p != q for p, q in zip(old[x][2:], new[y][2:], strict=True)))
+        return 0.0 if x == -1 else change_cost(old[x], new[y])
 
     def keyroots(left: list[int]) -> list[int]:
         return sorted({v: i for i, v in enumerate(left)}.values())

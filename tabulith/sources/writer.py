@@ -144,11 +144,9 @@ def leaf_columns(schema: TableSchema) -> dict[str, tuple[int, t.Type]]:
 
 def with_ids(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The rows in the order and types of ``schema``, whose field ids go into the files."""
-    df = df.to(schema)
-    if any(isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType) for f in schema):  # ids inside of columns need the whole schema
-        spark = df.sparkSession
-        return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), spark._jsparkSession.parseDataType(schema.json())), spark)
-    return df.select(*[F.col("`" + f.name + "`").alias(f.name, metadata=f.metadata) for f in schema])
+    df, spark = df.to(schema), df.sparkSession
+    # a projection that only changes metadata is removed by the optimizer, so the schema is set on the rows
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), spark._jsparkSession.parseDataType(schema.json())), spark)
 
 
 class TableWriter:
