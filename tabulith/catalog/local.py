@@ -38,7 +38,13 @@ class LocalCatalog:
         return self._exists(self._path([*parts, "namespace.json"]))
 
     def _is_table(self, parts: Sequence[str]) -> bool:
-        return self._exists(self._path([*parts, "metadata"]))
+        return bool(self._versions(parts))
+
+    def _versions(self, parts: Sequence[str]) -> list[int]:
+        fs, p = filesystem(self._path([*parts, "metadata"]), self.props)
+        if fs.get_file_info(p).type != pafs.FileType.Directory:
+            return []
+        return [int(m[1]) for i in fs.get_file_info(pafs.FileSelector(p)) if (m := re.fullmatch(r"v(\d+)\.metadata\.json", i.base_name))]
 
     def _need_namespace(self, namespace: str | Sequence[str]) -> Identifier:
         ns = check_namespace(namespace)
@@ -80,10 +86,7 @@ class LocalCatalog:
         return [(*ns, d) for d in self._dirs(ns) if self._is_table((*ns, d))]
 
     def _metadata(self, ident: Identifier) -> tuple[int, str]:
-        fs, p = filesystem(self._path([*ident, "metadata"]), self.props)
-        if fs.get_file_info(p).type != pafs.FileType.Directory:
-            raise NoSuchTable(".".join(ident))
-        versions = [int(m[1]) for i in fs.get_file_info(pafs.FileSelector(p)) if (m := re.fullmatch(r"v(\d+)\.metadata\.json", i.base_name))]
+        versions = self._versions(ident)
         if not versions:
             raise NoSuchTable(".".join(ident))
         return max(versions), self._path([*ident, "metadata", f"v{max(versions)}.metadata.json"])
@@ -127,3 +130,6 @@ class LocalCatalog:
         for i in fs.get_file_info(pafs.FileSelector(p)):
             if i.base_name.endswith(".metadata.json"):
                 fs.delete_file(i.path)
+        for folder in (p, p.rsplit("/", 1)[0]):  # unless manifests or data remain
+            if not fs.get_file_info(pafs.FileSelector(folder)):
+                fs.delete_dir(folder)
