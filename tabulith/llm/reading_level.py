@@ -52,7 +52,7 @@ PERSONAL = frozenset("i you we they he she it me us them".split())
 
 def own_prose(text: str | None) -> list[str]:
     """The author's own sentences. Quotes (also nested or cut off), attributions, code, logs, encoded data, links, markup and
-    signatures are left out; a last paragraph of one short line counts as a signature if there are others before it."""
+    signatures are left out; a last paragraph of one short sentence counts as a signature if there are others before it."""
     if not text:
         return []
     t = text.replace("\r\n", "\n") if "\r" in text else text
@@ -65,7 +65,7 @@ def own_prose(text: str | None) -> list[str]:
         for quote, there in ((BB_QUOTE, bracketed), (HTML_QUOTE, tagged)):
             n = there
             while n:
-                t, n = quote.subn("\n", t)  # an outer quote that was cut off still ends at the next empty line
+                t, n = quote.subn(" ", t)  # an outer quote that was cut off still ends at the next empty line
         t = OPEN_QUOTE.sub("\n\n", t)
     if "Original Message" in t:
         t = ORIGINAL.sub("\n\n", t)
@@ -88,7 +88,7 @@ def own_prose(text: str | None) -> list[str]:
         t = "\n".join("" if LONG.search(x) or (DIGIT.search(x) and len(NUMBERED.findall(x)) * 3 > len(x.split())) else x for x in t.split("\n"))
     t = t.replace("_", "").replace("*", "")
     paragraphs = [p for p in re.split(r"\n\s*\n", t) if p.strip()]
-    if len(paragraphs) > 1 and "\n" not in paragraphs[-1].strip() and len(paragraphs[-1].split()) < 12:
+    if len(paragraphs) > 1 and len(paragraphs[-1].split()) < 12 and len(SENTENCE.split(paragraphs[-1].strip())) == 1 and "\n" not in paragraphs[-1].strip():
         paragraphs.pop()
     return [s for p in paragraphs for s in SENTENCE.split(p) if s and WORD.search(s)]
 
