@@ -90,7 +90,7 @@ def own_prose(text: str | None) -> list[str]:
     paragraphs = [p for p in re.split(r"\n\s*\n", t) if p.strip()]
     if len(paragraphs) > 1 and len(paragraphs[-1].split()) < 12 and len(SENTENCE.split(paragraphs[-1].strip())) == 1 and "\n" not in paragraphs[-1].strip():
         paragraphs.pop()
-    return [s for p in paragraphs for s in SENTENCE.split(p) if s and WORD.search(s)]
+    return [s.strip() for p in paragraphs for s in SENTENCE.split(p) if s and WORD.search(s)]
 
 
 class _Words:
@@ -293,10 +293,16 @@ def _own(frame: pd.DataFrame, index: Items | None) -> list[Post]:
     flat = [[w for t in toks for w in t] for _, toks in posts]
     near = np.flatnonzero(index.footholds(flat)).tolist()
     pasted: dict[int, np.ndarray] = {}
-    for j, _, _, at in index.leaks([flat[k] for k in near]):
-        mark = pasted.setdefault(near[j], np.zeros(len(flat[near[j]]), bool))
+    for j, item, _, at in index.leaks([flat[k] for k in near]):
+        k = near[j]
+        mark = pasted.setdefault(k, np.zeros(len(flat[k]), bool))
+        # the windows reach beyond the passage: of their words those are the item's that stand beside the same neighbour there
+        window = np.zeros(len(mark), bool)
         for p in at:
-            mark[p : p + WINDOW] = True
+            window[p : p + WINDOW] = True
+        code, it = index.encode(flat[k]).astype(np.int64), index.tokens[item].astype(np.int64)
+        pair = np.isin(code[:-1] << 32 | code[1:], it[:-1] << 32 | it[1:]) & (code[:-1] > 0) & (code[1:] > 0)
+        mark |= window & (np.concatenate([pair, [False]]) | np.concatenate([[False], pair]))
     for k, mark in pasted.items():
         ends = np.cumsum([len(t) for t in posts[k][1]])
         kept = [(s, t) for s, t, e in zip(*posts[k], ends, strict=True) if not t or mark[e - len(t) : e].sum() < 0.5 * len(t)]
