@@ -100,7 +100,7 @@ SELECT table_uuid, partition_spec_id, content, path, manifest_length, CAST(entri
         "p5_summaries": f"WITH {RAW} SELECT DISTINCT record_id, manifest_pos, summary_pos, {_bool('cnull')} AS contains_null, {_bool('cnan')} AS contains_nan, {_txt('lo')} AS lower_bound, {_txt('hi')} AS upper_bound FROM ss",
         "p5_manifests": f"WITH {RAW} SELECT DISTINCT record_id, CAST(manifest_pos AS INT) AS manifest_pos, json_extract_string(m, '$.manifest_path') AS manifest_path, {_num('manifest_length')} AS manifest_length, {_num('partition_spec_id', 'INT')} AS partition_spec_id, {_num('added_snapshot_id')} AS added_snapshot_id, {', '.join(f'{_num(c)} AS {c}' for c in counts)} FROM mm WHERE json_type(m) = 'OBJECT'",
         "p5_lists": f"WITH {RAW} SELECT DISTINCT record_id, table_uuid, CAST(j->>'format-version' AS INT) AS format_version, j->'table'->>'uuid' AS list_table_uuid, j->'table'->>'name' AS table_name, CAST(j->'snapshot'->>'snapshot-id' AS BIGINT) AS snapshot_id, CAST(j->'snapshot'->>'timestamp-ms' AS BIGINT) AS timestamp_ms FROM e",
-        "p5_partitions": "WITH t AS (SELECT table_uuid, manifest_list, manifest_path, unnest(partitions) AS p, CAST(unnest(range(len(partitions))) AS INT) AS pos FROM manifest_files) SELECT DISTINCT table_uuid, manifest_list, manifest_path, pos, p.contains_null AS contains_null, p.contains_nan AS contains_nan, lower(hex(p.lower_bound)) AS lower_bound, lower(hex(p.upper_bound)) AS upper_bound FROM t WHERE p IS NOT NULL",
+        "p5_partitions": "WITH t AS (SELECT table_uuid, manifest_list, manifest_path, unnest(partitions) AS p, CAST(unnest(range(len(partitions))) AS INT) AS pos FROM (SELECT * FROM manifest_files QUALIFY row_number() OVER (PARTITION BY table_uuid, manifest_list, manifest_path ORDER BY recorded_at DESC) = 1)) SELECT table_uuid, manifest_list, manifest_path, pos, p.contains_null AS contains_null, p.contains_nan AS contains_nan, lower(hex(p.lower_bound)) AS lower_bound, lower(hex(p.upper_bound)) AS upper_bound FROM t WHERE p IS NOT NULL",
         "p6_found": f"""WITH {META}, c AS (SELECT s.table_uuid, snapshot_id, sequence_number, expired_at, recorded_at, CAST((parent_snapshot_id, sequence_number, timestamp_ms, manifest_list, schema_id, list_sort(map_entries(summary)), expired_at) AS VARCHAR) AS content FROM snapshots s JOIN m ON m.table_uuid = s.table_uuid AND m.format_version = 2 WHERE snapshot_id IS NOT NULL),
 g AS (SELECT *, min(recorded_at) OVER (PARTITION BY snapshot_id, table_uuid, content) AS first FROM c QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY recorded_at DESC) = 1),
 ad AS (SELECT table_uuid, added_snapshot_id, max(sequence_number) AS q FROM manifest_files GROUP BY ALL),

@@ -173,10 +173,12 @@ def p5_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_partitions(spark: SparkSession, d: str) -> DataFrame:
-    """The partition summaries of ``manifest_files``, child of its rows by list and manifest as written."""
-    m = read(spark, d, "manifest_files").select("table_uuid", "manifest_list", "manifest_path", "partitions")
-    t = shredding.shred_columns(m, ["table_uuid", "manifest_list", "manifest_path"], "partitions").distinct()
-    return t.select("table_uuid", "manifest_list", "manifest_path", "pos", "contains_null", "contains_nan", F.lower(F.hex("lower_bound")).alias("lower_bound"), F.lower(F.hex("upper_bound")).alias("upper_bound"))
+    """The partition summaries of ``manifest_files``, child of its rows by table, list and manifest as written. Of a row that came again, the one
+    recorded last counts."""
+    keys = ["table_uuid", "manifest_list", "manifest_path"]
+    m = in_force(read(spark, d, "manifest_files"), keys, "recorded_at", ["partitions"])
+    t = shredding.shred_columns(m, keys, "partitions")
+    return t.select(*keys, "pos", "contains_null", "contains_nan", F.lower(F.hex("lower_bound")).alias("lower_bound"), F.lower(F.hex("upper_bound")).alias("upper_bound"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
