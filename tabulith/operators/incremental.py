@@ -101,8 +101,8 @@ class IncrementalRuns:
         diff = changed_leaves(now, saved, now_tree, saved_tree, self.keys).where("change <> 'gone'")
         want = diff.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
         d = df.withColumn("_d", digest(df, self.content))
-        todo = d.join(want, [*[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)], F.col("_d.h1") == F.col("_h1"), F.col("_d.h2") == F.col("_h2")], "left_semi").drop("_d")
-        return todo.dropDuplicates([*self.keys, *[c for c in self.content if "map" not in str(df.schema[c].dataType).lower()]]), now, now_tree
+        todo = d.join(want, [*[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)], F.col("_d.h1") == F.col("_h1"), F.col("_d.h2") == F.col("_h2")], "left_semi")
+        return todo.dropDuplicates([*self.keys, "_d"]).drop("_d"), now, now_tree
 
     def run(self, df: DataFrame, process: Callable[[DataFrame], DataFrame], fail_at: str | None = None) -> int:
         """Process what is new or changed, publish, and return the run's number. ``fail_at`` (tests): raise before that step."""

@@ -13,15 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulith import types as t
 from tabulith.functions.paths import same_file
 from tabulith.functions.transforms import PartitionSpec
-from tabulith.plans import expressions as ex
 from tabulith.plans.expressions import AlwaysTrue, Bound, Expression, bind, fold, to_column
 from tabulith.plans.pruning import might_match_column, partition_condition, project, summary_condition
 from tabulith.schema import TableSchema
 from tabulith.session import materialize
 from tabulith.sources.filesystem import read_bytes, spark_path
-from tabulith.sources.manifests import DATA, EQUALITY_DELETES, POSITION_DELETES, has_files, read_entries, read_lists
+from tabulith.sources.manifests import DATA, EQUALITY_DELETES, MANIFESTS, POSITION_DELETES, has_files, read_entries, read_lists
 from tabulith.sources.metadata import Snapshot, TableMetadata
 from tabulith.sources.writer import PATH_ID
 
@@ -139,7 +139,7 @@ class TableScan:
         return replace(spec, fields=tuple(f for f in spec.fields if f.source_id in self.schema.by_id))
 
     def manifests(self) -> DataFrame:
-        m = self.table.manifests(self.snapshot) if self.snapshot else self.table.spark.createDataFrame([], _manifest_ddl())
+        m = self.table.manifests(self.snapshot) if self.snapshot else self.table.spark.createDataFrame([], MANIFESTS)
         m = m.where(has_files()).withColumn("_spec", F.col("partition_spec_id"))
         if self.skipping:
             m = m.where((F.col("content") != DATA) | self._by_spec(lambda tree, s: summary_condition(tree, s, F.col("partitions"))))
@@ -183,7 +183,7 @@ class TableScan:
         sets = [tuple(r.equality_ids) for r in dels.where(F.col("content") == EQUALITY_DELETES).select("equality_ids").distinct().collect()] if touched else []
         for ids in sets:
             equality[ids] = dels.where((F.col("content") == EQUALITY_DELETES) & (F.col("equality_ids") == F.array(*[F.lit(i) for i in ids])))
-        need = {i for ids in sets for i in ids} | filter_ids | {f.id for f in wanted.by_id.values() if f.id in wanted.by_id}
+        need = {i for ids in sets for i in ids} | filter_ids
         plain_schema = _read_schema(self.schema, wanted, filter_ids)
         parts = []
         for fmt in sorted(formats):
@@ -239,12 +239,6 @@ class TableScan:
         return df
 
 
-def _manifest_ddl() -> str:
-    from tabulith.sources.manifests import MANIFESTS
-
-    return MANIFESTS
-
-
 def _ids(bound: Expression) -> set[int]:
     def leaf(b: Bound) -> set[int]:
         return {b.field.id}
@@ -254,14 +248,13 @@ def _ids(bound: Expression) -> set[int]:
 
 def _read_schema(schema: TableSchema, wanted: TableSchema, more: set[int]) -> TableSchema:
     """Top-level columns of the projection, pruned inside, and what filters and deletes need."""
-    keep = {i for i, f in wanted.by_id.items() if not f.type.__class__.__name__ in ("Struct", "List", "Map")} | set(more)  # noqa: E713
-    empty = {f.id for f in wanted.fields if f.type.__class__.__name__ == "Struct" and not f.type.fields}
+    keep = {i for i, f in wanted.by_id.items() if not isinstance(f.type, t.Struct | t.List | t.Map)} | set(more)
+    empty = {f.id for f in wanted.fields if isinstance(f.type, t.Struct) and not f.type.fields}
     return schema.prune(keep | empty, True)
 
 
 def _shaped(wanted, full) -> Column:
     """A column as the projection has it: parts that only a filter needed are taken out of structs."""
-    from tabulith import types as t
 
     def shape(c: Column, w: t.Type, h: t.Type) -> Column:
         if isinstance(w, t.Struct) and isinstance(h, t.Struct) and w != h:
@@ -297,5 +290,3 @@ def _with_deletes(e: DataFrame) -> DataFrame:
     extra = F.aggregate("delete_files", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["file_size_in_bytes"], F.lit(0)))
     return out.select("file_path", "file_format", "spec_id", "partition_json", "sequence_number", "record_count", F.lit(0).cast("long").alias("start"), F.col("file_size_in_bytes").alias("length"), (F.col("file_size_in_bytes") + extra).alias("size_with_deletes"), "delete_files")
 
-
-__all__ = ["ScanError", "SnapshotTable", "TableScan", "ex"]

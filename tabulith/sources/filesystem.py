@@ -24,7 +24,12 @@ def configure(spark: SparkSession, props: dict[str, str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name, hadoop in S3_OPTIONS.items():
         value = props.get(name) or (os.environ.get("AWS_S3_ENDPOINT") if name == "s3.endpoint" else None)
-        if value:
+        if value and name == "s3.proxy-uri":
+            proxy = urlparse(value if "://" in value else f"http://{value}")
+            conf.set(hadoop, proxy.hostname or "")
+            if proxy.port:
+                conf.set("fs.s3a.proxy.port", str(proxy.port))
+        elif value:
             conf.set(hadoop, value)
 
 

@@ -144,6 +144,13 @@ def test_merkle(spark):
     assert inc.changed_leaves(a, b.limit(0), ta, tb.limit(0), ["k"]).where("change = 'added'").count() == 2001
 
 
+def test_runs_tell_maps_apart(spark, tmp_path):
+    runs = inc.IncrementalRuns(spark, f"file://{tmp_path}/state", ["k"], ["m"])
+    df = spark.createDataFrame([(1, {"a": "1"}), (1, {"a": "2"}), (1, {"a": "2"})], "k long, m map<string,string>")
+    runs.run(df, lambda t: t)
+    assert runs.output().count() == 2
+
+
 def test_runs_survive_failures(spark, tmp_path):
     runs = inc.IncrementalRuns(spark, f"file://{tmp_path}/state", ["k"], ["v"])
     one = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string")

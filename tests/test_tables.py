@@ -366,6 +366,27 @@ def test_local_catalog(spark, place, capsys):
     assert run("rename", "a.b.u", "a.t")[0] == 0 and run("drop", "table", "a.t")[0] == 0 and run("drop", "namespace", "a.b")[0] == 0 and run("list", "a")[1].out.strip() == ""
 
 
+def test_file_systems(spark, tmp_path, monkeypatch):
+    from tabulith.sources import filesystem as fs
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    monkeypatch.setenv("AWS_S3_ENDPOINT", "http://localhost:9000")
+    fs.configure(spark, {"s3.access-key-id": "k", "s3.region": "r", "s3.proxy-uri": "http://proxy:3128"})
+    names = ("fs.s3a.access.key", "fs.s3a.endpoint.region", "fs.s3a.proxy.host", "fs.s3a.proxy.port", "fs.s3a.endpoint")
+    assert [conf.get(n) for n in names] == ["k", "r", "proxy", "3128", "http://localhost:9000"]
+    for n in names:
+        conf.unset(n)
+    assert fs.spark_path("s3://b/x") == fs.spark_path("s3n://b/x") == "s3a://b/x" and fs.spark_path("file:///x") == "file:///x"
+    for place in (f"file://{tmp_path}/d/a", f"{tmp_path}/d/b"):
+        fs.write_bytes(place, b"x")
+        assert fs.read_bytes(place) == b"x"
+        fs.remove(place)
+    with pytest.raises(FileNotFoundError):
+        fs.read_bytes(f"file://{tmp_path}/d/a")
+    with pytest.raises(ValueError):
+        fs.filesystem("nope://x/y")
+
+
 def test_catalog_types():
     assert [catalog_type(u, p) for u, p in (("http://x", {}), ("https://x", {}), ("thrift://x", {}), ("/tmp/x", {}), ("http://x", {"type": "GLUE"}))] == ["rest", "rest", "hive", "local", "glue"]
     with pytest.raises(NotImplementedError):
