@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.paths import same_file
 from tabulith.operators.common import in_force
+from tabulith.session import broadcast_if_small, materialize
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,8 +38,10 @@ def live_manifests(meta: DataFrame, snapshots: DataFrame, manifests: DataFrame)
     snap = snapshots_in_force(snapshots, ("table_uuid", "manifest_list", "expired_at")).where("expired_at IS NULL").select("snapshot_id", "table_uuid", list_key("manifest_list").alias("list"))
     lists = cur.join(snap, ["table_uuid", "snapshot_id"]).where("list IS NOT NULL").select("table_uuid", "list")
     cols = ["partition_spec_id", "content", "manifest_length", "added_files_count", "existing_files_count"]
-    rows = manifests.where("manifest_path IS NOT NULL").select("table_uuid", list_key("manifest_list").alias("list"), same_file(F.col("manifest_path")).alias("path"), "recorded_at", *cols)
-    there = in_force(rows.join(lists, ["table_uuid", "list"], "left_semi"), ["table_uuid", "list", "path"], "recorded_at", cols)
+    rows = manifests.where("manifest_path IS NOT NULL").select("table_uuid", list_key("manifest_list").alias("list"), "manifest_path", "recorded_at", *cols)
+    # most manifest rows stand in older lists: they go before paths are compared and rows are shuffled
+    live = rows.join(broadcast_if_small(materialize(lists, "lists")), ["table_uuid", "list"], "left_semi").withColumn("path", same_file(F.col("manifest_path")))
+    there = in_force(live, ["table_uuid", "list", "path"], "recorded_at", cols)
     entries = F.col("added_files_count") + F.col("existing_files_count")
     out = there.select("table_uuid", "partition_spec_id", F.coalesce("content", F.lit(0)).cast("int").alias("content"), "path", "manifest_length", entries.cast("long").alias("entries"))
     return out.where("entries IS NULL OR entries <> 0")

@@ -7,9 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Sides of a join up to this many bytes may be broadcast; beyond it they are shuffled.
-BROADCAST_BYTES = 32 << 20
+#: A written table of up to this many bytes (compressed, in its files) may be broadcast; beyond it it is shuffled.
+BROADCAST_BYTES = 8 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -46,14 +47,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rows_written(df: DataFrame) -> int:
-    """Number of rows of a written table, from the Parquet footers."""
-    return df.count()
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; of a written table it is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(written: DataFrame) -> DataFrame:
+    """A written table marked for broadcast if its files are small, else as it is: the join then shuffles."""
+    return F.broadcast(written) if plan_bytes(written) <= BROADCAST_BYTES else written
 
 
 @atexit.register
