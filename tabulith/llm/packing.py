@@ -8,9 +8,11 @@ among those of their size. Work on the driver depends on the capacity alone, not
 
 from __future__ import annotations
 
+import base64
 import os
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from tabulith.session import materialize
 
 CAPACITY = 2048
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how byte-level vocabularies cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_ROWS = 200_000
 
 Pattern = tuple[tuple[int, int], ...]  # (size, copies), in the order they lie in the container
@@ -165,15 +169,35 @@ def place_runs(patterns: list[tuple[Pattern, int]]) -> tuple[np.ndarray, int]:
     return runs[np.lexsort((runs[:, 1], runs[:, 0]))], base
 
 
+@lru_cache(maxsize=2)
+def counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
+    """A function from texts to their numbers of tokens, by the file's kind: ``.tiktoken`` ranks of a byte-level vocabulary, ``.json`` of the
+    tokenizers library, ``.model`` of sentencepiece. Strings of special tokens count as ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    if tokenizer.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(tokenizer, "rb") as f:
+            ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
+        e = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(e.encode_ordinary(x)) for x in texts]
+    if tokenizer.endswith(".model"):
+        import sentencepiece
+
+        p = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+        return lambda texts: [len(x) for x in p.encode(texts, num_threads=1)]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    t.encode_special_tokens = True
+    return lambda texts: [len(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def token_counts(docs: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:  # noqa: A002
     """``id, n_tokens`` of each row; NULL and empty texts have none."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        tokens = counter(tokenizer)
         for f in frames:
             n = np.zeros(len(f), dtype=np.int64)
             texts = f["t"].tolist()
@@ -183,7 +207,7 @@ def token_counts(docs: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER
                 batch.append(i)
                 size += len(x)
                 if size > 1_000_000 or i == len(texts) - 1:
-                    n[batch] = [len(e) for e in t.encode_batch_fast([texts[j] for j in batch], add_special_tokens=False)]
+                    n[batch] = tokens([texts[j] for j in batch])
                     batch, size = [], 0
             yield pd.DataFrame({"d": f["d"].to_numpy(), "n_tokens": n})
 

@@ -92,8 +92,10 @@ def test_pack(spark, monkeypatch, shard):
 def test_tokens(spark):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(p.TOKENIZER)
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     texts = ["Hello world", "", None, "<|endoftext|> as text", "x" * 50_000, "naïve 日本語 🙂", "a b " * 100_000]
+    assert p.counter("/opt/tokenizers/piece_bpe_32k.model")(["", "Hello world"]) == [0, 2]
+    assert p.counter("/opt/tokenizers/word_bpe_49k.json")(["", "Hello world"]) == [0, 2]
     got = {r.id: r.n_tokens for r in p.token_counts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").collect()}
     t.encode_special_tokens = True
     assert got == {i: 0 if not x else len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
