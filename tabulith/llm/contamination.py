@@ -79,7 +79,7 @@ class Items:
         """(first entry of each bucket, windows by bucket)."""
         key = (self.hashes >> np.uint64(block * BLOCK_BITS)).astype(np.uint32) & np.uint32(0xFFFF)
         masks = [0] + [sum(1 << b for b in c) for r in range(1, BLOCK_RADIUS + 1) for c in combinations(range(BLOCK_BITS), r)]
-        keys = (key[None, :] ^ np.array(masks, dtype=np.uint32)[:, None]).ravel()
+        keys = (key[None, :] ^ np.array(masks, dtype=np.uint32)[:, None]).ravel().astype(np.uint16)  # sorted by radix
         order = np.argsort(keys, kind="stable")
         at = np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1))
         return at, (order % max(1, len(key))).astype(np.int32)
