@@ -160,9 +160,37 @@ class TableScan:
 
     def plan_files(self) -> DataFrame:
         """A task per data file: ``file_path, file_format, spec_id, partition_json, sequence_number, record_count, start, length, size_with_deletes,
-        delete_files`` (the position-delete files that may touch it and the equality-delete files younger than it in its partition or of all)."""
-        e = materialize(self.entries(), "entries")
-        return _with_deletes(e)
+        delete_files`` (the position-delete files that name it and aren't older) and ``equality_deletes`` (whether younger equality deletes reach its
+        partition). The size is that of the file and its position-delete files."""
+        return self._with_deletes(materialize(self.entries(), "entries"))
+
+    def _with_deletes(self, e: DataFrame) -> DataFrame:
+        spark = self.table.spark
+        data = e.where(F.col("content") == DATA)
+        head = data.select("file_path", same_file(F.col("file_path")).alias("p"), "spec_id", "partition_json", "sequence_number")
+        info = ("file_path", "sequence_number", "file_size_in_bytes")
+        bound = lambda m: same_file(F.try_element_at(m, F.lit(PATH_ID)).cast("string"))
+        pos = e.where(F.col("content") == POSITION_DELETES).select(F.struct(*info).alias("d"), F.col("spec_id").alias("dspec"), F.col("partition_json").alias("dpart"), bound("lower_bounds").alias("lo"), bound("upper_bounds").alias("hi"))
+        # a delete file whose bounds are one path names that data file; others are asked which ones they name
+        named = pos.where("lo = hi").withColumn("q", F.col("lo"))
+        spanning = pos.where("NOT coalesce(lo = hi, false)")
+        paths = [spark_path(r.f) for r in spanning.select(F.col("d.file_path").alias("f")).collect()]
+        if paths:
+            inside = spark.read.schema("file_path string").parquet(*paths).select(same_file(F.col("file_path")).alias("q"), same_file(F.col("_metadata.file_path")).alias("_d")).distinct()
+            named = named.unionByName(spanning.join(inside, same_file(F.col("d.file_path")) == F.col("_d")).drop("_d"))
+        here = (F.col("dpart") == "{}") | ((F.col("spec_id") == F.col("dspec")) & (F.col("partition_json") == F.col("dpart")))
+        found = head.join(named, F.col("p") == F.col("q")).where(here & (F.col("sequence_number") <= F.col("d.sequence_number"))).groupBy("file_path").agg(F.collect_set("d").alias("delete_files"))
+        # of equality deletes the youngest of a partition tells whether any applies: no list of them per file
+        eq = e.where(F.col("content") == EQUALITY_DELETES)
+        youngest = eq.groupBy(F.col("spec_id").alias("dspec"), F.col("partition_json").alias("dpart")).agg(F.max("sequence_number").alias("young"))
+        everywhere = youngest.where("dpart = '{}'").agg(F.max("young")).first()[0]
+        scoped = youngest.where("dpart <> '{}'")
+        none = F.expr("cast(array() as array<struct<file_path:string,sequence_number:bigint,file_size_in_bytes:bigint>>)")
+        out = data.join(found, "file_path", "left").join(scoped, (F.col("spec_id") == F.col("dspec")) & (F.col("partition_json") == F.col("dpart")), "left")
+        out = out.withColumn("delete_files", F.coalesce("delete_files", none))
+        extra = F.aggregate("delete_files", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["file_size_in_bytes"], F.lit(0)))
+        reach = F.coalesce(F.col("sequence_number") < F.greatest(F.coalesce("young", F.lit(-1)), F.lit(-1 if everywhere is None else everywhere)), F.lit(False))
+        return out.select("file_path", "file_format", "spec_id", "partition_json", "sequence_number", "record_count", F.lit(0).cast("long").alias("start"), F.col("file_size_in_bytes").alias("length"), (F.col("file_size_in_bytes") + extra).alias("size_with_deletes"), "delete_files", reach.alias("equality_deletes"))
 
     def to_df(self) -> DataFrame:
         out = self._rows()
@@ -172,32 +200,37 @@ class TableScan:
         spark = self.table.spark
         bound, wanted = self._bound(), self.projection()
         filter_ids = _ids(bound)
-        plan = materialize(self.plan_files(), "tasks")
-        rows = plan.select("file_path", "file_format", F.size("delete_files").alias("n")).collect()
+        plan = entries = None
+        if self.manifests().where(F.col("content") != DATA).isEmpty():
+            rows = self.entries().select("file_path", "file_format", F.lit(False).alias("dirty")).collect()
+        else:
+            entries = materialize(self.entries(), "entries")
+            plan = materialize(self._with_deletes(entries), "tasks")
+            rows = plan.select("file_path", "file_format", ((F.size("delete_files") > 0) | F.col("equality_deletes")).alias("dirty")).collect()
         formats = {r.file_format.lower() for r in rows}
         if not formats <= {"parquet", "orc"}:
             raise ScanError(f"no reader for {', '.join(sorted(formats - {'parquet', 'orc'}))} data files")
         equality: dict[tuple[int, ...], DataFrame] = {}
-        dels = plan.select(F.explode("delete_files").alias("d")).select("d.*").distinct()
-        touched = any(r.n for r in rows)
-        sets = [tuple(r.equality_ids) for r in dels.where(F.col("content") == EQUALITY_DELETES).select("equality_ids").distinct().collect()] if touched else []
-        for ids in sets:
-            equality[ids] = dels.where((F.col("content") == EQUALITY_DELETES) & (F.col("equality_ids") == F.array(*[F.lit(i) for i in ids])))
-        need = {i for ids in sets for i in ids} | filter_ids
+        positions: list[str] = []
+        if any(r.dirty for r in rows):
+            positions = [spark_path(r.f) for r in plan.select(F.explode("delete_files.file_path").alias("f")).distinct().collect()]
+            eq = entries.where(F.col("content") == EQUALITY_DELETES)
+            equality = {tuple(r.equality_ids): eq.where(F.col("equality_ids") == F.array(*[F.lit(i) for i in r.equality_ids])) for r in eq.select("equality_ids").distinct().collect()}
+        need = {i for ids in equality for i in ids} | filter_ids
         plain_schema = _read_schema(self.schema, wanted, filter_ids)
         parts = []
         for fmt in sorted(formats):
-            clean = [spark_path(r.file_path) for r in rows if r.file_format.lower() == fmt and not r.n]
-            dirty = [spark_path(r.file_path) for r in rows if r.file_format.lower() == fmt and r.n]
+            clean = [spark_path(r.file_path) for r in rows if r.file_format.lower() == fmt and not r.dirty]
+            dirty = [spark_path(r.file_path) for r in rows if r.file_format.lower() == fmt and r.dirty]
             if clean:
                 parts.append(self._finish(self._read(fmt, clean, plain_schema), bound, wanted))
             if dirty:
-                if fmt == "orc" and not dels.where(F.col("content") == POSITION_DELETES).isEmpty():
+                if fmt == "orc" and positions:
                     raise ScanError("ORC files have no row positions: position deletes can't be applied to them")
                 full = self._read(fmt, dirty, _read_schema(self.schema, wanted, need & set(self.schema.by_id)))
                 cols = full.columns
                 full = full.withColumns({"_tab_path": same_file(F.col("_metadata.file_path"))} | ({"_tab_pos": F.col("_metadata.row_index")} if fmt == "parquet" else {}))
-                parts.append(self._finish(self._apply(full, plan, dels, equality).select(*cols), bound, wanted))
+                parts.append(self._finish(self._apply(full, plan, positions, equality).select(*cols), bound, wanted))
         if not parts:
             return spark.createDataFrame([], wanted.to_spark(False))
         return reduce(DataFrame.unionByName, parts)
@@ -214,14 +247,14 @@ class TableScan:
             spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
         return spark.read.schema(schema.to_spark(not by_name)).format(fmt).load(paths)
 
-    def _apply(self, df: DataFrame, plan: DataFrame, dels: DataFrame, equality: dict[tuple[int, ...], DataFrame]) -> DataFrame:
+    def _apply(self, df: DataFrame, plan: DataFrame, positions: list[str], equality: dict[tuple[int, ...], DataFrame]) -> DataFrame:
         spark = self.table.spark
         files = plan.select(same_file(F.col("file_path")).alias("_f"), F.col("sequence_number").alias("_seq"), F.col("partition_json").alias("_part"), F.col("spec_id").alias("_spec_id"))
-        positions = [spark_path(r.file_path) for r in dels.where(F.col("content") == POSITION_DELETES).select("file_path").distinct().collect()]
         if positions:
+            # the plan has paired data and delete files that belong together
+            pairs = plan.select(same_file(F.col("file_path")).alias("_f"), F.explode("delete_files.file_path").alias("_df")).select("_f", same_file(F.col("_df")).alias("_d"))
             d = spark.read.schema("file_path string, pos bigint").parquet(*positions).select(same_file(F.col("file_path")).alias("_p"), F.col("pos").alias("_at"), same_file(F.col("_metadata.file_path")).alias("_d"))
-            seqs = dels.select(same_file(F.col("file_path")).alias("_d"), F.col("sequence_number").alias("_dseq")).distinct()
-            d = d.join(seqs, "_d").join(files, F.col("_p") == F.col("_f")).where("_seq <= _dseq").select("_p", "_at").distinct()
+            d = d.join(pairs.withColumnRenamed("_d", "_dd"), (F.col("_d") == F.col("_dd")) & (F.col("_p") == F.col("_f")), "left_semi").select("_p", "_at").distinct()
             df = df.join(d, (F.col("_tab_path") == F.col("_p")) & (F.col("_tab_pos") == F.col("_at")), "left_anti")
         if equality:
             df = df.join(files.distinct(), F.col("_tab_path") == F.col("_f"))
@@ -263,30 +296,3 @@ def _shaped(wanted, full) -> Column:
         return c
 
     return shape(F.col("`" + wanted.name + "`"), wanted.type, full.type).alias(wanted.name)
-
-
-def _with_deletes(e: DataFrame) -> DataFrame:
-    data = e.where(F.col("content") == DATA)
-    info = F.struct("file_path", "content", "sequence_number", "spec_id", "partition_json", "equality_ids", "file_size_in_bytes")
-    dels = e.where(F.col("content") != DATA).select(
-        info.alias("d"),
-        F.col("spec_id").alias("dspec"),
-        F.col("partition_json").alias("dpart"),
-        F.try_element_at("lower_bounds", F.lit(PATH_ID)).cast("string").alias("lo"),
-        F.try_element_at("upper_bounds", F.lit(PATH_ID)).cast("string").alias("hi"),
-    )
-    head = data.select("file_path", "spec_id", "partition_json", "sequence_number")
-    same = (F.col("spec_id") == F.col("dspec")) & (F.col("partition_json") == F.col("dpart"))
-    # deletes without partition values apply to all partitions; they are few, and their size is that of the metadata
-    free = dels.where("dpart = '{}'")
-    age = F.when(F.col("d.content") == POSITION_DELETES, F.col("sequence_number") <= F.col("d.sequence_number")).otherwise(F.col("sequence_number") < F.col("d.sequence_number"))
-    path = same_file(F.col("file_path"))
-    reach = (F.col("d.content") == EQUALITY_DELETES) | (F.coalesce(path >= same_file(F.col("lo")), F.lit(True)) & F.coalesce(path <= same_file(F.col("hi")), F.lit(True)))
-    scoped = head.join(dels.where("dpart <> '{}'"), same).where(age & reach)
-    wide = head.withColumn("_one", F.lit(1)).join(free.withColumn("_one", F.lit(1)), "_one").where(age & reach)
-    found = scoped.select("file_path", "d").unionByName(wide.select("file_path", "d")).groupBy("file_path").agg(F.collect_set("d").alias("delete_files"))
-    none = F.expr("cast(array() as array<struct<file_path:string,content:int,sequence_number:bigint,spec_id:int,partition_json:string,equality_ids:array<int>,file_size_in_bytes:bigint>>)")
-    out = data.join(found, "file_path", "left").withColumn("delete_files", F.coalesce("delete_files", none))
-    extra = F.aggregate("delete_files", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["file_size_in_bytes"], F.lit(0)))
-    return out.select("file_path", "file_format", "spec_id", "partition_json", "sequence_number", "record_count", F.lit(0).cast("long").alias("start"), F.col("file_size_in_bytes").alias("length"), (F.col("file_size_in_bytes") + extra).alias("size_with_deletes"), "delete_files")
-

@@ -301,7 +301,8 @@ def test_deletes(spark, place):
     want = [i for i in range(30) if i not in (first[0], first[2]) and not (i % 4 == 0 and i % 3 == 1) and not (i == 11)] + list(range(12))
     assert got == sorted(want)
     tasks = as_table(spark, w).scan(["id"]).plan_files()
-    assert {r.n for r in tasks.select(F.size("delete_files").alias("n")).collect()} == {0, 1, 2}
+    assert sorted(tuple(r) for r in tasks.groupBy(F.size("delete_files").alias("n"), "equality_deletes").count().collect()) == [(0, False, 3), (0, True, 2), (1, True, 1)]
+    assert as_table(spark, w).scan(["id"], e.equal("part", 1)).to_df().where("id = 4").count() == 1
     assert tasks.where("size_with_deletes < length").count() == 0
     assert old.scan(["id"]).to_df().count() == 30
 
