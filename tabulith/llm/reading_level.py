@@ -323,8 +323,9 @@ def _featured(docs: DataFrame, block, keep: list[str]) -> DataFrame:
     return docs.mapInPandas(run, f"{ddl}, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> Ranker:
-    """Fit on the labelled documents: at most ``max_labelled`` of them (chosen by hash), the mean of a document's labels counts."""
+def train(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> Ranker | None:
+    """Fit on the labelled documents: at most ``max_labelled`` of them (chosen by hash), the mean of a document's labels counts. None if fewer
+    than two have own prose."""
     y = labels.where("doc_id IS NOT NULL AND reading_level IS NOT NULL").groupBy(F.col("doc_id").alias("d")).agg(F.avg("reading_level").alias("y"))
     y = y.orderBy(F.xxhash64("d"), "d").limit(max_labelled)
     graded = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.col("text").alias("t")).join(F.broadcast(y), "d").dropDuplicates(["d"])
@@ -333,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, ma
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
     full = x[:, 6] > 0 if len(x) else np.zeros(0, bool)
     if full.sum() < 2:
-        raise ValueError("too few labelled documents with own prose")
+        return None
     return fit(x[full], y[full])
 
 
@@ -352,7 +353,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     """``doc_id, own_words, english, score, level`` of each document.
 
     ``level`` is continuous on the labels' scale, NULL where there is no own prose or it isn't English (told by its common words, not by the
-    ``lang`` column). Whole texts are read. NULL and empty texts have no own prose; repeated documents give equal rows, of which one is kept;
+    ``lang`` column), and everywhere if too few documents are labelled. Whole texts are read. NULL and empty texts have no own prose; repeated documents give equal rows, of which one is kept;
     a NULL ``doc_id`` is left out.
     """
     model = train(docs, labels, items, max_labelled)
@@ -366,8 +367,8 @@ def reading_levels(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
                 part = f.iloc[a : a + 500]
                 posts = _own(part, index)
                 x, n, english = features(posts)
-                score = model.score(x)
-                yield pd.DataFrame({"doc_id": part["d"].to_numpy(), "own_words": n, "english": english, "score": np.where(english, score, np.nan), "level": np.where(english, model.level(score), np.nan)})
+                score = model.score(x) if model else np.full(len(x), np.nan)
+                yield pd.DataFrame({"doc_id": part["d"].to_numpy(), "own_words": n, "english": english, "score": np.where(english, score, np.nan), "level": np.where(english, model.level(score) if model else np.nan, np.nan)})
 
     kind = src.schema["d"].dataType.simpleString()
     out = src.mapInPandas(run, f"doc_id {kind}, own_words int, english boolean, score double, level double")
