@@ -172,18 +172,26 @@ class Items:
             prev = row
         return best
 
-    def footholds(self, texts: list[list[str]]) -> np.ndarray:
-        """Whether each text has ``FOOTHOLD`` words in sequence of some item: a quick test for what isn't a search for leaks itself."""
+    def footholds(self, texts: list[list[str]]) -> list[tuple[int, int, int]]:
+        """(text, start, end) of the parts that may hold a passage with ``FOOTHOLD`` words in sequence of some item: as far around each such place as an
+        item reaches. A quick way to where items are pasted, for what isn't a search for leaks itself."""
         coded = [self.encode(t) for t in texts]
-        out = np.zeros(len(texts), bool)
         lens = np.array([len(c) for c in coded], dtype=np.int64)
         if lens.sum() < FOOTHOLD:
-            return out
+            return []
         toks = np.concatenate(coded)
         doc = np.repeat(np.arange(len(coded)), lens)
         n = len(toks) - FOOTHOLD + 1
         at = np.flatnonzero((doc[:n] == doc[FOOTHOLD - 1 :]) & np.isin(_codes(toks), self.runs))
-        out[doc[at]] = True
+        reach = max(map(len, self.tokens), default=0) + WINDOW
+        first = np.cumsum(lens) - lens
+        out: list[tuple[int, int, int]] = []
+        for k, p in zip(doc[at].tolist(), (at - first[doc[at]]).tolist(), strict=True):
+            a, b = max(0, p - reach), min(int(lens[k]), p + reach)
+            if out and out[-1][0] == k and a <= out[-1][2]:
+                out[-1] = (k, out[-1][1], b)
+            else:
+                out.append((k, a, b))
         return out
 
     def leaks(self, texts: list[list[str]]) -> list[tuple[int, int, int, list[int]]]:
