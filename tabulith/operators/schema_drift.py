@@ -24,7 +24,7 @@ from tabulith.operators.common import in_force
 ATTRIBUTE_COST = 0.25
 PARENT_COST = 0.5
 LAG_BLOCK = 64
-MAX_DEPTH = 200
+MAX_DEPTH = 200  # deeper schemas count as unreadable
 
 
 class Node(NamedTuple):

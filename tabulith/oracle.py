@@ -166,5 +166,11 @@ def tables() -> dict[str, str]:
         "schema_evolution": "SELECT c_custkey, c_name AS customer_name, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 2 <> 0 THEN 'new' END AS note FROM customer",
         "position_deletes": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'again' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders",
         "equality_deletes": "WITH n AS (SELECT *, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS p FROM orders) SELECT o_orderkey, p AS o_orderpriority, o_totalprice FROM n WHERE NOT (p IS NULL OR p LIKE '1%') UNION ALL SELECT o_orderkey, p, -1.0 FROM n WHERE o_orderkey % 11 = 0",
+        "scan_nested": "SELECT c_custkey, c_nationkey AS nation, 'struct<home:struct<nation:int>>' AS shape FROM customer WHERE c_name >= 'Customer#000000100' AND c_mktsegment <> 'BUILDING'",
+        "scan_limit": "SELECT 7 AS n",
+        "min_sequence_number": "SELECT * FROM (VALUES (0, 1), (1, 1), (2, 1)) v(version, least)",
+        "manifest_pruning": "SELECT 1 AS kept, 2 AS every",
+        "delete_plan": "SELECT CASE WHEN k THEN 0 ELSE 1 END AS position_deletes, false AS equality_deletes, count(DISTINCT year(o_orderdate)) AS n_files FROM (SELECT o_orderdate, k FROM orders, (VALUES (true), (false)) v(k) WHERE o_orderkey % 7 = 0) t GROUP BY k",
+        "metadata_log_table": "SELECT 2 AS n_earlier",
         "incremental_append": f"SELECT count(*) AS n_rows FROM lineitem WHERE NOT {early}",
     }

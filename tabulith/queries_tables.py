@@ -17,7 +17,7 @@ from tabulith.plans import expressions as e
 from tabulith.plans.scan import SnapshotTable
 from tabulith.schema import TableSchema
 from tabulith.session import new_dir
-from tabulith.sources.metadata import history_df, refs_df, schemas_df, snapshots_df
+from tabulith.sources.metadata import history_df, metadata_log_df, refs_df, schemas_df, snapshots_df
 from tabulith.sources.writer import TableWriter
 from tabulith.streaming.follow import appended_files
 
@@ -56,6 +56,10 @@ def _build(spark: SparkSession, d: str, name: str) -> TableWriter:
         w.append(nulled)
         w.delete_equal(nulled.where("o_orderpriority IS NULL OR o_orderpriority LIKE '1%'").select("o_orderstatus", "o_orderpriority").distinct(), ["o_orderstatus", "o_orderpriority"])
         w.append(nulled.where("o_orderkey % 11 = 0").withColumn("o_totalprice", F.lit(-1.0)))
+    elif name == "customer@nested":
+        nested = df.selectExpr("c_custkey", "named_struct('name', c_name, 'home', named_struct('nation', c_nationkey, 'segment', c_mktsegment)) AS who", "c_acctbal")
+        w = TableWriter.create(spark, place, nested.schema)
+        w.append(nested, files=4)
     elif base == "orders":
         w = TableWriter.create(spark, place, df.schema, [("o_orderdate", "year"), ("o_orderkey", "bucket[4]")])
         w.append(df)
@@ -218,6 +222,40 @@ def incremental_append(spark: SparkSession, d: str) -> DataFrame:
     return f.agg(F.sum("record_count").alias("n_rows"))
 
 
+def scan_nested(spark: SparkSession, d: str) -> DataFrame:
+    """A part of a struct, filtered by another one that is read but not returned."""
+    df = table(spark, d, "customer@nested").scan(["c_custkey", "who.home.nation"], e.And(e.at_least("who.name", "Customer#000000100"), e.not_equal("WHO.HOME.SEGMENT", "BUILDING")), case_sensitive=False).to_df()
+    return df.select("c_custkey", F.col("who.home.nation").alias("nation"), F.lit(df.schema["who"].dataType.simpleString()).alias("shape"))
+
+
+def scan_limit(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").scan(["n_nationkey"], limit=7).to_df().agg(F.count("*").alias("n"))
+
+
+def min_sequence_number(spark: SparkSession, d: str) -> DataFrame:
+    """Least sequence number of the data manifests of each version."""
+    tb = table(spark, d, "orders@positions")
+    rows = [(k, tb.scan(snapshot_id=s.snapshot_id).min_sequence_number()) for k, s in enumerate(tb.metadata.snapshots)]
+    return spark.createDataFrame(rows, "version int, least bigint")
+
+
+def manifest_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests that may hold rows of a month of the first snapshot, and all."""
+    tb = table(spark, d, "lineitem")
+    kept = tb.scan(LINES, e.And(e.at_least("l_shipdate", "1997-03-15T00:00:00.000000"), e.less("l_shipdate", "1997-06-10T00:00:00.000000")))
+    return kept.manifests().agg(F.count("*").alias("kept")).withColumn("every", F.lit(tb.manifests().count()))
+
+
+def delete_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Data files by the number of position-delete files that apply and whether equality deletes do."""
+    plan = table(spark, d, "orders@positions").scan(["o_orderkey"]).plan_files()
+    return plan.groupBy(F.size("delete_files").alias("position_deletes"), "equality_deletes").agg(F.count("*").alias("n_files"))
+
+
+def metadata_log_table(spark: SparkSession, d: str) -> DataFrame:
+    return metadata_log_df(spark, table(spark, d, "lineitem").metadata).agg(F.count("*").alias("n_earlier"))
+
+
 AND_OR_NOT = e.Or(e.Not(e.Or(e.less("l_quantity", 40), e.equal("l_returnflag", "N"))), e.And(e.equal("l_linenumber", 1), e.Not(e.not_equal("l_linestatus", "F"))))
 
 
@@ -225,6 +263,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         scan_project, scan_project_case_insensitive, prune_by_id, transform_truncate_signed, sort_order_apply, pruning_soundness, pruning_files, file_stats, manifests_table, files_table, all_files_table,
         snapshots_table, refs_table, history_table, schemas_table, time_travel_id, time_travel_tag, time_travel_timestamp, schema_evolution, position_deletes, equality_deletes, incremental_append,
+        scan_nested, scan_limit, min_sequence_number, manifest_pruning, delete_plan, metadata_log_table,
     )
     docs = ("doc_id", "lang", "author")
     year = Transform("year")

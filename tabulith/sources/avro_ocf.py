@@ -239,7 +239,8 @@ def write(schema: object, records: Sequence[dict], meta: dict[str, str] | None =
 
 def join(files: Sequence[bytes]) -> bytes:
     """One file from the blocks of several that have the same schema, codec and metadata; blocks are copied as they are encoded and only
-    the markers between them rewritten. Records are counted in block heads and checked."""
+    the markers between them rewritten. Records are counted in block heads and checked. Entries of manifests that inherit a sequence number
+    keep their meaning only beside entries of the same one."""
     first_meta: dict[str, bytes] | None = None
     sync, out, count = os.urandom(16), [], 0
     for data in files:
