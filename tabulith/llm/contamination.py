@@ -26,10 +26,14 @@ RADIUS = 11
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 2
 LEAST_SHARED = 0.5
 LEAST_MATCHED = 10  # a passage of twelve words of which two were altered
-LEAST_WORDS_WEIGHT = 11.0  # in words of mean weight
+LEAST_WORDS_WEIGHT = 11.0  # in words of mean weight; for alignments beyond ALTERED edits, or that lack the passage's telling words
+ALTERED = 2  # edits of a slightly altered passage, its end words included
+LEAST_WEIGHT_SHARE = 0.75  # of a slightly altered passage's own weight
+FAR = 40
 BAND = 8
 CHUNK = 16_384
 FOOTHOLD = 6
+SEED = 4  # of WINDOW words of which ALTERED were altered, so many always stand unbroken
 ITEM_BLOCK = 2_000
 
 
@@ -220,6 +224,28 @@ class Items:
                     break
         return out
 
+    def _slightly(self, toks: np.ndarray, item: int, p: int, q: int) -> int:
+        """Words matched if a passage with at most ``ALTERED`` edits goes through text position ``p`` and item position ``q``, else 0. It has no least
+        weight of its own: words of the item that were altered must just not be the ones that tell it from stock phrases."""
+        it, weight = self.tokens[item], self.weight
+        if len(it) < WINDOW:
+            return 0
+        i, t = it[max(0, q - FAR) : q + FAR].tolist(), toks[max(0, p - FAR) : p + FAR].tolist()
+        q0, p0 = min(q, FAR), min(p, FAR)
+        right, left = _extend(i[q0:], t[p0:], ALTERED), _extend(i[:q0][::-1], t[:p0][::-1], ALTERED)
+        for er, (mr, qr) in enumerate(right):
+            for ml, ql in left[: ALTERED + 1 - er]:
+                matched = len(mr) + len(ml)
+                if matched < LEAST_MATCHED:
+                    continue
+                a, b = q - ql, q + qr
+                kept = float(sum(weight[i[q0 + k]] for k in mr) + sum(weight[i[q0 - 1 - k]] for k in ml))
+                spans = [(x, x + max(WINDOW, b - a)) for x in range(max(0, min(a, b - WINDOW)), a + 1)]  # altered end words
+                whole = min((float(weight[it[x:y]].sum()) for x, y in spans if b <= y <= len(it)), default=math.inf)
+                if kept >= LEAST_WEIGHT_SHARE * whole:
+                    return matched
+        return 0
+
     def _holds(self, toks: np.ndarray, item: int, diagonal: int) -> int:
         """Words matched if the text holds a passage of the item about this diagonal, else 0."""
         it = self.tokens[item]
@@ -227,8 +253,11 @@ class Items:
         equal = toks[a + diagonal : b + diagonal] == it[a:b]
         breaks = np.flatnonzero(np.diff(np.concatenate([[0], equal, [0]])))
         for s, e in zip(breaks[::2], breaks[1::2], strict=True):
-            if e - s >= WINDOW and self.weight[it[a + s : a + e]].sum() >= self.least:
+            if e - s >= WINDOW:
                 return int(e - s)
+        for s, e in zip(breaks[::2], breaks[1::2], strict=True):
+            if e - s >= SEED and (matched := self._slightly(toks, item, a + diagonal + int(s), a + int(s))):
+                return matched
         matched, span, weight = self.passage(toks, item, diagonal)
         return matched if matched >= LEAST_MATCHED and weight >= self.least and matched >= 0.7 * span else 0
 
@@ -242,6 +271,24 @@ def _codes(toks: np.ndarray) -> np.ndarray:
     return out
 
 
+def _extend(item: list[int], text: list[int], edits: int) -> list[tuple[list[int], int]]:
+    """(places of the item's words matched, words of the item spanned) from the start of both on, with at most 0, 1, ... ``edits`` edits."""
+    k, n = 0, min(len(item), len(text))
+    while k < n and item[k] == text[k]:
+        k += 1
+    run = list(range(k))
+    out = [(run, k)]
+    ways = [(di, _extend(item[k + di :], text[k + dt :], edits - 1)) for di, dt in ((1, 1), (1, 0), (0, 1))] if edits and k < n else []
+    for e in range(edits):
+        best = out[-1]
+        for di, way in ways:
+            m, span = way[e]
+            if m and k + len(m) > len(best[0]):
+                best = (run + [k + di + x for x in m], k + di + span)
+        out.append(best)
+    return out
+
+
 def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -265,9 +312,9 @@ def item_blocks(items: DataFrame, id: str, text: str, block: int = ITEM_BLOCK) -
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_words``: each document that holds a passage of an item, itself or in a quote.
 
-    A passage is a run of at least ``WINDOW`` words of the item, even if slightly altered: at least ``LEAST_MATCHED`` of its words match in order,
-    with a weight of ``LEAST_WORDS_WEIGHT`` average words and few others between them, so stock phrases and turns of the language are none. Items of fewer
-    than ``WINDOW`` words have no such passage. Whole texts are read. NULL and empty texts hold nothing; repeated documents give one row; a NULL
+    A passage is a run of at least ``WINDOW`` words of the item, even if slightly altered. An unaltered run counts whatever its words are. Of an altered one
+    at least ``LEAST_MATCHED`` words match in order, either with at most ``ALTERED`` edits and ``LEAST_WEIGHT_SHARE`` of the passage's own weight, or with the
+    weight of ``LEAST_WORDS_WEIGHT`` average words and few others between them, so stock phrases and turns of the language are none. Items of fewer than ``WINDOW`` words have no such passage. Whole texts are read. NULL and empty texts hold nothing; repeated documents give one row; a NULL
     ``doc_id`` is left out. No items, or no documents: no rows.
     """
     src = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))

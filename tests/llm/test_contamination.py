@@ -121,3 +121,17 @@ def test_long_text(items):
     ix, r = index(items), random.Random(2)
     toks = words(text(r, 60_000)) + words(items[3][1]) + words(text(r, 1000))
     assert [ix.ids[k] for _, k, _, _ in ix.leaks([[], toks, ["one"]])] == [items[3][0]]
+
+
+def test_runs_of_common_words():
+    """An unaltered run of 12 or 13 words counts though every item uses its words; the same words in another order don't."""
+    r = random.Random(4)
+    common = r.sample(VOCABULARY, 16)
+    its = [(k, " ".join(r.sample(common, 16)) + " " + text(r, 25)) for k in range(40)]
+    ix = index(its)
+    for n in (12, 13):
+        for k, t in its[:10]:
+            run = words(t)[1 : 1 + n]
+            got = {ix.ids[i] for _, i, _, _ in ix.leaks([["zz"] * 15 + run + ["zz"] * 15])}
+            assert k in got
+    assert ix.leaks([["zz"] * 5 + common[::2] + ["zz"] + common[1::2]]) == []
