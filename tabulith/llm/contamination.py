@@ -67,6 +67,15 @@ class Items:
         used = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.int32)
         self.least = LEAST_WORDS_WEIGHT * float(self.weight[used].mean()) if len(used) else 0.0
         self.runs = np.unique(np.concatenate([_codes(t) for t in self.tokens] or [np.zeros(0, np.uint64)]))
+        seeds = [_codes(t, SEED) for t in self.tokens]
+        code = np.concatenate(seeds or [np.zeros(0, np.uint64)])
+        order = np.argsort(code, kind="stable")
+        self.seeds = code[order]
+        self.seed_item = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])[order]
+        self.seed_at = np.concatenate([np.arange(len(x)) for x in seeds] or [np.zeros(0, np.int64)])[order]
+        pad = np.full(WINDOW, -1, np.int32)
+        self.padded = np.concatenate([x for t in self.tokens for x in (pad, t, pad)] or [pad])
+        self.origin = np.cumsum([0] + [len(t) + 2 * WINDOW for t in self.tokens])[:-1] + WINDOW
         self.windows = np.array(flat, dtype=np.int32).reshape(-1, WINDOW)
         self.item, self.start = np.array(item, dtype=np.int32), np.array(start, dtype=np.int32)
         self.hashes = self._hash_rows(self.windows)
@@ -176,6 +185,34 @@ class Items:
             prev = row
         return best
 
+    def seeded(self, toks: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, item position) of all runs of ``SEED`` words in common about which ``LEAST_MATCHED`` words stand at their place, give or take
+        ``ALTERED`` words: every passage with at most so many edits has one, whatever its fingerprint."""
+        n = len(toks) - SEED + 1
+        if n <= 0 or not len(self.seeds):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = np.concatenate([[0], np.cumsum(toks > 0)])
+        at = np.flatnonzero((doc[:n] == doc[SEED - 1 :]) & (known[SEED:] - known[:n] == SEED))
+        code = _codes(toks, SEED)[at]
+        lo = np.searchsorted(self.seeds, code)
+        size = np.searchsorted(self.seeds, code, side="right") - lo
+        p = np.repeat(at, size)
+        e = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+        item, q = self.seed_item[e], self.seed_at[e]
+        reach = WINDOW - SEED
+        side = np.zeros(reach + ALTERED, np.int32)
+        text = np.concatenate([side, toks, side])
+        span = np.arange(2 * reach + SEED)
+        good = np.zeros(len(p), bool)
+        for a in range(0, len(p), 4096):
+            b = slice(a, a + 4096)
+            want = self.padded[(self.origin[item[b]] + q[b] - reach)[:, None] + span]
+            there = np.zeros(want.shape, bool)
+            for shift in range(2 * ALTERED + 1):
+                there |= want == text[(p[b] + shift)[:, None] + span]
+            good[b] = there.sum(axis=1) >= LEAST_MATCHED
+        return p[good], item[good], q[good]
+
     def footholds(self, texts: list[list[str]]) -> list[tuple[int, int, int]]:
         """(text, start, end) of the parts that may hold a passage with ``FOOTHOLD`` words in sequence of some item: as far around each such place as an
         item reaches. A quick way to where items are pasted, for what isn't a search for leaks itself."""
@@ -204,15 +241,14 @@ class Items:
         lens = np.array([len(c) for c in coded], dtype=np.int64)
         ends = np.cumsum(lens)
         toks = np.concatenate(coded) if coded else np.zeros(0, np.int32)
-        p, w, share = self.candidates(toks, np.repeat(np.arange(len(coded)), lens))
-        if not len(p):
-            return []
+        texts_of = np.repeat(np.arange(len(coded)), lens)
+        p, w, share = self.candidates(toks, texts_of)
         doc = np.searchsorted(ends, p, side="right")
         at = p - (ends - lens)[doc]
         order = np.lexsort((-share, self.item[w], doc))
         out = []
         key = doc[order] * len(self.ids) + self.item[w[order]]
-        for part in np.split(order, np.flatnonzero(np.diff(key)) + 1):
+        for part in np.split(order, np.flatnonzero(np.diff(key)) + 1) if len(p) else ():
             k, i = int(doc[part[0]]), int(self.item[w[part[0]]])
             tried: list[int] = []
             for diagonal in dict.fromkeys((at[part] - self.start[w[part]]).tolist()):
@@ -222,7 +258,15 @@ class Items:
                 if matched := self._holds(coded[k], i, diagonal):
                     out.append((k, i, matched, at[part].tolist()))
                     break
-        return out
+        held = {(k, i) for k, i, *_ in out}
+        more: dict[tuple[int, int], tuple[int, list[int]]] = {}
+        p, item, q = self.seeded(toks, texts_of)
+        doc = texts_of[p]
+        for k, i, x, y in zip(doc.tolist(), item.tolist(), (p - (ends - lens)[doc]).tolist(), q.tolist(), strict=True):
+            if (k, i) not in held and (matched := self._slightly(coded[k], i, x, y)):
+                most, places = more.setdefault((k, i), (0, []))
+                more[k, i] = (max(most, matched), places + [max(0, x - WINDOW + SEED), x])
+        return out + [(k, i, matched, places) for (k, i), (matched, places) in more.items()]
 
     def _slightly(self, toks: np.ndarray, item: int, p: int, q: int) -> int:
         """Words matched if a passage with at most ``ALTERED`` edits goes through text position ``p`` and item position ``q``, else 0. It has no least
@@ -262,11 +306,11 @@ class Items:
         return matched if matched >= LEAST_MATCHED and weight >= self.least and matched >= 0.7 * span else 0
 
 
-def _codes(toks: np.ndarray) -> np.ndarray:
-    """A hash of each run of ``FOOTHOLD`` words."""
-    n = max(0, len(toks) - FOOTHOLD + 1)
+def _codes(toks: np.ndarray, size: int = FOOTHOLD) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    n = max(0, len(toks) - size + 1)
     out = np.zeros(n, dtype=np.uint64)
-    for k in range(FOOTHOLD):
+    for k in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + toks[k : k + n].astype(np.uint64) + np.uint64(1)
     return out
 

@@ -135,3 +135,20 @@ def test_runs_of_common_words():
             got = {ix.ids[i] for _, i, _, _ in ix.leaks([["zz"] * 15 + run + ["zz"] * 15])}
             assert k in got
     assert ix.leaks([["zz"] * 5 + common[::2] + ["zz"] + common[1::2]]) == []
+
+
+@pytest.mark.parametrize(("n", "replaced", "inserted"), [(12, 1, 0), (12, 0, 1), (12, 2, 0), (14, 2, 0), (16, 2, 0)])
+def test_short_altered_passages(items, n, replaced, inserted):
+    """The shortest passages with words replaced by others of the items, or put in."""
+    ix, r = index(items), random.Random(n)
+    found = 0
+    for i, t in items * 5:
+        t = words(t)
+        a = r.randrange(len(t) - n + 1)
+        cut = t[a : a + n]
+        for x in r.sample(range(n), replaced):
+            cut[x] = r.choice(VOCABULARY)
+        for _ in range(inserted):
+            cut.insert(r.randrange(1, n), r.choice(VOCABULARY))
+        found += any(ix.ids[k] == i for _, k, _, _ in ix.leaks([words(text(r, 20)) + cut + words(text(r, 20))]))
+    assert found >= 0.95 * 200
