@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulith.session import materialize
+
 
 def comparable(df: DataFrame, name: str) -> Column:
     """``df[name]`` in a form that can be compared and grouped: maps become arrays of entries in key order."""
@@ -34,3 +36,19 @@ def digest(df: DataFrame, names: Sequence[str]) -> Column:
     parts = [F.coalesce(F.to_json(F.struct(comparable(df, n).alias("v"))), F.lit("-")) for n in names]
     text = F.concat_ws("\x1f", *parts)
     return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), text).alias("h2"))
+
+
+def places(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
+    """``df`` with ``place`` (from 1) of each row within its group (NULL is one) in the given order.
+
+    Rows are partitioned by ranges of group and order and counted within them; offsets per range and group do the rest, so a group may
+    hold any share of the rows. Rows that tie in all of ``order`` get places in any order.
+    """
+    ranged = materialize(df.repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # at most one row for each range and one for each group
+    sizes = ranged.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_g", "_r", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = ranged.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
+    out = within.join(offsets, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
+    return out.withColumn("place", (F.col("_k") + F.col("_before"))).drop("_g", "_r", "_range", "_k", "_before", "_n")

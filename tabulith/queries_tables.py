@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tabulith import types as t
 from tabulith.catalog_tables import read
 from tabulith.functions.transforms import SortField, SortOrder, Transform
+from tabulith.operators.common import places
 from tabulith.plans import expressions as e
 from tabulith.plans.scan import SnapshotTable
 from tabulith.schema import TableSchema
@@ -115,13 +116,24 @@ def transform_truncate_signed(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("whole", "dec").agg(F.count("*").alias("n"))
 
 
-def sort_order_apply(spark: SparkSession, d: str) -> DataFrame:
-    """Places in the declared order: year of the date descending with NULLs last, then status, then key."""
+def _places(spark: SparkSession, d: str, expr: e.Expression | None) -> DataFrame:
+    """Places of orders within their status in the declared order: year of the date descending with NULLs last, then status, then key."""
     tb = table(spark, d, "orders")
     s = tb.metadata.schema()
     order = SortOrder(1, (SortField(s.id_of["o_orderdate"], Transform("year"), "desc"), SortField(s.id_of["o_orderstatus"], Transform("identity"), "asc"), SortField(s.id_of["o_orderkey"], Transform("identity"), "asc")))
-    df = tb.scan(["o_orderkey", "o_orderdate", "o_orderstatus"], e.less("o_orderkey", 2000)).to_df()
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(*order.columns(s)))).select("o_orderkey", "o_orderstatus", "place")
+    columns = ["o_orderkey", "o_orderdate", "o_orderstatus"]
+    df = (tb.scan(columns, expr) if expr else tb.scan(columns)).to_df()
+    return places(df, "o_orderstatus", order.columns(s)).select("o_orderkey", "o_orderstatus", "place")
+
+
+def sort_order_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the orders of the first ids, as in its SQL; ``sort_order_places`` gives those of all orders."""
+    return _places(spark, d, e.less("o_orderkey", 2000))
+
+
+def sort_order_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places of all orders."""
+    return _places(spark, d, None)
 
 
 def pruning_soundness(spark: SparkSession, d: str) -> DataFrame:
@@ -261,7 +273,7 @@ AND_OR_NOT = e.Or(e.Not(e.Or(e.less("l_quantity", 40), e.equal("l_returnflag", "
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        scan_project, scan_project_case_insensitive, prune_by_id, transform_truncate_signed, sort_order_apply, pruning_soundness, pruning_files, file_stats, manifests_table, files_table, all_files_table,
+        scan_project, scan_project_case_insensitive, prune_by_id, transform_truncate_signed, sort_order_apply, sort_order_places, pruning_soundness, pruning_files, file_stats, manifests_table, files_table, all_files_table,
         snapshots_table, refs_table, history_table, schemas_table, time_travel_id, time_travel_tag, time_travel_timestamp, schema_evolution, position_deletes, equality_deletes, incremental_append,
         scan_nested, scan_limit, min_sequence_number, manifest_pruning, delete_plan, metadata_log_table,
     )

@@ -475,3 +475,27 @@ def test_rest_tokens(rest):
     Server.answers["POST", "/v1/oauth/tokens"] = (401, {"error": "invalid_client", "error_description": "Credentials for key invalid_key do not match"})
     with pytest.raises(OAuthError, match="invalid_client: Credentials for key invalid_key do not match"):
         rest(credential="x:y")
+
+
+def test_places_of_all_orders(spark):
+    """Every order has its place within its status, whatever its key."""
+    from tabulith import queries_tables
+    from tests.compare import oracle, plain
+
+    d = "/root/testdata/sf0.01"
+    got = {tuple(plain(v) for v in r) for r in queries_tables.sort_order_places(spark, d).collect()}
+    sql = "SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY year(o_orderdate) DESC NULLS LAST, o_orderkey) FROM orders"
+    want = {tuple(plain(v) for v in r) for r in oracle(d, sql)[1]}
+    assert got == want and max(k for k, *_ in got) > 2000
+
+
+def test_places_within_ranges(spark):
+    """One group holds nearly all rows; a NULL group is one too."""
+    from tabulith.operators.common import places
+
+    df = spark.range(5000).select(F.when(F.col("id") % 1000 == 1, "b").when(F.col("id") % 1000 != 2, "a").alias("g"), (F.col("id") * 7919 % 5003).alias("x"))
+    rows = places(df, "g", [F.col("x").desc()]).collect()
+    want = {}
+    for g, x in sorted(((r.g, r.x) for r in rows), key=lambda p: -p[1]):
+        want.setdefault(g, []).append(x)
+    assert len(rows) == 5000 and set(want) == {"a", "b", None} and all(want[r.g][r.place - 1] == r.x for r in rows)
