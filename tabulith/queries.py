@@ -204,11 +204,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return diff.where("change <> 'gone'").select(*keys).distinct()
 
 
-def p6_replay(spark: SparkSession, d: str) -> DataFrame:
-    """The snapshots processed in three runs with failures between: all as recorded at the time, each content once."""
-    rows = read(spark, d, "snapshots").where("snapshot_id IS NOT NULL").select("table_uuid", "snapshot_id", "parent_snapshot_id", "manifest_list", "recorded_at")
-    content = ["table_uuid", "parent_snapshot_id", "manifest_list"]
-    store = incremental.IncrementalRuns(spark, new_dir(spark, "runs"), ["snapshot_id"], content)
+def _replay(rows: DataFrame, content: list[str]) -> DataFrame:
+    """``snapshot_id`` and content processed in three runs with failures between: all as recorded at the time, each content once."""
+    store = incremental.IncrementalRuns(rows.sparkSession, new_dir(rows.sparkSession, "runs"), ["snapshot_id"], content)
     for until, fail in (("2024-01-01", None), ("2024-07-01", "leaves"), ("2024-07-01", "commit"), ("2024-07-01", None), (None, None)):
         part = in_force(rows.where(F.col("recorded_at") < until) if until else rows, ["snapshot_id"], "recorded_at", content)
         try:
@@ -218,6 +216,18 @@ def p6_replay(spark: SparkSession, d: str) -> DataFrame:
     return store.output()
 
 
+def p6_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots replayed with table, parent and manifest list as content, as in its SQL; ``p6_replay_content`` takes all of it."""
+    rows = read(spark, d, "snapshots").where("snapshot_id IS NOT NULL").select("table_uuid", "snapshot_id", "parent_snapshot_id", "manifest_list", "recorded_at")
+    return _replay(rows, ["table_uuid", "parent_snapshot_id", "manifest_list"])
+
+
+def p6_replay_content(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots replayed with all columns but ``recorded_at`` as content: any correction is processed."""
+    rows = read(spark, d, "snapshots").where("snapshot_id IS NOT NULL")
+    return _replay(rows, [c for c in rows.columns if c not in ("snapshot_id", "recorded_at")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ("p1_found", "p1_hierarchy", "p1_paths", "p2_found", "p2_script", "p2_rows", "p3_found", "p3_assignment", "p3_blockcopy", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay")
+    names = ("p1_found", "p1_hierarchy", "p1_paths", "p2_found", "p2_script", "p2_rows", "p3_found", "p3_assignment", "p3_blockcopy", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay", "p6_replay_content")
     return {n: globals()[n] for n in names}

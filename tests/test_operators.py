@@ -171,3 +171,20 @@ def test_runs_survive_failures(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):  # another run has published this number
         runs.last = lambda: 2
         runs.run(two, keep)
+
+
+def test_replay_of_all_content(spark, tmp_path):
+    """A correction of any column but recorded_at is processed again, a row that merely comes again is not."""
+    from tabulith import queries
+
+    at = ["2023-06-01", "2024-03-01", "2024-09-01"]
+    base = {"t": "'a'", "p": "1L", "s": "5L", "ms": "7L", "l": "'x'", "c": "0", "m": "map('operation', 'append')", "e": "CAST(NULL AS timestamp_ntz)"}
+    changes = [{}, {"p": "2L"}, {"s": "6L"}, {"ms": "8L"}, {"l": "'y'"}, {"c": "1"}, {"m": "map('operation', 'delete')"}, {"e": "timestamp_ntz'2024-02-01'"}]
+    rows = []
+    for k, change in enumerate(changes):
+        for r in (base, base | change, base | change):
+            rows.append(f"({r['t']}, {k}L, {r['p']}, {r['s']}, {r['ms']}, {r['l']}, {r['c']}, {r['m']}, {r['e']}, timestamp_ntz'{at[len(rows) % 3]}')")
+    names = "table_uuid, snapshot_id, parent_snapshot_id, sequence_number, timestamp_ms, manifest_list, schema_id, summary, expired_at, recorded_at"
+    spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v({names})").write.parquet(f"{tmp_path}/snapshots.parquet")
+    n = {r.snapshot_id: r["count"] for r in queries.p6_replay_content(spark, str(tmp_path)).groupBy("snapshot_id").count().collect()}
+    assert n == {k: 1 if k == 0 else 2 for k in range(len(changes))}
