@@ -32,7 +32,6 @@ LEAST_WEIGHT_SHARE = 0.75  # of a slightly altered passage's own weight
 FAR = 40
 BAND = 8
 CHUNK = 16_384
-FOOTHOLD = 6
 SEED = 4  # of WINDOW words of which ALTERED were altered, so many always stand unbroken
 ITEM_BLOCK = 2_000
 
@@ -66,7 +65,6 @@ class Items:
                 start.append(p)
         used = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.int32)
         self.least = LEAST_WORDS_WEIGHT * float(self.weight[used].mean()) if len(used) else 0.0
-        self.runs = np.unique(np.concatenate([_codes(t) for t in self.tokens] or [np.zeros(0, np.uint64)]))
         seeds = [_codes(t, SEED) for t in self.tokens]
         code = np.concatenate(seeds or [np.zeros(0, np.uint64)])
         order = np.argsort(code, kind="stable")
@@ -213,28 +211,6 @@ class Items:
             good[b] = there.sum(axis=1) >= LEAST_MATCHED
         return p[good], item[good], q[good]
 
-    def footholds(self, texts: list[list[str]]) -> list[tuple[int, int, int]]:
-        """(text, start, end) of the parts that may hold a passage with ``FOOTHOLD`` words in sequence of some item: as far around each such place as an
-        item reaches. A quick way to where items are pasted, for what isn't a search for leaks itself."""
-        coded = [self.encode(t) for t in texts]
-        lens = np.array([len(c) for c in coded], dtype=np.int64)
-        if lens.sum() < FOOTHOLD:
-            return []
-        toks = np.concatenate(coded)
-        doc = np.repeat(np.arange(len(coded)), lens)
-        n = len(toks) - FOOTHOLD + 1
-        at = np.flatnonzero((doc[:n] == doc[FOOTHOLD - 1 :]) & np.isin(_codes(toks), self.runs))
-        reach = max(map(len, self.tokens), default=0) + WINDOW
-        first = np.cumsum(lens) - lens
-        out: list[tuple[int, int, int]] = []
-        for k, p in zip(doc[at].tolist(), (at - first[doc[at]]).tolist(), strict=True):
-            a, b = max(0, p - reach), min(int(lens[k]), p + reach)
-            if out and out[-1][0] == k and a <= out[-1][2]:
-                out[-1] = (k, out[-1][1], b)
-            else:
-                out.append((k, a, b))
-        return out
-
     def leaks(self, texts: list[list[str]]) -> list[tuple[int, int, int, list[int]]]:
         """(text, item, words matched, positions of the windows) of each item that a text holds a passage of."""
         coded = [self.encode(t) for t in texts]
@@ -306,7 +282,7 @@ class Items:
         return matched if matched >= LEAST_MATCHED and weight >= self.least and matched >= 0.7 * span else 0
 
 
-def _codes(toks: np.ndarray, size: int = FOOTHOLD) -> np.ndarray:
+def _codes(toks: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` words."""
     n = max(0, len(toks) - size + 1)
     out = np.zeros(n, dtype=np.uint64)

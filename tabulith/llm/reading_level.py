@@ -291,15 +291,13 @@ def _own(frame: pd.DataFrame, index: Items | None) -> list[Post]:
     if index is None:
         return posts
     flat = [[w for t in toks for w in t] for _, toks in posts]
-    near = index.footholds(flat)
     pasted: dict[int, np.ndarray] = {}
-    for j, item, _, at in index.leaks([flat[k][a:b] for k, a, b in near]):
-        k, first, _ = near[j]
+    for k, item, _, at in index.leaks(flat):
         mark = pasted.setdefault(k, np.zeros(len(flat[k]), bool))
         # the windows reach beyond the passage: of their words those are the item's that stand beside the same neighbour there
         window = np.zeros(len(mark), bool)
         for p in at:
-            window[first + p : first + p + WINDOW] = True
+            window[p : p + WINDOW] = True
         code, it = index.encode(flat[k]).astype(np.int64), index.tokens[item].astype(np.int64)
         pair = np.isin(code[:-1] << 32 | code[1:], it[:-1] << 32 | it[1:]) & (code[:-1] > 0) & (code[1:] > 0)
         mark |= window & (np.concatenate([pair, [False]]) | np.concatenate([[False], pair]))

@@ -81,3 +81,19 @@ def test_pasted_items_are_no_prose(spark, graded):
     posts = m._own(pd.DataFrame({"t": [f"{OWN}\n\n{item}\n\n{OWN}", OWN]}), m._items(block))
     assert [p[0] for p in posts] == [["I fix the old lamp today.", "You see the new box."] * 2, ["I fix the old lamp today.", "You see the new box."]]
     assert words(item)
+
+
+def test_pasted_item_with_every_sixth_word_altered():
+    """A pasted item that keeps no six words in sequence is no own prose either."""
+    import pandas as pd
+
+    from tabulith.llm import contamination
+
+    r = random.Random(6)
+    vocabulary = [a + b + c for a in "bdfgklmprst" for b in "aeiou" for c in ("nt", "rk", "sh", "mber")]
+    item = r.choices(vocabulary, k=40)
+    index = contamination.Items([1], [words(" ".join(item))])
+    pasted = " ".join("zebra" if k % 6 == 5 else w for k, w in enumerate(item)).capitalize() + "."
+    own = "We walked to the station early because the bus was late again."
+    posts = m._own(pd.DataFrame({"t": [f"{own} {pasted} {own}"]}), index)
+    assert [w for t in posts[0][1] for w in t if w == "zebra"] == [] and len(posts[0][0]) == 2
