@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -347,3 +347,31 @@ def expand_descendants(tree: DataFrame, ids: DataFrame, id: str, parent: str) ->
             return done if done is not None else cur.select("ancestor", F.col("at").alias("descendant"), F.lit(far).alias("distance"))
         part = cur.select("ancestor", F.col("at").alias("descendant"), F.lit(far).alias("distance"))
         done = part if done is None else done.unionByName(part)
+
+
+def with_intervals(tree: DataFrame, id: str, parent: str) -> DataFrame:  # noqa: A002
+    """Add ``top``, ``first`` and ``last``: u is below v just if both have the same ``top`` and v.first < u.first <= v.last.
+
+    ``first`` is the place in preorder (siblings by id) below ``top``, the topmost ancestor; of nodes below a circle that is the one that hangs
+    from it. Nodes on a circle have no defined descendants and get NULL. All descendants of all nodes take one row each. Not from the
+    contraction records: sizes of earlier siblings are summed by ranges, then up the path by pointer doubling, log2(depth) joins.
+    """
+    circle = tree.where("on_circle").select(F.col(id).alias("_c"))
+    nodes = tree.where("NOT on_circle").select(F.col(id).alias("v"), F.col(parent).alias("p"), (F.col("n_descendants") + 1).alias("w"))
+    nodes = materialize(nodes.join(circle, F.col("p") == F.col("_c"), "left").select("v", F.when(F.col("_c").isNull(), F.col("p")).alias("p"), "w"), "nodes")
+    kids = materialize(nodes.where("p IS NOT NULL").repartitionByRange("p", "v").withColumn("r", F.spark_partition_id()), "kids")
+    # a node with many children spans many ranges
+    ahead = F.sum("w").over(Window.partitionBy("p").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = kids.groupBy("p", "r").agg(F.sum("w").alias("w")).select("p", "r", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    within = F.sum("w").over(Window.partitionBy("p", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    kids = kids.select("v", "p", "r", F.coalesce(within, F.lit(0)).alias("within")).join(ranges, ["p", "r"])
+    done = nodes.where("p IS NULL").select("v", F.col("v").alias("top"), F.lit(0).cast("long").alias("first"))
+    more = materialize(kids.select("v", F.col("p").alias("anc"), (F.col("within") + F.col("ahead") + 1).alias("first")), "places")
+    while not more.isEmpty():
+        ends = done.select(F.col("v").alias("_v"), F.col("top"), F.lit(None).cast(more.schema["anc"].dataType).alias("_a"), F.col("first").alias("_f"))
+        on = more.select(F.col("v").alias("_v"), F.lit(None).cast(more.schema["v"].dataType).alias("top"), F.col("anc").alias("_a"), F.col("first").alias("_f"))
+        step = more.join(ends.unionByName(on), F.col("anc") == F.col("_v")).select("v", F.col("_a").alias("anc"), "top", (F.col("first") + F.col("_f")).alias("first"))
+        step = materialize(step, "doubled")
+        done = done.unionByName(step.where("top IS NOT NULL").select("v", "top", "first"))
+        more = step.where("top IS NULL").select("v", "anc", "first")
+    return tree.join(done, F.col(id) == F.col("v"), "left").withColumn("last", F.col("first") + F.col("n_descendants")).drop("v")

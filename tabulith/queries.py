@@ -36,6 +36,12 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.with_paths(t, "snapshot_id", "parent_snapshot_id").select("snapshot_id", "depth", F.array_join("path_tail", ",").alias("path_tail"), "path_next")
 
 
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Each snapshot's descendants as an interval of places in preorder (see ``with_intervals``)."""
+    t = materialize(_lineage(spark, d), "lineage")
+    return hierarchy.with_intervals(t, "snapshot_id", "parent_snapshot_id").select("snapshot_id", "top", "first", "last")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of a field from one schema version of a table to the next."""
     c = schema_drift.schema_changes(read(spark, d, "table_schemas"))
@@ -229,5 +235,5 @@ def p6_replay_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ("p1_found", "p1_hierarchy", "p1_paths", "p2_found", "p2_script", "p2_rows", "p3_found", "p3_assignment", "p3_blockcopy", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay", "p6_replay_content")
+    names = ("p1_found", "p1_hierarchy", "p1_paths", "p1_descendants", "p2_found", "p2_script", "p2_rows", "p3_found", "p3_assignment", "p3_blockcopy", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay", "p6_replay_content")
     return {n: globals()[n] for n in names}

@@ -124,3 +124,22 @@ def pairs_below_circle(parent: dict, want: dict) -> dict:
                 u = parent[u]
             out[v] = line
     return out
+
+
+@pytest.mark.parametrize(("n", "chain", "loops"), [(150, 0.95, 0.01), (150, 0.2, 0.03)])
+def test_descendants_as_intervals(spark, n, chain, loops):
+    from tabulith.session import materialize
+
+    parent = forest(n, 5, chain, loops)
+    tree = materialize(h.hierarchy(table(spark, parent), "id", "parent"), "tree")
+    rows = h.with_intervals(tree, "id", "parent").collect()
+    want = brute(parent)
+    assert len(rows) == n and {r.id for r in rows if r.first is None} == {v for v, x in want.items() if x[2]}
+    got = {(a.id, b.id) for a in rows for b in rows if a.top is not None and a.top == b.top and a.first < b.first <= a.last}
+    above = set()
+    for v in parent:
+        u = parent[v]
+        while u is not None and not want[u][2] and not want[v][2]:
+            above.add((u, v))
+            u = parent[u]
+    assert got == above and len(got) > 100
