@@ -20,6 +20,7 @@ SMALL_MEAN = 1 << 20
 TARGET = 8 << 20
 PIECE_FILES = 50_000
 PIECE_TARGETS = 64
+COPY_TASKS = 50_000
 
 
 def groups_in_need(files: DataFrame, group: Sequence[str], size: str, min_files: int = MIN_FILES, small_mean: int = SMALL_MEAN) -> DataFrame:
@@ -51,6 +52,12 @@ def assign(files: DataFrame, group: Sequence[str], path: str, size: str, target:
     return moved.unionByName(stay).drop("n_files", "n_bytes")
 
 
+def spread_targets(plan: DataFrame) -> DataFrame:
+    """The written ``plan`` over as many partitions as it has targets, up to ``COPY_TASKS``. Its rows are but paths, so adaptive execution would put
+    them, and all the copying, into one task if the number of partitions weren't given."""
+    return plan.repartition(max(1, min(plan.select("target").distinct().count(), COPY_TASKS)), "target")
+
+
 def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes: int = 128 << 20) -> DataFrame:
     """Join the Parquet files under ``source`` into files of about ``target_bytes`` under ``target`` by copying their blocks.
 
@@ -84,7 +91,8 @@ def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes:
         r = parquet_blocks.join_files(sorted(d["path"]), out)
         return pd.DataFrame([{"target": out, **r}])
 
-    done = materialize(plan.withColumn("target", name).select("path", "target").groupBy("target").applyInPandas(copy, "target string, files int, blocks int, rows long, bytes long"), "compacted")
+    plan = materialize(plan.withColumn("target", name).select("path", "target"), "plan")
+    done = materialize(spread_targets(plan).groupBy("target").applyInPandas(copy, "target string, files int, blocks int, rows long, bytes long"), "compacted")
     a = files.agg(F.count("*"), F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     b = done.agg(F.coalesce(F.sum("files"), F.lit(0)), F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     if tuple(a) != tuple(b):

@@ -179,14 +179,18 @@ def _implied(b: Bound, f, kind: t.Type) -> Expression:
     return AlwaysTrue()
 
 
-def partition_condition(expr: Expression, keys: Callable[[int], Column]) -> Column:
-    """A projected tree as a condition on order keys of partition values (``keys`` of a field id; NULL for a NULL value)."""
+def partition_condition(expr: Expression, keys: Callable[[int], Column], known: Callable[[int], Column] = lambda i: F.lit(True)) -> Column:
+    """A projected tree as a condition on order keys of partition values (``keys`` of a field id; NULL for a NULL value). A value that isn't
+    ``known`` may be any."""
 
     def lit(v: object, kind: t.Type) -> Column:
         k = order_key(v, kind)
         return F.lit(k.hex().upper() if isinstance(k, bytes) else k)
 
     def leaf(b: Bound) -> Column:
+        return F.when(known(b.field.id), test(b)).otherwise(True)
+
+    def test(b: Bound) -> Column:
         c, kind = keys(b.field.id), b.field.type
         match b.op:
             case "is_null":

@@ -6,13 +6,15 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith import types as t
 from tabulith.functions.literals import order_key
+from tabulith.session import materialize
 from tabulith.sources import avro_ocf
-from tabulith.sources.filesystem import read_bytes
+from tabulith.sources.filesystem import filesystem, read_bytes
 
 SUMMARIES = "array<struct<contains_null:boolean,contains_nan:boolean,lower_bound:binary,upper_bound:binary>>"
 MANIFESTS = (
@@ -21,13 +23,17 @@ MANIFESTS = (
 )
 ENTRIES = (
     "manifest_path string, spec_id int, status int, snapshot_id bigint, sequence_number bigint, file_sequence_number bigint, content int, file_path string, file_format string, partition map<int,string>, "
-    "partition_json string, record_count bigint, file_size_in_bytes bigint, column_sizes map<int,bigint>, value_counts map<int,bigint>, null_value_counts map<int,bigint>, nan_value_counts map<int,bigint>, "
+    "partition_json string, partition_known boolean, record_count bigint, file_size_in_bytes bigint, column_sizes map<int,bigint>, value_counts map<int,bigint>, null_value_counts map<int,bigint>, nan_value_counts map<int,bigint>, "
     "lower_bounds map<int,binary>, upper_bounds map<int,binary>, key_metadata binary, split_offsets array<bigint>, equality_ids array<int>, sort_order_id int"
 )
 # Format-1 names of counts and format-2 ones.
 OLD_COUNTS = {"added_files_count": "added_data_files_count", "existing_files_count": "existing_data_files_count", "deleted_files_count": "deleted_data_files_count"}
 EXISTING, ADDED, DELETED = 0, 1, 2
 DATA, POSITION_DELETES, EQUALITY_DELETES = 0, 1, 2
+#: A single manifest list of up to this many bytes is decoded by the driver, which keeps its rows as a local relation; a larger one is a task's work.
+LOCAL_LIST_BYTES = 4 << 20
+#: Manifests are decoded by at most this many tasks.
+DECODE_TASKS = 10_000
 
 
 def manifest_rows(data: bytes) -> list[dict]:
@@ -43,8 +49,14 @@ def manifest_rows(data: bytes) -> list[dict]:
     return out
 
 
-def _kinds(schema: object) -> dict[str, tuple[int | None, t.Type | None]]:
-    """Id and type of each partition field, as the file's own schema has them."""
+def _kinds(meta: dict[str, str]) -> dict[str, tuple[int | None, t.Type | None]]:
+    """Id and type of each partition field, as the file's own schema has them; an id that it lacks is that of the field of that name in the
+    spec that the file carries."""
+    schema = meta["avro.schema"]
+    try:
+        named = {f["name"]: f.get("field-id") for f in json.loads(meta.get("partition-spec", "[]"))}
+    except (ValueError, TypeError, KeyError):
+        named = {}
     fields = next((f["type"] for f in json.loads(schema)["fields"] if f["name"] == "data_file"), {}).get("fields", ())
     part = next((f["type"] for f in fields if f["name"] == "partition"), {})
     out: dict[str, tuple[int | None, t.Type | None]] = {}
@@ -58,7 +70,7 @@ def _kinds(schema: object) -> dict[str, tuple[int | None, t.Type | None]]:
             typed = t.Decimal(kind["precision"], kind.get("scale", 0))
         elif name == "fixed":
             typed = t.UUID if logical == "uuid" else t.Fixed(kind["size"])
-        out[f["name"]] = (f.get("field-id"), typed)
+        out[f["name"]] = (f.get("field-id", named.get(f["name"])), typed)
     return out
 
 
@@ -81,13 +93,15 @@ def entry_rows(data: bytes, manifest: dict) -> list[dict]:
     the manifest has number 0 or the entry was added. Format-1 entries have number 0."""
     meta, records = avro_ocf.read(data)
     new = meta.get("format-version") == "2" or any("sequence_number" in r for r in records[:1])
-    kinds = _kinds(meta["avro.schema"])
+    kinds = _kinds(meta)
     out = []
     for r in records:
         d = r["data_file"]
         row = {k: d.get(k) for k in ("file_path", "file_format", "record_count", "file_size_in_bytes", "column_sizes", "value_counts", "null_value_counts", "nan_value_counts", "lower_bounds", "upper_bounds", "key_metadata", "split_offsets", "equality_ids", "sort_order_id")}
         part = d.get("partition") or {}
         row["partition"] = {i: k for n, v in part.items() if (i := kinds.get(n, (None, None))[0]) is not None and (k := _key(v, kinds[n][1])) is not None}
+        # a value whose field or type isn't known is left out of the map, which otherwise means NULL
+        row["partition_known"] = all(n in kinds and kinds[n][0] is not None and (v is None or kinds[n][1] is not None) for n, v in part.items())
         row["partition_json"] = json.dumps({n: v.hex() if isinstance(v, bytes) else v for n, v in part.items()}, sort_keys=True)
         row |= {"status": r["status"], "snapshot_id": r.get("snapshot_id"), "content": d.get("content") or 0, "manifest_path": manifest["manifest_path"], "spec_id": manifest["partition_spec_id"]}
         seq, file_seq = r.get("sequence_number"), r.get("file_sequence_number")
@@ -121,22 +135,54 @@ def _names(ddl: str) -> list[str]:
     return out
 
 
+def _local(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """Few rows as a local relation: Catalyst filters it while planning, without a job."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = spark.createDataFrame([], ddl)
+    return spark.createDataFrame(pa.Table.from_pylist([{n: r.get(n) for n in empty.columns} for r in rows], schema=to_arrow_schema(empty.schema)), empty.schema)
+
+
+def _is_local(df: DataFrame) -> bool:
+    return df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation"
+
+
 def read_lists(spark: SparkSession, lists: list[str], props: dict[str, str] | None = None) -> DataFrame:
-    """Rows of the named manifest lists, one task per list; ``manifest_list`` names the list. No lists: no rows."""
-    src = spark.createDataFrame([(x,) for x in lists if x], "manifest_list string")
+    """Rows of the named manifest lists; ``manifest_list`` names the list. A single one of up to ``LOCAL_LIST_BYTES`` becomes a local relation, else there
+    is one task per list. No lists: no rows."""
+    ddl = "manifest_list string, " + MANIFESTS
+    lists = [x for x in lists if x]
+    if len(lists) == 1:
+        fs, path = filesystem(lists[0], props)
+        if fs.get_file_info(path).size <= LOCAL_LIST_BYTES:
+            return _local(spark, [{"manifest_list": lists[0], **r} for r in manifest_rows(read_bytes(lists[0], props))], ddl)
+    src = spark.createDataFrame([(x,) for x in lists], "manifest_list string")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for x in f["manifest_list"]:
                 rows = [{"manifest_list": x, **r} for r in manifest_rows(read_bytes(x, props))]
                 for a in range(0, len(rows), 5000):
-                    yield _frame(rows[a : a + 5000], "manifest_list string, " + MANIFESTS)
+                    yield _frame(rows[a : a + 5000], ddl)
+
+    return src.repartition(max(1, min(len(lists), DECODE_TASKS))).mapInPandas(decode, ddl)
+
+
+HEADS = "manifest_path string, partition_spec_id int, sequence_number bigint, added_snapshot_id bigint"
+
 
-    return src.repartition(max(1, min(len(lists), 1000))).mapInPandas(decode, "manifest_list string, " + MANIFESTS)
+def spread_manifests(manifests: DataFrame) -> DataFrame:
+    """Each manifest once, over as many partitions as there are manifests, up to ``DECODE_TASKS``. The rows are tiny, so the number of partitions is given: left to
+    adaptive execution, all of them would meet in one task. A local relation is sliced evenly as it is."""
+    src = manifests.select(*_names(HEADS))
+    if _is_local(src):
+        return _local(src.sparkSession, [r.asDict() for r in {r.manifest_path: r for r in src.collect()}.values()], HEADS)  # no job: the rows are here
+    src = materialize(src.dropDuplicates(["manifest_path"]), "manifests")
+    return src.repartition(max(1, min(src.count(), DECODE_TASKS)), "manifest_path")
 
 
 def read_entries(manifests: DataFrame, props: dict[str, str] | None = None, discard_deleted: bool = False) -> DataFrame:
-    """Entries of the manifests in a table of manifest rows. The manifests are spread over tasks by a hash of their path and each is read where its row is."""
+    """Entries of the manifests in a table of manifest rows, each decoded where ``spread_manifests`` put its row."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -146,8 +192,7 @@ def read_entries(manifests: DataFrame, props: dict[str, str] | None = None, disc
                 for a in range(0, len(rows), 5000):
                     yield _frame(rows[a : a + 5000], ENTRIES)
 
-    src = manifests.select("manifest_path", "partition_spec_id", "sequence_number", "added_snapshot_id").dropDuplicates(["manifest_path"])
-    out = src.mapInPandas(decode, ENTRIES)
+    out = spread_manifests(manifests).mapInPandas(decode, ENTRIES)
     return out.where(F.col("status") != DELETED) if discard_deleted else out
 
 
