@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +20,11 @@ from tabulith.plans.expressions import AlwaysTrue, Bound, Expression, bind, fold
 from tabulith.plans.pruning import might_match_column, partition_condition, project, summary_condition
 from tabulith.schema import TableSchema
 from tabulith.session import materialize
+from tabulith.sources.datafiles import FORMATS, read_files
 from tabulith.sources.filesystem import read_bytes, spark_path
 from tabulith.sources.manifests import DATA, EQUALITY_DELETES, MANIFESTS, POSITION_DELETES, has_files, read_entries, read_lists
 from tabulith.sources.metadata import Snapshot, TableMetadata
-from tabulith.sources.writer import PATH_ID
+from tabulith.sources.writer import PATH_ID, POS_ID
 
 
 class ScanError(ValueError):
@@ -129,6 +130,8 @@ class TableScan:
 
     def _by_spec(self, condition) -> Column:
         """A condition that differs by partition spec; unknown specs keep all."""
+        if isinstance(self._bound(), AlwaysTrue):
+            return F.lit(True)
         out = F.lit(True)
         for s in self.table.metadata.specs:
             tree = project(self._bound(), self._known(s), self.schema)
@@ -138,13 +141,18 @@ class TableScan:
     def _known(self, spec: PartitionSpec) -> PartitionSpec:
         return replace(spec, fields=tuple(f for f in spec.fields if f.source_id in self.schema.by_id))
 
-    def manifests(self) -> DataFrame:
+    @cached_property
+    def _manifests(self) -> DataFrame:
         m = self.table.manifests(self.snapshot) if self.snapshot else self.table.spark.createDataFrame([], MANIFESTS)
         m = m.where(has_files()).withColumn("_spec", F.col("partition_spec_id"))
         if self.skipping:
             m = m.where((F.col("content") != DATA) | self._by_spec(lambda tree, s: summary_condition(tree, s, F.col("partitions"))))
         return m.drop("_spec")
 
+    def manifests(self) -> DataFrame:
+        """Rows of the manifests that might hold matching rows, and of all manifests of deletes."""
+        return self._manifests
+
     def min_sequence_number(self) -> int | None:
         """The least sequence number of the data manifests; None without any."""
         return self.manifests().where(F.col("content") == DATA).agg(F.min("min_sequence_number")).first()[0]
@@ -154,7 +162,8 @@ class TableScan:
         e = read_entries(self.manifests(), self.table.props, True).withColumn("_spec", F.col("spec_id"))
         if self.skipping:
             keys = lambda i: F.try_element_at("partition", F.lit(i))
-            keep = self._by_spec(lambda tree, s: partition_condition(tree, keys)) & might_match_column(self._bound())
+            known = lambda i: F.coalesce("partition_known", F.lit(False))
+            keep = self._by_spec(lambda tree, s: partition_condition(tree, keys, known)) & might_match_column(self._bound())
             e = e.where((F.col("content") != DATA) | keep)
         return e.drop("_spec")
 
@@ -168,15 +177,15 @@ class TableScan:
         spark = self.table.spark
         data = e.where(F.col("content") == DATA)
         head = data.select("file_path", same_file(F.col("file_path")).alias("p"), "spec_id", "partition_json", "sequence_number")
-        info = ("file_path", "sequence_number", "file_size_in_bytes")
+        info = ("file_path", "sequence_number", "file_size_in_bytes", "file_format")
         bound = lambda m: same_file(F.try_element_at(m, F.lit(PATH_ID)).cast("string"))
         pos = e.where(F.col("content") == POSITION_DELETES).select(F.struct(*info).alias("d"), F.col("spec_id").alias("dspec"), F.col("partition_json").alias("dpart"), bound("lower_bounds").alias("lo"), bound("upper_bounds").alias("hi"))
         # a delete file whose bounds are one path names that data file; others are asked which ones they name
         named = pos.where("lo = hi").withColumn("q", F.col("lo"))
         spanning = pos.where("NOT coalesce(lo = hi, false)")
-        paths = [spark_path(r.f) for r in spanning.select(F.col("d.file_path").alias("f")).collect()]
+        paths = [(r.k, r.f) for r in spanning.select(F.col("d.file_path").alias("f"), F.lower("d.file_format").alias("k")).collect()]
         if paths:
-            inside = spark.read.schema("file_path string").parquet(*paths).select(same_file(F.col("file_path")).alias("q"), same_file(F.col("_metadata.file_path")).alias("_d")).distinct()
+            inside = self._positions(paths).select(F.col("_p").alias("q"), "_d").distinct()
             named = named.unionByName(spanning.join(inside, same_file(F.col("d.file_path")) == F.col("_d")).drop("_d"))
         here = (F.col("dpart") == "{}") | ((F.col("spec_id") == F.col("dspec")) & (F.col("partition_json") == F.col("dpart")))
         found = head.join(named, F.col("p") == F.col("q")).where(here & (F.col("sequence_number") <= F.col("d.sequence_number"))).groupBy("file_path").agg(F.collect_set("d").alias("delete_files"))
@@ -185,7 +194,7 @@ class TableScan:
         youngest = eq.groupBy(F.col("spec_id").alias("dspec"), F.col("partition_json").alias("dpart")).agg(F.max("sequence_number").alias("young"))
         everywhere = youngest.where("dpart = '{}'").agg(F.max("young")).first()[0]
         scoped = youngest.where("dpart <> '{}'")
-        none = F.expr("cast(array() as array<struct<file_path:string,sequence_number:bigint,file_size_in_bytes:bigint>>)")
+        none = F.expr("cast(array() as array<struct<file_path:string,sequence_number:bigint,file_size_in_bytes:bigint,file_format:string>>)")
         out = data.join(found, "file_path", "left").join(scoped, (F.col("spec_id") == F.col("dspec")) & (F.col("partition_json") == F.col("dpart")), "left")
         out = out.withColumn("delete_files", F.coalesce("delete_files", none))
         extra = F.aggregate("delete_files", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["file_size_in_bytes"], F.lit(0)))
@@ -201,35 +210,36 @@ class TableScan:
         bound, wanted = self._bound(), self.projection()
         filter_ids = _ids(bound)
         plan = entries = None
-        if self.manifests().where(F.col("content") != DATA).isEmpty():
+        if not self.manifests().where(F.col("content") != DATA).select("content").take(1):
             rows = self.entries().select("file_path", "file_format", F.lit(False).alias("dirty")).collect()
         else:
             entries = materialize(self.entries(), "entries")
             plan = materialize(self._with_deletes(entries), "tasks")
             rows = plan.select("file_path", "file_format", ((F.size("delete_files") > 0) | F.col("equality_deletes")).alias("dirty")).collect()
         formats = {r.file_format.lower() for r in rows}
-        if not formats <= {"parquet", "orc"}:
-            raise ScanError(f"no reader for {', '.join(sorted(formats - {'parquet', 'orc'}))} data files")
+        if not formats <= set(FORMATS):
+            raise ScanError(f"no reader for {', '.join(sorted(formats - set(FORMATS)))} data files")
         equality: dict[tuple[int, ...], DataFrame] = {}
-        positions: list[str] = []
+        positions: list[tuple[str, str]] = []
         if any(r.dirty for r in rows):
-            positions = [spark_path(r.f) for r in plan.select(F.explode("delete_files.file_path").alias("f")).distinct().collect()]
+            deleted = plan.select(F.explode("delete_files").alias("d")).select(F.lower("d.file_format").alias("k"), F.col("d.file_path").alias("f"))
+            positions = [(r.k, r.f) for r in deleted.distinct().collect()]
             eq = entries.where(F.col("content") == EQUALITY_DELETES)
             equality = {tuple(r.equality_ids): eq.where(F.col("equality_ids") == F.array(*[F.lit(i) for i in r.equality_ids])) for r in eq.select("equality_ids").distinct().collect()}
         need = {i for ids in equality for i in ids} | filter_ids
         plain_schema = _read_schema(self.schema, wanted, filter_ids)
         parts = []
         for fmt in sorted(formats):
-            clean = [spark_path(r.file_path) for r in rows if r.file_format.lower() == fmt and not r.dirty]
-            dirty = [spark_path(r.file_path) for r in rows if r.file_format.lower() == fmt and r.dirty]
+            clean = [r.file_path for r in rows if r.file_format.lower() == fmt and not r.dirty]
+            dirty = [r.file_path for r in rows if r.file_format.lower() == fmt and r.dirty]
             if clean:
                 parts.append(self._finish(self._read(fmt, clean, plain_schema), bound, wanted))
             if dirty:
                 if fmt == "orc" and positions:
                     raise ScanError("ORC files have no row positions: position deletes can't be applied to them")
-                full = self._read(fmt, dirty, _read_schema(self.schema, wanted, need & set(self.schema.by_id)))
-                cols = full.columns
-                full = full.withColumns({"_tab_path": same_file(F.col("_metadata.file_path"))} | ({"_tab_pos": F.col("_metadata.row_index")} if fmt == "parquet" else {}))
+                full = self._read(fmt, dirty, _read_schema(self.schema, wanted, need & set(self.schema.by_id)), rows=True)
+                cols = [c for c in full.columns if c not in ("_tab_path", "_tab_pos")]
+                full = full.withColumn("_tab_path", same_file(F.col("_tab_path")))
                 parts.append(self._finish(self._apply(full, plan, positions, equality).select(*cols), bound, wanted))
         if not parts:
             return spark.createDataFrame([], wanted.to_spark(False))
@@ -240,30 +250,41 @@ class TableScan:
         names = [f.name for f in wanted.fields]
         return df.select(*[_shaped(f, next(x for x in self.schema.fields if x.id == f.id)) for f in wanted.fields]) if names else df.select()
 
-    def _read(self, fmt: str, paths: list[str], schema: TableSchema) -> DataFrame:
-        spark = self.table.spark
-        by_name = fmt == "orc" or "schema.name-mapping.default" in self.table.metadata.properties
-        if not by_name:  # columns are found by id, whatever they were called when the file was written
-            spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
-        return spark.read.schema(schema.to_spark(not by_name)).format(fmt).load(paths)
+    def _read(self, fmt: str, paths: list[str], schema: TableSchema, rows: bool = False) -> DataFrame:
+        return read_files(self.table.spark, fmt, paths, schema, self.table.metadata.properties, self.table.props, rows)
+
+    def _positions(self, files: list[tuple[str, str]]) -> DataFrame:
+        """``_p, _at, _d`` of position-delete files (format, path): the data file named, the place in it, and the delete file."""
+        spark, out = self.table.spark, None
+        for fmt in sorted({k for k, _ in files}):
+            paths = [p for k, p in files if k == fmt]
+            if fmt == "avro":
+                shape = TableSchema((t.Field(PATH_ID, "file_path", t.STRING), t.Field(POS_ID, "pos", t.LONG)))
+                d = read_files(spark, fmt, paths, shape, {}, self.table.props, rows=True)
+            elif fmt in FORMATS:  # the names are fixed
+                d = spark.read.schema("file_path string, pos bigint").format(fmt).load([spark_path(p) for p in paths]).select("*", F.col("_metadata.file_path").alias("_tab_path"))
+            else:
+                raise ScanError(f"no reader for {fmt} delete files")
+            part = d.select(same_file(F.col("file_path")).alias("_p"), F.col("pos").alias("_at"), same_file(F.col("_tab_path")).alias("_d"))
+            out = part if out is None else out.unionByName(part)
+        return out
 
-    def _apply(self, df: DataFrame, plan: DataFrame, positions: list[str], equality: dict[tuple[int, ...], DataFrame]) -> DataFrame:
-        spark = self.table.spark
+    def _apply(self, df: DataFrame, plan: DataFrame, positions: list[tuple[str, str]], equality: dict[tuple[int, ...], DataFrame]) -> DataFrame:
         files = plan.select(same_file(F.col("file_path")).alias("_f"), F.col("sequence_number").alias("_seq"), F.col("partition_json").alias("_part"), F.col("spec_id").alias("_spec_id"))
         if positions:
             # the plan has paired data and delete files that belong together
             pairs = plan.select(same_file(F.col("file_path")).alias("_f"), F.explode("delete_files.file_path").alias("_df")).select("_f", same_file(F.col("_df")).alias("_d"))
-            d = spark.read.schema("file_path string, pos bigint").parquet(*positions).select(same_file(F.col("file_path")).alias("_p"), F.col("pos").alias("_at"), same_file(F.col("_metadata.file_path")).alias("_d"))
+            d = self._positions(positions)
             d = d.join(pairs.withColumnRenamed("_d", "_dd"), (F.col("_d") == F.col("_dd")) & (F.col("_p") == F.col("_f")), "left_semi").select("_p", "_at").distinct()
             df = df.join(d, (F.col("_tab_path") == F.col("_p")) & (F.col("_tab_pos") == F.col("_at")), "left_anti")
         if equality:
             df = df.join(files.distinct(), F.col("_tab_path") == F.col("_f"))
         for ids, group in equality.items():
             part = TableSchema(tuple(self.schema.by_id[i] for i in ids), 0)
-            paths = [spark_path(r.file_path) for r in group.select("file_path").distinct().collect()]
-            d = self._read("parquet", paths, part)
             names = [f.name for f in part.fields]
-            d = d.select(*[F.col(n).alias(f"_e{k}") for k, n in enumerate(names)], same_file(F.col("_metadata.file_path")).alias("_d"))
+            found = group.select("file_path", F.lower("file_format").alias("k")).distinct().collect()
+            read = [self._read(k, [r.file_path for r in found if r.k == k], part, rows=True) for k in sorted({r.k for r in found})]
+            d = reduce(DataFrame.unionByName, read).select(*[F.col(n).alias(f"_e{k}") for k, n in enumerate(names)], same_file(F.col("_tab_path")).alias("_d"))
             meta = group.select(same_file(F.col("file_path")).alias("_d"), F.col("sequence_number").alias("_dseq"), F.col("spec_id").alias("_dspec"), F.col("partition_json").alias("_dpart")).distinct()
             cond = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_e{k}")) for k, n in enumerate(names)])
             everywhere = [s.spec_id for s in self.table.metadata.specs if not s.fields]

@@ -33,6 +33,10 @@ def configure(spark: SparkSession, props: dict[str, str]) -> None:
             conf.set(hadoop, value)
 
 
+def _proxy(uri: str | None) -> str | None:
+    return uri if not uri or "://" in uri else f"http://{uri}"
+
+
 def spark_path(location: str) -> str:
     """The location under a scheme that Spark knows: s3 and s3n are read by s3a."""
     return "s3a" + location[location.index(":") :] if location.startswith(("s3:", "s3n:")) else location
@@ -52,6 +56,7 @@ def filesystem(location: str, props: dict[str, str] | None = None) -> tuple[pafs
             secret_key=props.get("s3.secret-access-key"),
             session_token=props.get("s3.session-token"),
             region=props.get("s3.region"),
+            proxy_options=_proxy(props.get("s3.proxy-uri")),
             endpoint_override=props.get("s3.endpoint") or os.environ.get("AWS_S3_ENDPOINT"),
         )
         return s3, location.split("://", 1)[1]

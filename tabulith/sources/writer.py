@@ -144,9 +144,7 @@ def leaf_columns(schema: TableSchema) -> dict[str, tuple[int, t.Type]]:
 
 def with_ids(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The rows in the order and types of ``schema``, whose field ids go into the files."""
-    df, spark = df.to(schema), df.sparkSession
-    # a projection that only changes metadata is removed by the optimizer, so the schema is set on the rows
-    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), spark._jsparkSession.parseDataType(schema.json())), spark)
+    return df.to(schema)
 
 
 class TableWriter:
@@ -182,13 +180,15 @@ class TableWriter:
         self.metadata = meta
 
     def append(self, df: DataFrame, files: int | None = None, tag: str | None = None) -> int:
-        """Add rows; returns the snapshot's id. ``files`` bounds the files per partition value."""
+        """Add rows; returns the snapshot's id. Rows of a partition value come together, in one task unless they are many: adaptive execution splits
+        large ones and joins small ones. ``files`` gives the number of tasks instead."""
         schema, spec, snap = self.metadata.schema(), self.metadata.spec(), self._new_id()
         folder = f"{self.location}/data/{snap}"
         keys = [(f"_p{f.field_id}", f.transform.column(F.col(schema.column_path(f.source_id)), schema.by_id[f.source_id].type)) for f in spec.fields]
         out = with_ids(df, schema.to_spark())
         if keys:
-            out = out.withColumns({n: c.cast("string") for n, c in keys}).repartition(files or 1, *[F.col(n) for n, _ in keys])
+            out = out.withColumns({n: c.cast("string") for n, c in keys})
+            out = out.repartition(files, *[F.col(n) for n, _ in keys]) if files else out.hint("rebalance", *[F.col(n) for n, _ in keys])
             out.sortWithinPartitions(*[n for n, _ in keys]).write.partitionBy(*[n for n, _ in keys]).parquet(spark_path(folder))
         else:
             (out.repartition(files) if files else out).write.parquet(spark_path(folder))
@@ -201,7 +201,8 @@ class TableWriter:
         folder = f"{self.location}/data/{snap}-pos"
         s = T.StructType([T.StructField("file_path", T.StringType(), False, {t.FIELD_ID: PATH_ID}), T.StructField("pos", T.LongType(), False, {t.FIELD_ID: POS_ID})])
         kept = rows.select(F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce(F.col("pos").cast("long"), F.lit(-1).cast("long")).alias("pos"))
-        with_ids(kept, s).coalesce(1).sortWithinPartitions("file_path", "pos").write.parquet(spark_path(folder))
+        # files by ranges of path: each names few data files, and deletes of one data file may be any share of them
+        with_ids(kept, s).repartitionByRange("file_path", "pos").sortWithinPartitions("file_path", "pos").write.parquet(spark_path(folder))
         entries = self._entries(folder, 1, {"file_path": (PATH_ID, t.STRING), "pos": (POS_ID, t.LONG)}, partitioned=False)
         return self._commit(snap, entries, 1, "delete", tag)
 
@@ -210,7 +211,7 @@ class TableWriter:
         schema, snap = self.metadata.schema(), self._new_id()
         folder = f"{self.location}/data/{snap}-eq"
         part = schema.select(columns)
-        with_ids(rows, part.to_spark()).coalesce(1).write.parquet(spark_path(folder))
+        with_ids(rows, part.to_spark()).hint("rebalance").write.parquet(spark_path(folder))
         entries = self._entries(folder, 2, leaf_columns(part), [f.id for f in part.fields], partitioned=False)
         return self._commit(snap, entries, 1, "delete", tag)
 
