@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,46 @@ def hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def put_new(spark: SparkSession, path: str, data: bytes) -> None:
+    """Create a file that appears whole or not at all; ``FileExistsError`` if it is there already, also if two callers try at a time.
+
+    On a local disk a hard link decides, on object stores of the s3a scheme a conditional put (a store that has none refuses), elsewhere a rename
+    that never overwrites, which is atomic on HDFS.
+    """
+    fs, p = hadoop_fs(spark, path)
+    scheme = fs.getUri().getScheme()
+    if scheme == "file":
+        target = urlparse(path).path if "://" in path or path.startswith("file:") else path
+        part = f"{target}.{uuid.uuid4().hex}.part"
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(part, "wb") as f:
+            f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+        try:
+            os.link(part, target)
+        finally:
+            os.unlink(part)
+        return
+    jvm = spark.sparkContext._jvm
+    try:
+        if scheme == "s3a":
+            stream = fs.createFile(p).overwrite(False).recursive().must("fs.option.create.conditional.overwrite", True).build()
+            stream.write(bytearray(data))
+            stream.close()
+            return
+        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+        stream = fs.create(part, False)
+        stream.write(bytearray(data))
+        stream.close()
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, p, none)
+    except Exception as e:
+        if fs.exists(p):
+            raise FileExistsError(f"{path} exists") from e
+        raise
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder. It is removed when Python ends."""
     path = f"{shared_dir(spark)}/tabulith-{name}-{uuid.uuid4().hex}"
