@@ -31,6 +31,17 @@ v AS (SELECT table_uuid, schema_id, lag(schema_id) OVER (PARTITION BY table_uuid
 w AS (SELECT v.*, x.field_id, x.name, x.req, x.kind FROM v JOIN x ON x.table_uuid = v.table_uuid AND x.schema_id = v.schema_id WHERE prev IS NOT NULL),
 o AS (SELECT v.table_uuid, v.schema_id, x.field_id, x.name, x.req, x.kind FROM v JOIN x ON x.table_uuid = v.table_uuid AND x.schema_id = v.prev)"""
 
+# the same with the parent of each field
+TREE = NODES.replace("SELECT table_uuid, schema_id, unnest(json_extract(j, '$.fields[*]')) AS f FROM held", "SELECT table_uuid, schema_id, CAST(NULL AS INT) AS parent, unnest(json_extract(j, '$.fields[*]')) AS f FROM held").replace("SELECT table_uuid, schema_id, unnest(CASE", "SELECT table_uuid, schema_id, CAST(f->>'id' AS INT), unnest(CASE").replace("x AS (SELECT table_uuid, schema_id,", "x AS (SELECT table_uuid, schema_id, parent,").replace("v.*, x.field_id,", "v.*, x.parent, x.field_id,").replace("v.schema_id, x.field_id,", "v.schema_id, x.parent, x.field_id,")
+SAME = "o.table_uuid = w.table_uuid AND o.schema_id = w.schema_id AND o.field_id = w.field_id"
+PICKED = f"""recs AS (SELECT record_id, table_uuid, schema_id AS said, {same_file("file_path")} AS file, payload FROM data_rows WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY recorded_at DESC) = 1),
+k AS (SELECT DISTINCT table_uuid, file, said, unnest(json_keys(payload)) AS name FROM recs),
+top AS (SELECT table_uuid, schema_id AS v, name, count(*) OVER (PARTITION BY table_uuid, schema_id) AS width FROM x WHERE parent IS NULL),
+fit AS (SELECT k.table_uuid, file, said FROM k LEFT JOIN top ON top.table_uuid = k.table_uuid AND top.v = k.said AND top.name = k.name GROUP BY ALL HAVING said IS NULL OR count(top.name) < count(*)),
+score AS (SELECT k.table_uuid, k.file, k.said, top.v, any_value(top.width) AS width, count(*) AS m FROM k JOIN fit ON fit.table_uuid = k.table_uuid AND fit.file IS NOT DISTINCT FROM k.file AND fit.said IS NOT DISTINCT FROM k.said JOIN top ON top.table_uuid = k.table_uuid AND top.name = k.name GROUP BY ALL),
+best AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY table_uuid, file, said ORDER BY m DESC, CASE WHEN v = said THEN 0 ELSE 1 END, width, v DESC) = 1),
+picked AS (SELECT recs.*, coalesce(best.v, recs.said) AS used FROM recs LEFT JOIN best ON best.table_uuid = recs.table_uuid AND best.file IS NOT DISTINCT FROM recs.file AND best.said IS NOT DISTINCT FROM recs.said)"""
+
 LIVE = f"""{META}, {SNAPS}, l AS (SELECT m.table_uuid, {same_file("s.manifest_list")} AS list FROM m JOIN s ON s.table_uuid = m.table_uuid AND s.snapshot_id = m.cur WHERE s.expired_at IS NULL AND s.manifest_list <> ''),
 f AS (SELECT table_uuid, {same_file("manifest_list")} AS list, {same_file("manifest_path")} AS path, partition_spec_id, coalesce(content, 0) AS content, manifest_length, added_files_count + existing_files_count AS entries, recorded_at FROM manifest_files),
 g AS (SELECT f.* FROM f JOIN l ON l.table_uuid = f.table_uuid AND l.list = f.list QUALIFY row_number() OVER (PARTITION BY f.table_uuid, f.list, path ORDER BY recorded_at DESC) = 1),
@@ -89,6 +100,20 @@ SELECT n.snapshot_id, CAST(r.depth AS BIGINT) AS depth, p.tail AS path_tail, p.n
 SELECT table_uuid, schema_id, field_id, 'added' AS change FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.table_uuid = w.table_uuid AND o.schema_id = w.schema_id AND o.field_id = w.field_id)
 UNION SELECT table_uuid, schema_id, field_id, 'removed' FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE o.table_uuid = w.table_uuid AND o.schema_id = w.schema_id AND o.field_id = w.field_id)
 UNION SELECT w.table_uuid, w.schema_id, w.field_id, unnest(list_filter([CASE WHEN w.name <> o.name THEN 'renamed' END, CASE WHEN w.kind <> o.kind THEN 'type' END, CASE WHEN w.req <> o.req THEN 'required' END], lambda c: c IS NOT NULL)) FROM w JOIN o ON o.table_uuid = w.table_uuid AND o.schema_id = w.schema_id AND o.field_id = w.field_id""",
+        "p2_script": f"""WITH RECURSIVE {TREE}
+SELECT table_uuid AS t, schema_id AS v, prev, field_id, 'added' AS change, CAST(NULL AS VARCHAR) AS before, name AS after FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE {SAME})
+UNION ALL SELECT o.table_uuid, o.schema_id, v.prev, o.field_id, 'removed', o.name, NULL FROM o JOIN v ON v.table_uuid = o.table_uuid AND v.schema_id = o.schema_id WHERE v.prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w WHERE {SAME})
+UNION ALL SELECT w.table_uuid, w.schema_id, w.prev, w.field_id, c.what, c.before, c.after FROM (SELECT w.*, unnest([
+  {{'what': 'renamed', 'before': o.name, 'after': w.name}}, {{'what': 'type', 'before': o.kind, 'after': w.kind}}, {{'what': 'required', 'before': upper(o.req[1]) || o.req[2:], 'after': upper(w.req[1]) || w.req[2:]}},
+  {{'what': 'moved', 'before': coalesce(CAST(o.parent AS VARCHAR), 'None'), 'after': coalesce(CAST(w.parent AS VARCHAR), 'None')}}]) AS c FROM w JOIN o ON {SAME}) w WHERE c.before <> c.after""",
+        "p2_values": f"""WITH RECURSIVE {TREE}, {PICKED}, r AS (SELECT record_id, table_uuid, used, CAST(NULL AS INT) AS id, 'struct' AS wrote, CAST(payload AS JSON) AS j FROM picked
+UNION ALL SELECT e.record_id, e.table_uuid, e.used, x.field_id, x.kind, e.j FROM (SELECT record_id, table_uuid, used, id, k AS key, json_extract(j, '$."' || k || '"') AS j FROM (SELECT *, unnest(json_keys(j)) AS k FROM r WHERE wrote = 'struct' AND json_type(j) = 'OBJECT')) e
+  JOIN x ON x.table_uuid = e.table_uuid AND x.schema_id = e.used AND x.name = e.key AND x.parent IS NOT DISTINCT FROM e.id WHERE json_type(e.j) <> 'NULL'),
+u AS (SELECT table_uuid, field_id, arg_max(name, schema_id) AS name, arg_max(kind, schema_id) AS kind FROM x GROUP BY ALL),
+y AS (SELECT r.record_id, r.used, r.id, u.name, u.kind, r.j, json_extract_string(r.j, '$') AS t FROM r JOIN u ON u.table_uuid = r.table_uuid AND u.field_id = r.id WHERE r.wrote <> 'struct')
+SELECT record_id, used AS used_schema_id, id AS field_id, name, kind, CASE WHEN kind IN ('int', 'long') THEN TRY_CAST(t AS BIGINT) END AS whole, CASE WHEN kind IN ('float', 'double') OR kind LIKE 'decimal%' THEN TRY_CAST(t AS DOUBLE) END AS number,
+CASE WHEN kind = 'boolean' THEN CASE lower(t) WHEN 'true' THEN true WHEN 'false' THEN false END END AS flag, CASE WHEN kind LIKE 'timestamp%' THEN epoch_us(TRY_CAST(t AS TIMESTAMP)) END AS micros, CASE WHEN kind = 'date' THEN TRY_CAST(t AS DATE) END AS day,
+CASE WHEN kind IN ('string', 'uuid', 'time', 'binary') OR kind LIKE 'fixed%' THEN t END AS text, CAST(CASE WHEN kind = 'list' AND json_type(j) = 'ARRAY' THEN json_array_length(j) WHEN kind = 'map' AND json_type(j) = 'OBJECT' THEN len(json_keys(j)) END AS INT) AS n_parts FROM y""",
         "p3_found": f"WITH {LIVE} SELECT table_uuid, partition_spec_id, content FROM live GROUP BY ALL HAVING count(*) >= 10 AND avg(manifest_length) < 1048576",
         "p3_assignment": f"""WITH {LIVE}, need AS (SELECT table_uuid, partition_spec_id, content FROM live GROUP BY ALL HAVING count(*) >= 10 AND avg(manifest_length) < 1048576),
 t AS (SELECT live.*, need.table_uuid IS NOT NULL AND manifest_length < 6291456 AS moved FROM live LEFT JOIN need USING (table_uuid, partition_spec_id, content))

@@ -58,6 +58,11 @@ def p2_rows(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unify_rows(read(spark, d, "data_rows"), read(spark, d, "table_schemas"))
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of all data rows in typed columns, named and typed as the unified schema says."""
+    return schema_drift.values(read(spark, d, "data_rows"), read(spark, d, "table_schemas"))
+
+
 def _live(spark: SparkSession, d: str) -> DataFrame:
     return live_manifests(read(spark, d, "table_metadata"), read(spark, d, "snapshots"), read(spark, d, "manifest_files"))
 
@@ -235,5 +240,5 @@ def p6_replay_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ("p1_found", "p1_hierarchy", "p1_paths", "p1_descendants", "p2_found", "p2_script", "p2_rows", "p3_found", "p3_assignment", "p3_blockcopy", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay", "p6_replay_content")
+    names = ("p1_found", "p1_hierarchy", "p1_paths", "p1_descendants", "p2_found", "p2_script", "p2_rows", "p2_values", "p3_found", "p3_assignment", "p3_blockcopy", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay", "p6_replay_content")
     return {n: globals()[n] for n in names}

@@ -105,3 +105,71 @@ def test_unified_rows(spark):
     assert got[4].used_schema_id == 1
     assert got[5].row_json is None and got[7].row_json is None
     assert json.loads(got[6].row_json) == {"q": 1} and got[6].used_schema_id is None
+
+
+def apply_script(old, new, script):
+    """The tree that a script makes of the old one; only what was added is looked up in the new one."""
+    out = {i: n for i, n in old.items() if (i, "removed") not in {(x, c) for x, c, _, _ in script}}
+    for i, change, _, after in script:
+        if change == "added":
+            out[i] = new[i]
+        elif change == "moved":
+            out[i] = out[i]._replace(parent=None if after == "None" else int(after))
+        elif change in ("renamed", "type", "required"):
+            out[i] = out[i]._replace(**{{"renamed": "name"}.get(change, change): after if change != "required" else after == "True"})
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_script_leads_to_the_new_tree(seed):
+    r = random.Random(1000 + seed)
+    old, new = tree(r, r.randint(0, 8)), tree(r, r.randint(0, 8))
+    script = s.edit_script(old, new)
+    assert apply_script(old, new, script) == new
+    assert {(i, c) for i, c, _, _ in script if c in ("added", "removed")} == {(i, "added") for i in new.keys() - old.keys()} | {(i, "removed") for i in old.keys() - new.keys()}
+    assert {i for i, c, _, _ in script if c == "moved"} == {i for i in old.keys() & new.keys() if old[i].parent != new[i].parent}
+
+
+def test_rows_come_from_the_mapping(monkeypatch):
+    old, new = s.parse_schema(schema(A)), s.parse_schema(schema(B))
+    monkeypatch.setattr(s, "tree_mapping", lambda a, b: set())
+    assert {c for _, c, _, _ in s.edit_script(old, new)} == {"added", "removed"}
+
+
+def test_a_moved_struct_takes_its_fields_along():
+    old = {1: node(1, None, "a", "struct"), 2: node(2, None, "b", "struct"), 3: node(3, 2, "c", "struct"), 4: node(4, 3, "d"), 5: node(5, 3, "e")}
+    new = {**old, 3: node(3, 1, "c", "struct")}
+    assert s.edit_script(old, new) == [(3, "moved", "2", "1")]
+    deep = {i: node(i, i - 1 or None, kind="struct") for i in range(1, 3001)}  # deeper than Python recurses
+    assert len(s._postorder(deep)[0]) == 3001
+
+
+def test_projection_moves_fields():
+    have = {1: node(1, None, "a", "struct"), 2: node(2, 1, "x"), 3: node(3, None, "b", "struct"), 4: node(4, 3, "y"), 5: node(5, None, "l", "list"), 6: node(6, 5, "element", "struct"), 7: node(7, 6, "z")}
+    want = {**have, 2: node(2, 3, "x2", "long"), 7: node(7, None, "z")}
+    p = s.Projection(have, s.edit_script(have, want))
+    assert p.apply({"a": {"x": "1"}, "b": {"y": 2}, "l": [{"z": 3}]}) == ({"a": {}, "b": {"x2": 1, "y": 2}, "l": [{"z": 3}]}, 0, 0)
+    assert p.apply({"a": {"x": None}, "q": 1}) == ({"a": {}, "b": {"x2": None}}, 1, 0)
+
+
+def test_equal_names_stay_apart():
+    union = s._load_union(json.dumps([["3", None, "x", "int", "false"], ["9", None, "x", "int", "false"], ["4", None, "l", "list", "false"], ["5", "4", "element", "int", "false"], ["6", "4", "element", "long", "false"]]))
+    assert {i: n.name for i, n in union.items()} == {3: "x_3", 9: "x", 4: "l", 5: "element", 6: "element"}
+    have = {3: node(3, None, "x"), 9: node(9, None, "y")}
+    assert s.Projection(have, s.edit_script(have, union)).apply({"x": 1, "y": 2})[0] == {"x_3": 1, "x": 2}
+
+
+def test_typed(spark):
+    fields = [{"id": 1, "name": "a", "type": "long"}, {"id": 2, "name": "p", "type": {"type": "struct", "fields": [{"id": 3, "name": "x", "type": "decimal(9,2)"}, {"id": 4, "name": "ts", "type": "timestamp"}]}}, {"id": 5, "name": "l", "type": {"type": "list", "element-id": 6, "element": "int"}}, {"id": 7, "name": "record_id", "type": "date"}, {"id": 8, "name": "z", "type": "timestamptz"}]
+    schemas = spark.createDataFrame([("t", 0, schema(fields), None, "", 1), ("u", 0, schema(fields[:1]), None, "", 1)], DDL)
+    rows = [(1, "t", 0, "f", '{"a": "7", "p": {"x": "1.50", "ts": "2024-01-02T03:04:05.000006"}, "l": [1, 2], "record_id": "2024-05-06", "z": "2024-01-02T03:04:05+01:00"}'), (2, "t", 0, "f", '{"a": "seven", "p": null, "l": {}}'), (3, "u", 0, "f", '{"a": 3}'), (4, "gone", 0, "f", '{"a": 3}'), (5, "t", 0, "f", "x")]
+    df = spark.createDataFrame([(*r, None, 1) for r in rows], "record_id long, table_uuid string, schema_id int, file_path string, payload string, recorded_at timestamp_ntz, kind int")
+    t = s.typed_rows(df, schemas, "t")
+    assert [f"{n}:{k}" for n, k in t.dtypes] == ["record_id:bigint", "a:bigint", "p:struct<x:decimal(9,2),ts:timestamp_ntz>", "l:array<int>", "record_id_7:date", "z:timestamp"]
+    got = {r.record_id: r for r in t.collect()}
+    assert set(got) == {1, 2, 5} and (got[1].a, str(got[1].p.x), str(got[1].p.ts), got[1].l, str(got[1].record_id_7)) == (7, "1.50", "2024-01-02 03:04:05.000006", [1, 2], "2024-05-06") and got[2].a is None and got[5].a is None
+    assert s.typed_rows(df, schemas, "gone").columns == ["record_id"] and s.typed_rows(df, schemas, "gone").count() == 1
+    v = {(r.record_id, r.field_id): r for r in s.values(df, schemas).collect()}
+    assert set(v) == {(1, 1), (1, 3), (1, 4), (1, 5), (1, 7), (1, 8), (2, 1), (2, 5), (3, 1)}
+    assert (v[1, 1].whole, v[1, 3].number, v[1, 4].micros, v[1, 5].n_parts, str(v[1, 7].day), v[1, 8].micros) == (7, 1.5, 1704164645000006, 2, "2024-05-06", 1704161045000000)
+    assert (v[2, 1].whole, v[2, 5].n_parts, v[3, 1].whole) == (None, None, 3) and s.values(df.limit(0), schemas).count() == 0
