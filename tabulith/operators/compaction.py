@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabulith.sources import parquet_blocks
+from tabulith.session import materialize
+from tabulith.sources import avro_ocf, parquet_blocks
+from tabulith.sources.filesystem import read_bytes, write_bytes
 
 MIN_FILES = 10
 SMALL_MEAN = 1 << 20
@@ -58,6 +60,58 @@ def spread_targets(plan: DataFrame) -> DataFrame:
     return plan.repartition(max(1, min(plan.select("target").distinct().count(), COPY_TASKS)), "target")
 
 
+def join_containers(containers: DataFrame, target: str, content: str, keep: bool = False) -> DataFrame:
+    """Join Avro containers (binary ``content``) by ``target``, a text: ``target, files, blocks, records, bytes`` and, with ``keep``, the new ``content``.
+
+    Encoded blocks are copied, not decoded; containers of one target must have one schema, codec and metadata, and each new one is checked for header, blocks and
+    records. A NULL content is an empty container; a NULL target is one of its own. The bytes of one target are one task's, so targets must be bounded, as ``assign``'s are.
+    """
+    ddl = "target string, files int, blocks bigint, records bigint, bytes bigint" + (", content binary" if keep else "")
+
+    def copy(d: pd.DataFrame) -> pd.DataFrame:
+        data = [bytes(x) for x in d["_c"] if x is not None]
+        new, blocks, records = avro_ocf.join_counted(data) if data else (b"", 0, 0)
+        return pd.DataFrame([{"target": d["_t"].iloc[0], "files": len(d), "blocks": blocks, "records": records, "bytes": len(new)} | ({"content": new} if keep else {})])
+
+    return containers.select(F.col(target).alias("_t"), F.col(content).alias("_c")).groupBy("_t").applyInPandas(copy, ddl)
+
+
+def compact_avro(spark: SparkSession, plan: DataFrame, props: dict[str, str] | None = None) -> DataFrame:
+    """Carry out a written plan (``path, target``) on Avro files such as manifests: ``target, files, blocks, records, bytes`` per new file, already
+    written. Each is checked for header, blocks and records and then appears whole. Old files stay."""
+
+    def copy(d: pd.DataFrame) -> pd.DataFrame:
+        new, blocks, records = avro_ocf.join_counted([read_bytes(p, props) for p in sorted(d["path"])])
+        out = d["target"].iloc[0]
+        write_bytes(out, new, props)
+        return pd.DataFrame([{"target": out, "files": len(d), "blocks": blocks, "records": records, "bytes": len(new)}])
+
+    return materialize(spread_targets(plan.select("path", "target")).groupBy("target").applyInPandas(copy, "target string, files int, blocks bigint, records bigint, bytes bigint"), "joined")
+
+
+def rewrite_manifests(writer, target: int = TARGET, **limits: int) -> DataFrame:
+    """Join a table's small manifests by copying their blocks, and publish a snapshot that lists the new ones: ``target, files, blocks, records, bytes``.
+
+    Entries may inherit snapshot and sequence number from their manifest's row, so only manifests with the same ones, of one spec and content, are joined and
+    the new row keeps them; rows, statistics and deletes mean what they did. Counts are added up, partition summaries combined. Nothing to do: no
+    snapshot, no rows.
+    """
+    from tabulith.plans.scan import SnapshotTable
+
+    spark, m = writer.spark, writer.metadata
+    table = SnapshotTable(spark, ("rewrite",), m)
+    group = ["partition_spec_id", "content", "sequence_number", "added_snapshot_id"]
+    plan = assign(table.manifests(), group, "manifest_path", "manifest_length", target, **limits).where("bin IS NOT NULL")
+    name = F.concat(F.lit(f"{writer.location}/metadata/joined-"), F.sha1(F.to_json(F.struct(F.lit(m.last_sequence_number), *group, "piece", "bin"))), F.lit(".avro"))
+    plan = materialize(plan.select(F.col("manifest_path").alias("path"), name.alias("target")), "plan")
+    plan = plan.join(plan.groupBy("target").agg(F.count("*").alias("n")).where("n > 1"), "target", "left_semi")
+    done = compact_avro(spark, materialize(plan, "plan"))
+    made = {r.target: r for r in done.collect()}  # a row for each new manifest, all of which the new list holds
+    if made:
+        writer.replace_manifests({r.path: r.target for r in plan.collect()}, {k: r.bytes for k, r in made.items()})
+    return done
+
+
 def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes: int = 128 << 20) -> DataFrame:
     """Join the Parquet files under ``source`` into files of about ``target_bytes`` under ``target`` by copying their blocks.
 
@@ -65,7 +119,7 @@ def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes:
     one, empty ones (no row) too. Returns a report: ``target, files, blocks, rows, bytes`` per new file, already carried out; the
     sums over all of it equal those of the source or the call fails. ``target`` must not exist; readers switch to it when this returns.
     """
-    from tabulith.session import hadoop_fs, materialize
+    from tabulith.session import hadoop_fs
 
     fs, p = hadoop_fs(spark, target)
     if fs.exists(p):

@@ -47,6 +47,7 @@ f AS (SELECT table_uuid, {same_file("manifest_list")} AS list, {same_file("manif
 g AS (SELECT f.* FROM f JOIN l ON l.table_uuid = f.table_uuid AND l.list = f.list QUALIFY row_number() OVER (PARTITION BY f.table_uuid, f.list, path ORDER BY recorded_at DESC) = 1),
 live AS (SELECT * FROM g WHERE entries IS NULL OR entries <> 0)"""
 
+MANIFEST_COLUMNS = ("format_version", "manifest_list", "manifest_path", "manifest_length", "partition_spec_id", "content", "sequence_number", "min_sequence_number", "added_snapshot_id", "added_files_count", "existing_files_count", "deleted_files_count", "added_rows_count", "existing_rows_count", "deleted_rows_count", "partitions", "recorded_at")
 MONTH = "strftime(make_timestamp({} * 1000), '%Y-%m')"
 ORPHANS = f"""{META}, {SNAPS}, u AS (SELECT * FROM s WHERE expired_at IS NULL),
 q AS (SELECT * FROM snapshot_refs QUALIFY row_number() OVER (PARTITION BY table_uuid, ref_name ORDER BY recorded_at DESC) = 1),
@@ -118,6 +119,11 @@ CASE WHEN kind IN ('string', 'uuid', 'time', 'binary') OR kind LIKE 'fixed%' THE
         "p3_assignment": f"""WITH {LIVE}, need AS (SELECT table_uuid, partition_spec_id, content FROM live GROUP BY ALL HAVING count(*) >= 10 AND avg(manifest_length) < 1048576),
 t AS (SELECT live.*, need.table_uuid IS NOT NULL AND manifest_length < 6291456 AS moved FROM live LEFT JOIN need USING (table_uuid, partition_spec_id, content))
 SELECT table_uuid, partition_spec_id, content, path, manifest_length, CAST(entries AS BIGINT) AS entries, CASE WHEN moved THEN 0 END AS piece, CASE WHEN moved THEN CAST(floor((sum(CASE WHEN moved THEN manifest_length END) OVER (PARTITION BY table_uuid, partition_spec_id, content, moved ORDER BY manifest_length DESC, path ROWS UNBOUNDED PRECEDING) - manifest_length / 2) / 8388608) AS INT) END AS bin FROM t""",
+        "p3_consolidated": f"""WITH {LIVE}, need AS (SELECT table_uuid, partition_spec_id, content FROM live GROUP BY ALL HAVING count(*) >= 10 AND avg(manifest_length) < 1048576),
+t AS (SELECT live.* FROM live JOIN need USING (table_uuid, partition_spec_id, content) WHERE manifest_length < 6291456),
+q AS (SELECT *, floor((sum(manifest_length) OVER (PARTITION BY table_uuid, partition_spec_id, content ORDER BY manifest_length DESC, path ROWS UNBOUNDED PRECEDING) - manifest_length / 2) / 8388608) AS bin FROM t)
+SELECT table_uuid, partition_spec_id, content, count(*) AS n_before, count(DISTINCT bin) AS n_after, count(*) AS n_blocks, count(*) AS n_records FROM q GROUP BY ALL""",
+        "p3_blockcopy_columns": "SELECT table_uuid, " + ", ".join(f"count({c}) AS n_{c}" for c in MANIFEST_COLUMNS) + ", CAST(sum(coalesce(list_sum(list_transform(partitions, lambda p: 1 + coalesce(octet_length(p.lower_bound), 0) + coalesce(octet_length(p.upper_bound), 0))), 0)) AS BIGINT) AS n_bound_bytes, max(recorded_at) AS latest FROM manifest_files GROUP BY table_uuid",
         "p3_blockcopy": "SELECT table_uuid, count(*) AS n_rows, count(DISTINCT manifest_path) AS n_paths, CAST(sum(manifest_length) AS BIGINT) AS n_bytes FROM manifest_files GROUP BY table_uuid",
         "p4_found": f"WITH {ORPHANS} SELECT DISTINCT * FROM res",
         "p4_counts": f"WITH {ORPHANS} SELECT table_uuid, ref_kind, month_utc, count(DISTINCT from_key) AS n_orphans FROM res GROUP BY ALL",

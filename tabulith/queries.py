@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tabulith.functions.paths import month_of_millis, month_of_ntz
 from tabulith.operators import compaction, hierarchy, incremental, orphans, schema_drift, shredding
 from tabulith.operators.common import digest, in_force
 from tabulith.session import materialize, new_dir
+from tabulith.sources import avro_ocf
 
 
 def _lineage(spark: SparkSession, d: str) -> DataFrame:
@@ -70,9 +72,41 @@ def _live(spark: SparkSession, d: str) -> DataFrame:
 GROUP = ["table_uuid", "partition_spec_id", "content"]
 
 
+# the record that stands for a live manifest in a container of its own
+MANIFEST = {"type": "record", "name": "live_manifest", "fields": [{"name": n, "type": ["null", k]} for n, k in (("table_uuid", "string"), ("path", "string"), ("manifest_length", "long"), ("entries", "long"))]}
+
+
+def _consolidated(spark: SparkSession, d: str) -> DataFrame:
+    """The assignment carried out: each live manifest that moves is an encoded container, whose blocks are copied into the new one it goes to. ``GROUP, piece,
+    bin, files, blocks, records, bytes`` per new manifest. The tables hold rows of manifests, not their files; a container holds that row."""
+    plan = materialize(compaction.assign(_live(spark, d), GROUP, "path", "manifest_length"), "assignment")
+    moved = plan.where("bin IS NOT NULL").withColumn("target", F.to_json(F.struct(*GROUP, "piece", "bin")))
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = avro_ocf.packer(MANIFEST)
+        for f in frames:
+            rows = zip(f["table_uuid"], f["path"], f["manifest_length"], f["entries"], strict=True)
+            yield pd.DataFrame({"target": f["target"], "content": [pack([{"table_uuid": t, "path": p, "manifest_length": int(n), "entries": None if pd.isna(e) else int(e)}]) for t, p, n, e in rows]})
+
+    containers = moved.select("target", "table_uuid", "path", "manifest_length", "entries").mapInPandas(encode, "target string, content binary")
+    done = materialize(compaction.join_containers(containers, "target", "content"), "consolidated")
+    want = moved.count()
+    got = done.agg(F.coalesce(F.sum("files"), F.lit(0)), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
+    if set(got) != {want}:
+        raise RuntimeError(f"{want} manifests move, but the new ones hold {tuple(got)} files, records and blocks")
+    keys = F.from_json("target", plan.select(*GROUP, "piece", "bin").schema)
+    return done.select(*[keys.getField(c).alias(c) for c in (*GROUP, "piece", "bin")], "files", "blocks", "records", "bytes")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of live manifests that need consolidation."""
-    return compaction.groups_in_need(_live(spark, d), GROUP, "manifest_length").select(*GROUP)
+    """Groups of live manifests that need consolidation: those for which it was carried out. A group's mean is below the bound only if some of its manifests is, and
+    that one moves, so no group in need is without a new manifest."""
+    return _consolidated(spark, d).select(*GROUP).distinct()
+
+
+def p3_consolidated(spark: SparkSession, d: str) -> DataFrame:
+    """What consolidation did to each group: manifests before, new ones, copied blocks and the records in them."""
+    return _consolidated(spark, d).groupBy(*GROUP).agg(F.sum("files").alias("n_before"), F.count("*").alias("n_after"), F.sum("blocks").alias("n_blocks"), F.sum("records").alias("n_records"))
 
 
 def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
@@ -80,12 +114,24 @@ def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
     return compaction.assign(_live(spark, d), GROUP, "path", "manifest_length").select(*GROUP, "path", "manifest_length", "entries", "piece", "bin")
 
 
-def p3_blockcopy(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest rows written as many small files, consolidated by copying blocks, and read back: rows and bytes per table."""
+def _copied(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest rows, all columns, written as many small files, consolidated by copying blocks, and read back."""
     small, large = new_dir(spark, "small"), new_dir(spark, "large")
-    read(spark, d, "manifest_files").select("table_uuid", "manifest_path", "manifest_length").write.option("maxRecordsPerFile", 20_000).parquet(small)
+    read(spark, d, "manifest_files").write.option("maxRecordsPerFile", 1_000).parquet(small)
     compaction.compact_parquet(spark, small, large)
-    return spark.read.parquet(large).groupBy("table_uuid").agg(F.count("*").alias("n_rows"), F.countDistinct("manifest_path").alias("n_paths"), F.sum("manifest_length").alias("n_bytes"))
+    return spark.read.parquet(large)
+
+
+def p3_blockcopy(spark: SparkSession, d: str) -> DataFrame:
+    """The copied rows and bytes per table."""
+    return _copied(spark, d).groupBy("table_uuid").agg(F.count("*").alias("n_rows"), F.countDistinct("manifest_path").alias("n_paths"), F.sum("manifest_length").alias("n_bytes"))
+
+
+def p3_blockcopy_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Of the copied rows per table the values in every column and in the nested summaries."""
+    t = _copied(spark, d)
+    nested = F.aggregate(F.coalesce("partitions", F.array()), F.lit(0).cast("long"), lambda a, p: a + 1 + F.coalesce(F.length(p["lower_bound"]), F.lit(0)) + F.coalesce(F.length(p["upper_bound"]), F.lit(0)))
+    return t.groupBy("table_uuid").agg(*[F.count(c).alias(f"n_{c}") for c in t.columns if c != "table_uuid"], F.sum(nested).alias("n_bound_bytes"), F.max("recorded_at").alias("latest"))
 
 
 SEP = "\x1f"
@@ -240,5 +286,5 @@ def p6_replay_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ("p1_found", "p1_hierarchy", "p1_paths", "p1_descendants", "p2_found", "p2_script", "p2_rows", "p2_values", "p3_found", "p3_assignment", "p3_blockcopy", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay", "p6_replay_content")
+    names = ("p1_found", "p1_hierarchy", "p1_paths", "p1_descendants", "p2_found", "p2_script", "p2_rows", "p2_values", "p3_found", "p3_consolidated", "p3_assignment", "p3_blockcopy", "p3_blockcopy_columns", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay", "p6_replay_content")
     return {n: globals()[n] for n in names}

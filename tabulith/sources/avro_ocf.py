@@ -226,6 +226,18 @@ def read(data: bytes) -> tuple[dict[str, str], list[dict]]:
     return {k: v.decode("utf-8", "replace") for k, v in meta.items()}, out
 
 
+def packer(schema: object, meta: dict[str, str] | None = None, codec: str = "null") -> Callable[[Sequence[dict]], bytes]:
+    """A function from records to a container of one block; the header is made once."""
+    head = {"avro.schema": json.dumps(schema).encode(), "avro.codec": codec.encode()} | {k: v.encode() for k, v in (meta or {}).items()}
+    start, one = MAGIC + encoder({"type": "map", "values": "bytes"})(head), encoder(schema)
+
+    def pack(records: Sequence[dict]) -> bytes:
+        sync, data = os.urandom(16), PACK[codec](b"".join(map(one, records)))
+        return b"".join((start, sync, _long(len(records)), _long(len(data)), data, sync) if records else (start, sync))
+
+    return pack
+
+
 def write(schema: object, records: Sequence[dict], meta: dict[str, str] | None = None, codec: str = "deflate", per_block: int = 1000) -> bytes:
     head = {"avro.schema": json.dumps(schema).encode(), "avro.codec": codec.encode()} | {k: v.encode() for k, v in (meta or {}).items()}
     sync, one = os.urandom(16), encoder(schema)
@@ -238,25 +250,33 @@ def write(schema: object, records: Sequence[dict], meta: dict[str, str] | None =
 
 
 def join(files: Sequence[bytes]) -> bytes:
-    """One file from the blocks of several that have the same schema, codec and metadata; blocks are copied as they are encoded and only
-    the markers between them rewritten. Records are counted in block heads and checked. Entries of manifests that inherit a sequence number
-    keep their meaning only beside entries of the same one."""
-    first_meta: dict[str, bytes] | None = None
-    sync, out, count = os.urandom(16), [], 0
+    """One file from the blocks of several that have the same schema, codec and metadata; see ``join_counted``."""
+    return join_counted(files)[0]
+
+
+def join_counted(files: Sequence[bytes]) -> tuple[bytes, int, int]:
+    """(file, blocks, records): one file from the blocks of several that have the same schema, codec and metadata. Blocks are copied as they are encoded and only
+    the markers between them rewritten; then the new file's header, blocks and records are compared with those of the old ones. Entries of manifests that
+    inherit a sequence number keep their meaning only beside entries of the same one."""
+    first: bytes | None = None
+    sync, out, blocks_, count = os.urandom(16), [], 0, 0
     for data in files:
         f = io.BytesIO(data)
         meta, own = read_header(f)
-        if first_meta is None:
-            first_meta = meta
-            out += [MAGIC, encoder({"type": "map", "values": "bytes"})(meta), sync]
-        elif meta != first_meta:
+        head = data[len(MAGIC) : f.tell() - 16]
+        if first is None:
+            first, first_meta = head, meta
+            out += [MAGIC, head, sync]
+        elif head != first and meta != first_meta:
             raise AvroError("the files' schemas, codecs or metadata differ")
         for n, block in blocks(f, own):
             out += [_long(n), _long(len(block)), block, sync]
+            blocks_ += 1
             count += n
     res = b"".join(out)
     f = io.BytesIO(res)
-    _, own = read_header(f)
-    if sum(n for n, _ in blocks(f, own)) != count:
-        raise AvroError("the joined file doesn't hold all records")
-    return res
+    meta, own = read_header(f)
+    got = [n for n, _ in blocks(f, own)]
+    if (len(got), sum(got)) != (blocks_, count) or meta != first_meta:
+        raise AvroError("the joined file doesn't hold what the old ones do")
+    return res, blocks_, count

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulith import types as t
-from tabulith.functions.literals import cast, from_bytes, to_bytes
+from tabulith.functions.literals import cast, from_bytes, order_key, to_bytes
 from tabulith.functions.transforms import FIRST_PARTITION_ID, PartitionField, PartitionSpec, SortOrder, parse_transform
 from tabulith.schema import TableSchema
 from tabulith.sources import avro_ocf
@@ -35,6 +35,7 @@ def _map(name: str, id: int, key: int, value: int, kind: str) -> dict:  # noqa:
     return _f(name, id, {"type": "array", "logicalType": "map", "items": pair}, True)
 
 
+# Names, ids and order of the fields of manifest lists and manifests.
 def list_schema() -> dict:
     """Avro schema of a format-2 manifest list, with the field ids that the format fixes."""
     summary = {"type": "record", "name": "r508", "fields": [_f("contains_null", 509, "boolean"), _f("contains_nan", 518, "boolean", True), _f("lower_bound", 510, "bytes", True), _f("upper_bound", 511, "bytes", True)]}
@@ -179,7 +180,7 @@ class TableWriter:
         write_bytes(self.metadata_location, json.dumps(meta.to_json()).encode())
         self.metadata = meta
 
-    def append(self, df: DataFrame, files: int | None = None, tag: str | None = None) -> int:
+    def append(self, df: DataFrame, files: int | None = None, tag: str | None = None, per_manifest: int = 1000) -> int:
         """Add rows; returns the snapshot's id. Rows of a partition value come together, in one task unless they are many: adaptive execution splits
         large ones and joins small ones. ``files`` gives the number of tasks instead."""
         schema, spec, snap = self.metadata.schema(), self.metadata.spec(), self._new_id()
@@ -193,7 +194,7 @@ class TableWriter:
         else:
             (out.repartition(files) if files else out).write.parquet(spark_path(folder))
         entries = self._entries(folder, 0, leaf_columns(schema))
-        return self._commit(snap, entries, 0, "append", tag)
+        return self._commit(snap, entries, 0, "append", tag, per_manifest)
 
     def delete_positions(self, rows: DataFrame, tag: str | None = None) -> int:
         """Delete rows by (file_path, pos)."""
@@ -215,6 +216,25 @@ class TableWriter:
         entries = self._entries(folder, 2, leaf_columns(part), [f.id for f in part.fields], partitioned=False)
         return self._commit(snap, entries, 1, "delete", tag)
 
+    def replace_manifests(self, joined: dict[str, str], sizes: dict[str, int]) -> int:
+        """A snapshot in whose list the old manifests' rows are those of the new ones they were joined into."""
+        meta, snap = self.metadata, self._new_id()
+        out: list[dict] = []
+        new: dict[str, dict] = {}
+        for r in avro_ocf.read(read_bytes(meta.current_snapshot.manifest_list))[1]:
+            path = joined.get(r["manifest_path"])
+            if path is None:
+                out.append(r)
+            elif path not in new:
+                new[path] = r | {"manifest_path": path, "manifest_length": sizes[path]}
+                out.append(new[path])
+            else:
+                kinds = [f.type for f in next(s for s in meta.specs if s.spec_id == r["partition_spec_id"]).partition_type(meta.schema()).fields]
+                counts = {k: None if new[path][k] is None or r[k] is None else new[path][k] + r[k] for k in r if k.endswith("_count")}
+                low = [None if a["min_sequence_number"] is None else a["min_sequence_number"] for a in (new[path], r)]
+                new[path] |= counts | {"min_sequence_number": None if None in low else min(low), "partitions": _combined(new[path]["partitions"], r["partitions"], kinds)}
+        return self._list(snap, out, "replace", {"manifests-replaced": str(len(joined)), "manifests-created": str(len(sizes))})
+
     def evolve(self, schema: TableSchema) -> None:
         """Make a new schema current; files of older ones stay and are read by field id."""
         s = replace(schema, schema_id=max(x.schema_id for x in self.metadata.schemas) + 1)
@@ -248,7 +268,7 @@ class TableWriter:
 
     def _commit(self, snap: int, files: list[dict], content: int, operation: str, tag: str | None, per_manifest: int = 1000) -> int:
         meta = self.metadata
-        schema, now = meta.schema(), max(int(time.time() * 1000), meta.last_updated_ms + 1)
+        schema = meta.schema()
         spec = meta.spec() if content == 0 else PartitionSpec((), max(s.spec_id for s in meta.specs) + (1 if meta.spec().fields else 0))
         specs = meta.specs if content == 0 or not meta.spec().fields else meta.specs if any(not s.fields for s in meta.specs) else (*meta.specs, spec)
         if content:
@@ -269,12 +289,18 @@ class TableWriter:
         parent = meta.current_snapshot
         if parent and parent.manifest_list:
             rows = avro_ocf.read(read_bytes(parent.manifest_list))[1] + rows
+        return self._list(snap, rows, operation, {"added-files": str(len(files))}, tag, specs)
+
+    def _list(self, snap: int, rows: list[dict], operation: str, summary: dict[str, str], tag: str | None = None, specs: tuple[PartitionSpec, ...] | None = None) -> int:
+        """Write a manifest list and publish its snapshot as the current one."""
+        meta = self.metadata
+        parent, seq, now = meta.current_snapshot, meta.last_sequence_number + 1, max(int(time.time() * 1000), meta.last_updated_ms + 1)
         path = f"{self.location}/metadata/snap-{snap}-1-{uuid.uuid4().hex}.avro"
         write_bytes(path, avro_ocf.write(list_schema(), rows, {"format-version": "2", "snapshot-id": str(snap), "sequence-number": str(seq)}))
-        s = Snapshot(snap, now, parent.snapshot_id if parent else None, seq, path, Summary(operation, {"added-files": str(len(files))}), meta.current_schema_id)
+        s = Snapshot(snap, now, parent.snapshot_id if parent else None, seq, path, Summary(operation, summary), meta.current_schema_id)
         refs = meta.refs | {MAIN: SnapshotRef(snap, "branch")} | ({tag: SnapshotRef(snap, "tag")} if tag else {})
         log = (*meta.metadata_log, (meta.last_updated_ms, self.metadata_location))
-        self._publish(replace(meta, snapshots=(*meta.snapshots, s), current_snapshot_id=snap, snapshot_log=(*meta.snapshot_log, (now, snap)), refs=refs, last_updated_ms=now, last_sequence_number=seq, metadata_log=log, specs=specs))
+        self._publish(replace(meta, snapshots=(*meta.snapshots, s), current_snapshot_id=snap, snapshot_log=(*meta.snapshot_log, (now, snap)), refs=refs, last_updated_ms=now, last_sequence_number=seq, metadata_log=log, specs=specs or meta.specs))
         return snap
 
 
@@ -282,3 +308,19 @@ def _summary(files: list[dict], name: str, kind: t.Type) -> dict:
     values = [f["partition"].get(name) for f in files]
     there = sorted(v for v in values if v is not None)
     return {"contains_null": len(there) < len(values), "contains_nan": False, "lower_bound": to_bytes(there[0], kind) if there else None, "upper_bound": to_bytes(there[-1], kind) if there else None}
+
+
+def _combined(a: list[dict] | None, b: list[dict] | None, kinds: list[t.Type]) -> list[dict] | None:
+    """Partition summaries of two manifests as one's; what one of them doesn't know isn't known."""
+    if a is None or b is None or not len(a) == len(b) == len(kinds):
+        return None
+
+    def ends(x: dict, y: dict, name: str, kind: t.Type, pick) -> bytes | None:
+        # a NULL bound means that there is no value
+        there = [v[name] for v in (x, y) if v[name] is not None]
+        return there[0] if len(there) == 1 else pick(there, key=lambda v: order_key(from_bytes(v, kind), kind)) if there else None
+
+    def flag(x: dict, y: dict, name: str) -> bool | None:
+        return True if x[name] or y[name] else None if x[name] is None or y[name] is None else False
+
+    return [{"contains_null": flag(x, y, "contains_null"), "contains_nan": flag(x, y, "contains_nan"), "lower_bound": ends(x, y, "lower_bound", k, min), "upper_bound": ends(x, y, "upper_bound", k, max)} for x, y, k in zip(a, b, kinds, strict=True)]

@@ -85,3 +85,38 @@ def test_assign(spark):
 def test_need(spark):
     df = spark.createDataFrame([("a", 10)] * 10 + [("b", 10)] * 9 + [("c", None)] * 20 + [("d", 1 << 20)] * 20, "g string, size long")
     assert [r.g for r in c.groups_in_need(df, ["g"], "size").collect()] == ["a"]
+
+
+def test_containers(spark):
+    schema = {"type": "record", "name": "r", "fields": [{"name": "a", "type": "long"}]}
+    pack = avro_ocf.packer(schema)
+    rows = [(f"t{i % 3}", pack([{"a": i}, {"a": -i}])) for i in range(30)] + [("t0", None), (None, pack([])), (None, pack([{"a": 7}]))]
+    df = spark.createDataFrame(rows, "target string, content binary")
+    got = {r.target: r for r in c.join_containers(df, "target", "content", keep=True).collect()}
+    assert {k: (r.files, r.blocks, r.records) for k, r in got.items()} == {"t0": (11, 10, 20), "t1": (10, 10, 20), "t2": (10, 10, 20), None: (2, 1, 1)}
+    assert sorted(x["a"] for x in avro_ocf.read(bytes(got["t1"].content))[1]) == sorted([*range(1, 30, 3), *range(-28, 0, 3)])
+    assert c.join_containers(df.limit(0), "target", "content").count() == 0
+    other = avro_ocf.packer({**schema, "name": "other"})
+    with pytest.raises(Exception, match="differ"):
+        c.join_containers(spark.createDataFrame([("t", pack([])), ("t", other([]))], df.schema), "target", "content").collect()
+
+
+def test_rewrite_manifests(spark, tmp_path):
+    from tabulith.plans import expressions as e
+    from tabulith.plans.scan import SnapshotTable
+    from tabulith.sources.writer import TableWriter
+
+    df = spark.range(60).selectExpr("id", "cast(id % 20 AS int) AS part")
+    w = TableWriter.create(spark, f"file://{tmp_path}/t", df.schema, [("part", "identity")])
+    w.append(df, per_manifest=1)
+    w.append(df.where("id < 6").withColumn("part", F.lit(None).cast("int")), per_manifest=1)
+    before = SnapshotTable(spark, ("t",), w.metadata)
+    files = sorted((r.file_path, r.sequence_number, r.snapshot_id) for r in before.files().collect())
+    r = c.rewrite_manifests(w, min_files=2).collect()
+    assert [(x.files, x.blocks, x.records) for x in r] == [(20, 20, 20)]
+    after = SnapshotTable(spark, ("t",), w.metadata)
+    assert sorted((x.file_path, x.sequence_number, x.snapshot_id) for x in after.files().collect()) == files
+    rows = {x.sequence_number: x for x in after.manifests().collect()}
+    assert len(rows) == 2 and (rows[1].added_files_count, rows[1].added_rows_count, bytes(rows[1].partitions[0].lower_bound), bytes(rows[1].partitions[0].upper_bound), rows[1].partitions[0].contains_null) == (20, 60, b"\0\0\0\0", b"\x13\0\0\0", False)
+    assert after.scan(row_filter=e.equal("part", 7)).to_df().count() == 3 and after.scan().to_df().count() == 66 and after.metadata.current_snapshot.summary.operation == "replace"
+    assert c.rewrite_manifests(w, min_files=2).count() == 0 and w.metadata.current_snapshot.snapshot_id == after.metadata.current_snapshot_id
