@@ -1,25 +1,32 @@
 """Evaluation texts in training text: SimHash windows, multi-index Hamming blocks, exact verification.
 
 Every window of ``WINDOW`` words of an item, and of a document, has a 64-bit SimHash of its words, weighted by how few items use
-them. The item side is indexed by four blocks of 16 bits, each with all values within 2 bits: two fingerprints at most ``RADIUS`` bits
-apart agree within 2 bits on some block, so no pair within the radius is missed. Candidates are verified exactly: by the weighted
+them. The item side is indexed by four blocks of 16 bits: two fingerprints at most ``RADIUS`` bits apart agree within 2 bits on some block, so with all values
+within 2 bits of either side's looked up no pair within the radius is missed. Candidates are verified exactly: by the weighted
 shingles (words and word pairs) that the windows share and, where enough are shared, by aligning item and document around the window.
+
+Items are written to the shared folder, in blocks, with the counts of their words over all items; workers load them from there. Documents are read and cut into words
+once, however many blocks there are. Weights and spellings come from the counts over all items, so results don't depend on the blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm.text import words
+from tabulith.session import materialize, new_dir
+from tabulith.sources.filesystem import filesystem
 
 WINDOW = 12
 RADIUS = 11
@@ -33,38 +40,52 @@ FAR = 40
 BAND = 8
 CHUNK = 16_384
 SEED = 4  # of WINDOW words of which ALTERED were altered, so many always stand unbroken
-ITEM_BLOCK = 2_000
+ITEM_BLOCK = 20_000
+TABLE_BYTES = 64 << 20  # of the index's buckets; what doesn't fit is looked up from the other side
 
 
-class Items:
-    """The index over a block of items."""
+class Vocabulary:
+    """The words of all items, with what all items say of them."""
 
-    def __init__(self, ids: list[int], texts: list[list[str]]) -> None:
-        self.ids = ids
+    def __init__(self, names: list[str], df: list[int], slips: list[str], n_items: int, least: float) -> None:
+        self.ids = {w: i + 1 for i, w in enumerate(names)}  # 0: not a word of any item
+        # letters in another order are a common slip: words of no item are looked up by first letter and sorted letters
+        self.slips = {_letters(w): self.ids[w] for w in slips}
+        self.weight = np.array([0.0] + [math.log(1 + n_items / k) for k in df])
+        self.least = least
+        seeds = np.array([0] + [xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64)
+        bits = (seeds[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        self.signs = ((bits.astype(np.int16) * 2 - 1) * np.rint(self.weight * 16).astype(np.int16)[:, None]).astype(np.int16)
+
+    @staticmethod
+    def of(texts: list[list[str]]) -> Vocabulary:
         df: dict[str, int] = {}
         for t in texts:
             for w in set(t):
                 df[w] = df.get(w, 0) + 1
-        self.vocab = {w: i + 1 for i, w in enumerate(df)}  # 0: not a word of any item
-        # letters in another order are a common slip: words of no item are looked up by first letter and sorted letters
-        self.slips: dict[tuple[str, str], int] = {}
-        for w, i in self.vocab.items():
+        names = sorted(df)
+        first: dict[str, str] = {}
+        for w in names:
             if len(w) > 3:
-                self.slips.setdefault((w[0], "".join(sorted(w))), i)
-        n = len(texts)
-        self.weight = np.array([0.0] + [math.log(1 + n / k) for k in df.values()])
-        seeds = np.array([0] + [xxhash.xxh64_intdigest(w) for w in df], dtype=np.uint64)
-        bits = (seeds[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-        self.signs = ((bits.astype(np.int16) * 2 - 1) * np.rint(self.weight * 16).astype(np.int16)[:, None]).astype(np.int16)
+                first.setdefault(_letters(w), w)
+        used = [math.log(1 + len(texts) / df[w]) for t in texts for w in t]
+        return Vocabulary(names, [df[w] for w in names], list(first.values()), len(texts), LEAST_WORDS_WEIGHT * sum(used) / len(used) if used else 0.0)
+
+
+def _letters(w: str) -> str:
+    return w[:1] + "".join(sorted(w))
+
+
+class Items:
+    """The index over a block of items."""
+
+    def __init__(self, ids: list[int], texts: list[list[str]], vocabulary: Vocabulary | None = None) -> None:
+        self.ids = ids
+        v = self.vocabulary = vocabulary or Vocabulary.of(texts)
+        self.vocab, self.weight, self.signs, self.least = v.ids, v.weight, v.signs, v.least
         self.tokens = [np.array([self.vocab[w] for w in t], dtype=np.int32) for t in texts]
-        flat, item, start = [], [], []
-        for k, t in enumerate(self.tokens):
-            for p in range(len(t) - WINDOW + 1):
-                flat.append(t[p : p + WINDOW])
-                item.append(k)
-                start.append(p)
-        used = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.int32)
-        self.least = LEAST_WORDS_WEIGHT * float(self.weight[used].mean()) if len(used) else 0.0
+        sizes = np.array([max(0, len(t) - WINDOW + 1) for t in self.tokens], dtype=np.int64)
+        long = [np.lib.stride_tricks.sliding_window_view(t, WINDOW) for t in self.tokens if len(t) >= WINDOW]
         seeds = [_codes(t, SEED) for t in self.tokens]
         code = np.concatenate(seeds or [np.zeros(0, np.uint64)])
         order = np.argsort(code, kind="stable")
@@ -74,10 +95,13 @@ class Items:
         pad = np.full(WINDOW, -1, np.int32)
         self.padded = np.concatenate([x for t in self.tokens for x in (pad, t, pad)] or [pad])
         self.origin = np.cumsum([0] + [len(t) + 2 * WINDOW for t in self.tokens])[:-1] + WINDOW
-        self.windows = np.array(flat, dtype=np.int32).reshape(-1, WINDOW)
-        self.item, self.start = np.array(item, dtype=np.int32), np.array(start, dtype=np.int32)
+        self.windows = np.concatenate(long).astype(np.int32) if long else np.zeros((0, WINDOW), np.int32)
+        self.item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.start = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         self.hashes = self._hash_rows(self.windows)
-        self.total = self._shingle_weight(self.windows).sum(axis=1) if len(flat) else np.zeros(0)
+        self.total = np.concatenate([self._shingle_weight(self.windows[a : a + CHUNK]).sum(axis=1) for a in range(0, len(self.windows), CHUNK)] or [np.zeros(0)])
+        # two blocks within BLOCK_RADIUS bits have a value between them that is within ``spread`` of the item's and the rest of the document's
+        self.spread = next(r for r in range(BLOCK_RADIUS, -1, -1) if r == 0 or len(_masks(r)) * len(self.windows) * 4 * BLOCKS <= TABLE_BYTES)
         self.tables = [self._table(b) for b in range(BLOCKS)]
 
     def _hash_rows(self, rows: np.ndarray) -> np.ndarray:
@@ -89,8 +113,7 @@ class Items:
     def _table(self, block: int) -> tuple[np.ndarray, np.ndarray]:
         """(first entry of each bucket, windows by bucket)."""
         key = (self.hashes >> np.uint64(block * BLOCK_BITS)).astype(np.uint32) & np.uint32(0xFFFF)
-        masks = [0] + [sum(1 << b for b in c) for r in range(1, BLOCK_RADIUS + 1) for c in combinations(range(BLOCK_BITS), r)]
-        keys = (key[None, :] ^ np.array(masks, dtype=np.uint32)[:, None]).ravel().astype(np.uint16)  # sorted by radix
+        keys = (key[None, :] ^ _masks(self.spread)[:, None]).ravel().astype(np.uint16)  # sorted by radix
         order = np.argsort(keys, kind="stable")
         at = np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1))
         return at, (order % max(1, len(key))).astype(np.int32)
@@ -100,13 +123,13 @@ class Items:
         return np.concatenate([w, w[:, 1:] + w[:, :-1]], axis=1)
 
     def encode(self, text: list[str]) -> np.ndarray:
-        vocab, slips = self.vocab, self.slips
+        vocab, v = self.vocab, self.vocabulary
         out = np.fromiter((vocab.get(w, 0) for w in text), dtype=np.int32, count=len(text))
         if len(text):
             for i in np.flatnonzero(out == 0):
                 w = text[i]
                 if 3 < len(w) < 30:
-                    out[i] = slips.get((w[0], "".join(sorted(w))), 0)
+                    out[i] = v.slips.get(_letters(w), 0)
         return out
 
     def candidates(self, toks: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +139,7 @@ class Items:
         if n <= 0 or not len(self.windows):
             return none
         known = np.concatenate([[0], np.cumsum(toks > 0)])
-        ok = (doc[:n] == doc[WINDOW - 1 :]) & (known[WINDOW:] - known[:n] >= WINDOW // 2)
+        ok = (doc[:n] == doc[WINDOW - 1 :]) & (known[WINDOW:] > known[:n])  # a window without any word of an item shares nothing
         where = np.flatnonzero(ok)
         found = []
         for a in range(0, len(where), CHUNK):
@@ -127,13 +150,15 @@ class Items:
             h = _pack(sums[at - lo + WINDOW] - sums[at - lo])
             pos, win = [], []
             for b, (first, entries) in enumerate(self.tables):
-                key = (h >> np.uint64(b * BLOCK_BITS)).astype(np.uint32) & np.uint32(0xFFFF)
-                s, size = first[key], first[key + 1] - first[key]
-                rep = np.repeat(np.arange(len(at)), size)
-                e = entries[np.arange(size.sum()) + np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size)]
-                near = np.bitwise_count(h[rep] ^ self.hashes[e]) <= RADIUS
-                pos.append(rep[near])
-                win.append(e[near])
+                own = (h >> np.uint64(b * BLOCK_BITS)).astype(np.uint32) & np.uint32(0xFFFF)
+                for mask in _masks(BLOCK_RADIUS - self.spread):
+                    key = own ^ mask
+                    s, size = first[key], first[key + 1] - first[key]
+                    rep = np.repeat(np.arange(len(at)), size)
+                    e = entries[np.arange(size.sum()) + np.repeat(s - (np.cumsum(size) - size), size)]
+                    near = np.bitwise_count(h[rep] ^ self.hashes[e]) <= RADIUS
+                    pos.append(rep[near])
+                    win.append(e[near])
             code = np.unique(np.concatenate(pos).astype(np.int64) * len(self.windows) + np.concatenate(win))
             if len(code):
                 p, w = at[code // len(self.windows)], code % len(self.windows)
@@ -313,45 +338,107 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-@lru_cache(maxsize=4)
+def _masks(radius: int) -> np.ndarray:
+    """All values of a block with at most ``radius`` bits."""
+    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(BLOCK_BITS), r)], dtype=np.uint32)
+
+
 def _items(packed: tuple[tuple[int, str], ...]) -> Items:
     return Items([i for i, _ in packed], [words(t) for _, t in packed])
 
 
-def item_blocks(items: DataFrame, id: str, text: str, block: int = ITEM_BLOCK) -> Iterator[tuple[tuple[int, str], ...]]:  # noqa: A002
-    """The items in blocks of about ``block``, each small enough to send to every task. Of an item given twice the greatest text counts."""
+@dataclass(frozen=True)
+class ItemStore:
+    """Items in the shared folder: their words by block, and the words of all of them with their counts."""
+
+    folder: str
+    blocks: int
+    n_items: int
+    least: float
+
+    def indexes(self) -> Iterator[Items]:
+        """The indexes of all blocks, one in memory at a time."""
+        for b in range(self.blocks):
+            yield _block(self, b)
+
+
+def _load(folder: str, *columns: str):
+    fs, path = filesystem(folder)
+    return pq.read_table(path, filesystem=fs, columns=list(columns), partitioning=None)
+
+
+@lru_cache(maxsize=1)
+def _vocabulary(store: ItemStore) -> Vocabulary:
+    t = _load(f"{store.folder}/words", "w", "df", "slip").sort_by("w")
+    return Vocabulary(t["w"].to_pylist(), t["df"].to_pylist(), t.filter(t["slip"])["w"].to_pylist(), store.n_items, store.least)
+
+
+@lru_cache(maxsize=1)
+def _block(store: ItemStore, b: int) -> Items:
+    fs, path = filesystem(f"{store.folder}/items/b={b}")
+    if not _exists(fs, path):  # it got no item
+        return Items([], [], _vocabulary(store))
+    t = _load(f"{store.folder}/items/b={b}", "id", "ws").sort_by("id")
+    return Items(t["id"].to_pylist(), t["ws"].to_pylist(), _vocabulary(store))
+
+
+def _exists(fs, path: str) -> bool:
+    return fs.get_file_info(path).type.name != "NotFound"
+
+
+def item_blocks(items: DataFrame, id: str, text: str, block: int = ITEM_BLOCK) -> ItemStore | None:  # noqa: A002
+    """Write the items to the shared folder in blocks of about ``block``. Of an item given twice the greatest text counts. None if there are none.
+
+    Nothing of their number comes to the driver. A worker holds one block, and some 300 bytes for each different word of all items.
+    """
     one = items.where(F.col(id).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(id).cast("long").alias("id")).agg(F.max(text).alias("text"))
-    n = one.count()
-    k = max(1, -(-n // block))
-    for b in range(k):
-        rows = one.where(F.pmod(F.xxhash64("id"), F.lit(k)) == b).collect() if k > 1 else one.collect()
-        if rows:
-            yield tuple(sorted((r.id, r.text) for r in rows))
 
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"id": f["id"], "ws": [words(t) for t in f["text"]]})
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    one = materialize(one.mapInPandas(cut, "id bigint, ws array<string>"), "items")
+    n = one.count()
+    if not n:
+        return None
+    folder, k = new_dir(items.sparkSession, "store"), -(-n // block)
+    one.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(k))).repartition(min(k, 2000), "b").write.partitionBy("b").parquet(f"{folder}/items")
+    # a few numbers for each word; both counts combine before the shuffle
+    each = one.select("id", F.explode("ws").alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
+    counts = materialize(each.groupBy("w").agg(F.count("*").alias("df"), F.sum("c").alias("tf")), "counts")
+    key = F.concat(F.substring("w", 1, 1), F.array_join(F.array_sort(F.split("w", "")), ""))
+    slips = counts.where(F.length("w") > 3).groupBy(key).agg(F.min("w").alias("_s")).select("_s")
+    marked = counts.join(slips, F.col("w") == F.col("_s"), "left").select("w", "df", F.col("_s").isNotNull().alias("slip"))
+    marked.write.parquet(f"{folder}/words")
+    used = counts.agg(F.sum(F.log(1 + n / F.col("df")) * F.col("tf")), F.sum("tf")).first()
+    return ItemStore(folder, k, n, LEAST_WORDS_WEIGHT * used[0] / used[1] if used[1] else 0.0)
+
+
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", **blocks: int) -> DataFrame:
     """``doc_id, item_id, n_words``: each document that holds a passage of an item, itself or in a quote.
 
     A passage is a run of at least ``WINDOW`` words of the item, even if slightly altered. An unaltered run counts whatever its words are. Of an altered one
     at least ``LEAST_MATCHED`` words match in order, either with at most ``ALTERED`` edits and ``LEAST_WEIGHT_SHARE`` of the passage's own weight, or with the
     weight of ``LEAST_WORDS_WEIGHT`` average words and few others between them, so stock phrases and turns of the language are none. Items of fewer than ``WINDOW`` words have no such passage. Whole texts are read. NULL and empty texts hold nothing; repeated documents give one row; a NULL
-    ``doc_id`` is left out. No items, or no documents: no rows.
+    ``doc_id`` is left out. No items, or no documents: no rows. ``block`` (items in memory at a time) changes no row.
     """
     src = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     kind = src.schema["d"].dataType.simpleString()
-    out = None
-    for block in item_blocks(items, item_id, item_text):
-
-        def find(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            index = _items(block)
-            for f in frames:
-                for a in range(0, len(f), 500):
-                    ids = f["d"].iloc[a : a + 500].tolist()
-                    hits = index.leaks([words(t) for t in f["t"].iloc[a : a + 500]])
-                    yield pd.DataFrame({"d": [ids[k] for k, *_ in hits], "item_id": [index.ids[i] for _, i, *_ in hits], "n_words": [m for _, _, m, _ in hits]})
-
-        part = src.mapInPandas(find, f"d {kind}, item_id bigint, n_words int")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = src.select("d", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_words")).limit(0)
-    return out.groupBy(F.col("d").alias(doc_id), "item_id").agg(F.max("n_words").alias("n_words"))
+    store = item_blocks(items, item_id, item_text, **blocks)
+    if store is None:
+        return src.select(F.col("d").alias(doc_id), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_words")).limit(0)
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            # with several blocks an index serves a whole batch of documents before the next one takes its place
+            step = 500 if store.blocks == 1 else max(1, len(f))
+            for a in range(0, len(f), step):
+                ids = f["d"].iloc[a : a + step].tolist()
+                texts = [words(t) for t in f["t"].iloc[a : a + step]]
+                for index in store.indexes():
+                    for b in range(0, len(texts), 500):
+                        hits = index.leaks(texts[b : b + 500])
+                        yield pd.DataFrame({"d": [ids[b + k] for k, *_ in hits], "item_id": [index.ids[i] for _, i, *_ in hits], "n_words": [m for _, _, m, _ in hits]})
+
+    found = src.mapInPandas(find, f"d {kind}, item_id bigint, n_words int")
+    return found.groupBy(F.col("d").alias(doc_id), "item_id").agg(F.max("n_words").alias("n_words"))

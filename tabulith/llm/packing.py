@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,10 +195,13 @@ def counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
 
 
 def token_counts(docs: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:  # noqa: A002
-    """``id, n_tokens`` of each row; NULL and empty texts have none."""
+    """``id, n_tokens`` of each row; NULL and empty texts have none. ``tokenizer`` is the path of a public vocabulary file on the driver or on all executors."""
+
+    if os.path.exists(tokenizer):
+        docs.sparkSession.sparkContext.addFile(tokenizer)  # executors that don't have the path get the file with the job
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = counter(tokenizer)
+        tokens = counter(tokenizer if os.path.exists(tokenizer) else SparkFiles.get(os.path.basename(tokenizer)))
         for f in frames:
             n = np.zeros(len(f), dtype=np.int64)
             texts = f["t"].tolist()

@@ -16,7 +16,8 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Each post's container and place."""
-    return packing.pack(packing.token_counts(_read(spark, d, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
+    tokenizer = spark.conf.get("tabulith.tokenizer", packing.TOKENIZER)
+    return packing.pack(packing.token_counts(_read(spark, d, "documents"), "doc_id", "text", tokenizer), "doc_id", "n_tokens")
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:

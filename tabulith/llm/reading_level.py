@@ -2,7 +2,8 @@
 
 The author's own prose is taken out of a post (no quotes, signatures, code, logs, pasted test items), described by features of syntax and
 vocabulary, and scored by a linear model that was fitted to order pairs of graded documents. Isotonic regression over scores from
-folds that the model had not seen turns scores into levels.
+folds that the model had not seen turns scores into levels. Beside lengths and marks, syntax shows in the order of word shapes: which patterns of them are demanding
+is learned by the ranker. Whether prose is English is told by a model of letter sequences, trained on posts that name their language.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.contamination import WINDOW, Items, _items, item_blocks
+from tabulith.llm.contamination import WINDOW, Items, ItemStore, _items, item_blocks  # noqa: F401
 from tabulith.llm.text import CONFUSABLE, TAG, WORD, unescaped
 
 MAX_LABELLED = 5_000
@@ -25,6 +26,10 @@ PAIRS_PER_DOC = 200
 FOLDS = 5
 LEAST_WORDS = 30
 VOCABULARY = 512
+PATTERNS = 512
+MAX_LANGUAGE = 5_000
+LETTERS = 1 << 14
+BATCH = 500
 
 PRE = re.compile(r"(?is)<(pre|code)\b[^>]*>.*?(?:</\1\s*>|\Z)|```.*?(?:```|\Z)|\[code\].*?(?:\[/code\]|\Z)")
 BB_QUOTE = re.compile(r"(?is)\[quote(?:=[^\]]*)?\](?:(?!\[quote\b).)*?\[/quote\]")
@@ -94,12 +99,13 @@ def own_prose(text: str | None) -> list[str]:
 
 
 class _Words:
-    """Attributes of the words met so far: (length, syllables, subordinates, personal, common, is "of", place of its count)."""
+    """Attributes of the words met so far: (length, syllables, subordinates, personal, common, is "of", place of its count, shape). The shape of a word of up to three
+    letters, as most of those that join others are, is the word itself, that of a longer one its last three."""
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
         self.rows: list[tuple] = []
-        self.table = np.zeros((0, 7), dtype=np.int64)
+        self.table = np.zeros((0, 8), dtype=np.int64)
 
     def of(self, words_: list[str]) -> np.ndarray:
         if len(self.ids) > 300_000:
@@ -108,7 +114,7 @@ class _Words:
         for w in words_:
             if w not in ids:
                 ids[w] = len(ids)
-                new.append((len(w), max(1, len(VOWELS.findall(w))), w in SUBORDINATE, w in PERSONAL, w in COMMON, w == "of", xxhash.xxh32_intdigest(w) % VOCABULARY))
+                new.append((len(w), max(1, len(VOWELS.findall(w))), w in SUBORDINATE, w in PERSONAL, w in COMMON, w == "of", xxhash.xxh32_intdigest(w) % VOCABULARY, xxhash.xxh32_intdigest(w[-3:] if len(w) < 4 else "-" + w[-3:])))
         if new:
             self.rows += new
             if len(self.rows) > len(self.table):
@@ -130,20 +136,23 @@ def tokens(sentence: str) -> list[str]:
 def features(posts: list[Post]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each post a row of features, the number of words, and whether they are English.
 
-    Features are those of syntax (lengths, clauses, commas), of vocabulary (lengths, syllables, kinds of words), and hashed relative
-    word counts. A text is English if a fifth of its words are ones that only join or point there.
+    Features are those of syntax (lengths, clauses, commas), of vocabulary (lengths, syllables, kinds of words), hashed relative
+    word counts, and hashed relative counts of three word shapes in a row within a sentence. Without a language model a text is English if a fifth of its words are ones
+    that only join or point there.
     """
     k = len(posts)
     flat: list[str] = []
+    starts: list[int] = []
     n, m, longest, marks = (np.zeros(k) for _ in range(4))
     for i, (sentences, toks) in enumerate(posts):
         lens = []
         for s, t in zip(sentences, toks, strict=True):
+            starts.append(len(flat))
             flat += t
             lens.append(len(t))
             marks[i] += s.count(",") + s.count(";") + s.count(":")
         n[i], m[i], longest[i] = sum(lens), len(lens), max(lens, default=0)
-    out = np.zeros((k, 16 + VOCABULARY))
+    out = np.zeros((k, 16 + VOCABULARY + PATTERNS))
     if not flat:
         return out, n.astype(int), np.zeros(k, bool)
     w = _words.of(flat)
@@ -177,11 +186,45 @@ def features(posts: list[Post]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ],
         axis=1,
     )
-    out[:, 16:] = np.bincount(doc * VOCABULARY + w[:, 6], minlength=k * VOCABULARY).reshape(k, VOCABULARY) * (10 / some)[:, None]
+    out[:, 16 : 16 + VOCABULARY] = np.bincount(doc * VOCABULARY + w[:, 6], minlength=k * VOCABULARY).reshape(k, VOCABULARY) * (10 / some)[:, None]
+    shape = w[:, 7].astype(np.uint64)
+    sentence = np.zeros(len(flat), np.int64)
+    sentence[[a for a in starts if a < len(flat)]] = 1
+    sentence = np.cumsum(sentence)
+    if len(flat) > 2:
+        code = (shape[:-2] * np.uint64(0x9E3779B1) + shape[1:-1] * np.uint64(0x85EBCA77) + shape[2:] * np.uint64(0xC2B2AE3D)) >> np.uint64(17)
+        within = sentence[:-2] == sentence[2:]
+        place = doc[:-2] * PATTERNS + (code % np.uint64(PATTERNS)).astype(np.int64)
+        out[:, 16 + VOCABULARY :] = np.bincount(place[within], minlength=k * PATTERNS).reshape(k, PATTERNS) * (10 / some)[:, None]
     out[n == 0] = 0
     return out, n.astype(int), (n > 0) & (common >= 0.2 * n)
 
 
+def letter_codes(post: Post) -> np.ndarray:
+    """Places of the runs of three letters of a post's words."""
+    x = np.frombuffer((" " + " ".join(w for t in post[1] for w in t) + " ").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(x) < 5:
+        return np.zeros(0, np.int64)
+    h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)
+    return (h % np.uint64(LETTERS)).astype(np.int64)
+
+
+@dataclass
+class Language:
+    """Naive Bayes over runs of three letters: what each says for English."""
+
+    odds: np.ndarray
+
+    @staticmethod
+    def of(counts: dict[bool, np.ndarray]) -> Language:
+        """From the counts of runs in English posts and in others."""
+        yes, no = ((counts[k] + 0.5) / (counts[k] + 0.5).sum() for k in (True, False))
+        return Language(np.log(yes) - np.log(no))
+
+    def english(self, posts: list[Post]) -> np.ndarray:
+        return np.array([bool(len(c := letter_codes(p)) and self.odds[c].sum() > 0) for p in posts])
+
+
 @dataclass
 class Ranker:
     mean: np.ndarray
@@ -197,22 +240,22 @@ class Ranker:
         return np.interp(score, self.cuts, self.levels)
 
 
-def _pairs(y: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (harder, easier): up to ``PAIRS_PER_DOC`` easier partners of each document."""
+def _pairs(y: np.ndarray, seed: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (harder, easier): up to ``most`` easier partners of each document."""
     rng = np.random.default_rng(seed)
     a, b = [], []
     for i in range(len(y)):
         easier = np.flatnonzero(y < y[i] - 0.25)
-        if len(easier) > PAIRS_PER_DOC:
-            easier = rng.choice(easier, PAIRS_PER_DOC, replace=False)
+        if len(easier) > most:
+            easier = rng.choice(easier, most, replace=False)
         a.append(np.full(len(easier), i))
         b.append(easier)
     return np.concatenate(a).astype(int), np.concatenate(b).astype(int)
 
 
-def _rank(x: np.ndarray, y: np.ndarray, ridge: float = 3e-3, steps: int = 60, keep: int = 10) -> np.ndarray:
+def _rank(x: np.ndarray, y: np.ndarray, pairs_per_doc: int = PAIRS_PER_DOC, ridge: float = 3e-3, steps: int = 60, keep: int = 10) -> np.ndarray:
     """Weights of a logistic model of which document of a pair is harder, by the limited-memory BFGS method."""
-    a, b = _pairs(y, 7)
+    a, b = _pairs(y, 7, pairs_per_doc)
     w = np.zeros(x.shape[1])
     if not len(a):
         return w
@@ -265,19 +308,19 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s / n for s, _, n in pools]), np.array([v / n for _, v, n in pools])
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Ranker:
+def fit(x: np.ndarray, y: np.ndarray, pairs_per_doc: int = PAIRS_PER_DOC) -> Ranker:
     """Fit ranker and calibration. The calibration uses scores from folds, put on the scale of the final model."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     scale[16:] *= 8.0  # single words weigh little beside the summary features
     z = (x - mean) / scale
-    weights = _rank(z, y)
+    weights = _rank(z, y, pairs_per_doc)
     fold = np.arange(len(y)) % FOLDS
     held = z @ weights
     if len(y) >= 10 * FOLDS:
         final = held.copy()
         for f in range(FOLDS):
-            w = _rank(z[fold != f], y[fold != f])
+            w = _rank(z[fold != f], y[fold != f], pairs_per_doc)
             s = z @ w
             k, c = np.polyfit(s[fold != f], final[fold != f], 1) if np.ptp(s[fold != f]) > 0 else (1.0, 0.0)
             held[fold == f] = s[fold == f] * k + c
@@ -285,22 +328,24 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ranker:
     return Ranker(mean, scale, weights, cuts, levels)
 
 
-def _own(frame: pd.DataFrame, index: Items | None) -> list[Post]:
+def _own(frame: pd.DataFrame, items: Items | ItemStore | None) -> list[Post]:
     """Own sentences of each post and their words, without those that belong to a pasted item."""
     posts = [(p, [tokens(s) for s in p]) for p in map(own_prose, frame["t"])]
-    if index is None:
+    if items is None:
         return posts
     flat = [[w for t in toks for w in t] for _, toks in posts]
     pasted: dict[int, np.ndarray] = {}
-    for k, item, _, at in index.leaks(flat):
-        mark = pasted.setdefault(k, np.zeros(len(flat[k]), bool))
-        # the windows reach beyond the passage: of their words those are the item's that stand beside the same neighbour there
-        window = np.zeros(len(mark), bool)
-        for p in at:
-            window[p : p + WINDOW] = True
-        code, it = index.encode(flat[k]).astype(np.int64), index.tokens[item].astype(np.int64)
-        pair = np.isin(code[:-1] << 32 | code[1:], it[:-1] << 32 | it[1:]) & (code[:-1] > 0) & (code[1:] > 0)
-        mark |= window & (np.concatenate([pair, [False]]) | np.concatenate([[False], pair]))
+    for index in [items] if isinstance(items, Items) else items.indexes():
+        for a in range(0, len(flat), BATCH):
+            for k, item, _, at in index.leaks(flat[a : a + BATCH]):
+                mark = pasted.setdefault(a + k, np.zeros(len(flat[a + k]), bool))
+                # the windows reach beyond the passage: of their words those are the item's that stand beside the same neighbour there
+                window = np.zeros(len(mark), bool)
+                for p in at:
+                    window[p : p + WINDOW] = True
+                code, it = index.encode(flat[a + k]).astype(np.int64), index.tokens[item].astype(np.int64)
+                pair = np.isin(code[:-1] << 32 | code[1:], it[:-1] << 32 | it[1:]) & (code[:-1] > 0) & (code[1:] > 0)
+                mark |= window & (np.concatenate([pair, [False]]) | np.concatenate([[False], pair]))
     for k, mark in pasted.items():
         ends = np.cumsum([len(t) for t in posts[k][1]])
         kept = [(s, t) for s, t, e in zip(*posts[k], ends, strict=True) if not t or mark[e - len(t) : e].sum() < 0.5 * len(t)]
@@ -308,63 +353,86 @@ def _own(frame: pd.DataFrame, index: Items | None) -> list[Post]:
     return posts
 
 
-def _featured(docs: DataFrame, block, keep: list[str]) -> DataFrame:
+def _posts(frame: pd.DataFrame, items: ItemStore | None) -> Iterator[tuple[pd.DataFrame, list[Post]]]:
+    """Parts of a batch of documents and their posts. With several blocks of items an index serves the whole batch before the next one takes its place."""
+    step = BATCH if items is None or items.blocks == 1 else max(1, len(frame))
+    for a in range(0, len(frame), step):
+        part = frame.iloc[a : a + step]
+        posts = _own(part, items)
+        for b in range(0, len(part), BATCH):
+            yield part.iloc[b : b + BATCH], posts[b : b + BATCH]
+
+
+def _featured(docs: DataFrame, items: ItemStore | None, keep: list[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _items(block) if block else None
         for f in frames:
-            for a in range(0, len(f), 500):
-                part = f.iloc[a : a + 500]
-                posts = _own(part, index)
+            for part, posts in _posts(f, items):
                 yield pd.DataFrame({"d": part["d"].to_numpy(), **{c: part[c].to_numpy() for c in keep}, "x": list(features(posts)[0])})
 
     ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("d", *keep))
     return docs.mapInPandas(run, f"{ddl}, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> Ranker | None:
-    """Fit on the labelled documents: at most ``max_labelled`` of them (chosen by hash), the mean of a document's labels counts. None if fewer
-    than two have own prose."""
+def train(docs: DataFrame, labels: DataFrame, items: DataFrame | ItemStore | None = None, max_labelled: int = MAX_LABELLED, pairs_per_doc: int = PAIRS_PER_DOC) -> Ranker | None:
+    """Fit on the labelled documents: at most ``max_labelled`` of them (chosen by hash), the mean of a document's labels counts; of each, at most ``pairs_per_doc``
+    easier ones are its partners in pairs. None if fewer than two have own prose."""
     y = labels.where("doc_id IS NOT NULL AND reading_level IS NOT NULL").groupBy(F.col("doc_id").alias("d")).agg(F.avg("reading_level").alias("y"))
     y = y.orderBy(F.xxhash64("d"), "d").limit(max_labelled)
     graded = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.col("text").alias("t")).join(F.broadcast(y), "d").dropDuplicates(["d"])
-    rows = _featured(graded, _one_block(items), ["y"]).collect()  # max_labelled rows
-    rows.sort(key=lambda r: r.d)
-    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
-    full = x[:, 6] > 0 if len(x) else np.zeros(0, bool)
+    t = _featured(graded, _stored(items), ["y"]).toArrow().sort_by("d")  # max_labelled rows of numbers, 4 kB each
+    if not t.num_rows:
+        return None
+    x, y = t["x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1), t["y"].to_numpy()
+    full = x[:, 6] > 0
     if full.sum() < 2:
         return None
-    return fit(x[full], y[full])
+    return fit(x[full], y[full], pairs_per_doc)
 
 
-def _one_block(items: DataFrame | None):
-    if items is None:
+def language(docs: DataFrame, max_language: int = MAX_LANGUAGE) -> Language | None:
+    """Fit on at most ``max_language`` posts (chosen by hash) that name their language in ``lang``; None without any of English and any of another."""
+    if "lang" not in docs.columns:
         return None
-    blocks = list(item_blocks(items, "item_id", "text", 1 << 30))
-    if not blocks:
-        return None
-    if sum(len(t) for _, t in blocks[0]) > 32 << 20:
-        raise ValueError("more than 32 MB of items; remove their passages beforehand")
-    return blocks[0]
+    t = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").alias("d"), "lang", F.col("text").alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(max_language)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            posts = [(p, [tokens(s) for s in p]) for p in map(own_prose, f["t"])]
+            counts: dict[bool, np.ndarray] = {}
+            for p, e in zip(posts, f["lang"].str.lower().str.startswith("en"), strict=True):
+                counts.setdefault(bool(e), np.zeros(LETTERS, np.int64))
+                counts[bool(e)] += np.bincount(letter_codes(p), minlength=LETTERS)
+            yield pd.DataFrame({"e": list(counts), "c": [v.tolist() for v in counts.values()]})
+
+    rows = t.mapInPandas(run, "e boolean, c array<bigint>").toArrow()  # two rows for each batch of documents
+    total = {True: np.zeros(LETTERS), False: np.zeros(LETTERS)}
+    for e, v in zip(rows["e"].to_pylist(), rows["c"], strict=True):
+        total[e] += v.values.to_numpy()
+    return Language.of(total) if all(v.any() for v in total.values()) else None
+
+
+def _stored(items: DataFrame | ItemStore | None) -> ItemStore | None:
+    return items if items is None or isinstance(items, ItemStore) else item_blocks(items, "item_id", "text")
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def reading_levels(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, max_labelled: int = MAX_LABELLED, pairs_per_doc: int = PAIRS_PER_DOC, max_language: int = MAX_LANGUAGE) -> DataFrame:
     """``doc_id, own_words, english, score, level`` of each document.
 
-    ``level`` is continuous on the labels' scale, NULL where there is no own prose or it isn't English (told by its common words, not by the
-    ``lang`` column), and everywhere if too few documents are labelled. Whole texts are read. NULL and empty texts have no own prose; repeated documents give equal rows, of which one is kept;
+    ``level`` is continuous on the labels' scale, NULL where there is no own prose or it isn't English, and everywhere if too few documents are labelled. English is
+    told by the prose, not by what ``lang`` says of the post: by a model fitted on at most ``max_language`` posts that name a language, or, where none do, by
+    common words. Whole texts are read. NULL and empty texts have no own prose; repeated documents give equal rows, of which one is kept;
     a NULL ``doc_id`` is left out.
     """
-    model = train(docs, labels, items, max_labelled)
-    block = _one_block(items)
+    store = _stored(items)
+    model = train(docs, labels, store, max_labelled, pairs_per_doc)
+    speech = language(docs, max_language)
     src = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _items(block) if block else None
         for f in frames:
-            for a in range(0, len(f), 500):
-                part = f.iloc[a : a + 500]
-                posts = _own(part, index)
+            for part, posts in _posts(f, store):
                 x, n, english = features(posts)
+                english = speech.english(posts) & (n > 0) if speech else english
                 score = model.score(x) if model else np.full(len(x), np.nan)
                 yield pd.DataFrame({"doc_id": part["d"].to_numpy(), "own_words": n, "english": english, "score": np.where(english, score, np.nan), "level": np.where(english, model.level(score) if model else np.nan, np.nan)})
 

@@ -152,3 +152,50 @@ def test_short_altered_passages(items, n, replaced, inserted):
             cut.insert(r.randrange(1, n), r.choice(VOCABULARY))
         found += any(ix.ids[k] == i for _, k, _, _ in ix.leaks([words(text(r, 20)) + cut + words(text(r, 20))]))
     assert found >= 0.95 * 200
+
+
+def altered(r, t):
+    out = []
+    for w in words(t):
+        x = r.random()
+        out += [w[:1] + w[2] + w[1] + w[3:]] if x < 0.04 else [r.choice(VOCABULARY)] if x < 0.08 else [w, "really"] if x < 0.1 else [] if x < 0.12 else [w]
+    return out
+
+
+def test_blocks_change_nothing(spark, items):
+    """The same rows for any size of block: weights, spellings and the least weight come from all items."""
+    r = random.Random(21)
+    docs = [(k, " ".join([text(r, 15), *altered(r, r.choice(items)[1])[: r.randint(8, 40)], text(r, 15)])) for k in range(250)]
+    df, its = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(tuple, c.leaked(df, its, block=n).collect())) for n in (3, 11, 1000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 150
+    ix = index(items)
+    assert got[0] == sorted({(docs[k][0], ix.ids[i], m) for k, i, m, _ in ix.leaks([words(t) for _, t in docs])})
+
+
+@pytest.mark.parametrize("size", [0, 1 << 19, 1 << 30])
+def test_any_side_of_the_index(items, monkeypatch, size):
+    """Where the index is too large for all values near an item's, those near the document's are looked up: the same candidates."""
+    whole = index(items)
+    monkeypatch.setattr(c, "TABLE_BYTES", size)
+    ix, r = index(items), random.Random(8)
+    toks = [w for _ in range(40) for w in altered(r, r.choice(items)[1])]
+    coded = whole.encode(toks)
+    got, want = (sorted(zip(*(x.tolist() for x in i.candidates(coded, np.zeros(len(coded), int))), strict=True)) for i in (ix, whole))
+    assert got == want and len(got) > 100 and ix.spread == {0: 0, 1 << 19: 1, 1 << 30: 2}[size]
+
+
+def test_recall_against_brute_force(items):
+    """Every altered passage that the exact test accepts at some diagonal is found: candidates lose next to none."""
+    ix, r = index(items), random.Random(31)
+    found = total = 0
+    for k in range(200):
+        i, t = r.choice(items)
+        n = r.randint(12, 30)
+        cut = altered(r, " ".join(words(t)[:n]))
+        toks = ix.encode(words(text(r, 12)) + cut + words(text(r, 12)))
+        it = ix.ids.index(i)
+        held = any(ix._holds(toks, it, d) for d in range(-len(ix.tokens[it]), len(toks)))
+        total += held
+        found += held and any(x == it for _, x, _, _ in ix.leaks([words(text(random.Random(31 + k), 12)) + cut + words(text(r, 12))]))
+    assert total > 120 and found >= 0.98 * total
