@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tabulith.catalog import Identifier, NamespaceExists, NamespaceNotEmpty, NoSuchNamespace, NoSuchTable, TableExists, check_namespace, check_table
 from tabulith.plans.scan import SnapshotTable
 from tabulith.sources.filesystem import filesystem, read_bytes, write_bytes
+from tabulith.sources.metadata import TableMetadata
 from tabulith.sources.writer import TableWriter
 
 
@@ -112,11 +113,15 @@ class LocalCatalog:
         w._publish(replace(w.metadata, properties={k: v for k, v in w.metadata.properties.items() if k not in remove} | (update or {})))
 
     def drop_table(self, identifier: str | Sequence[str]) -> None:
-        """Forget the table; its data and metadata files are removed."""
+        """Forget the table; its data and metadata files are removed, those in the folder of an earlier name too unless another table has it now."""
         ident = check_table(identifier)
-        self._metadata(ident)
+        place = TableMetadata.parse(read_bytes(self._metadata(ident)[1], self.props)).location.rstrip("/")
         fs, p = filesystem(self._path(ident), self.props)
         fs.delete_dir(p)
+        earlier = tuple(place[len(self.root) + 1 :].split("/")) if place.startswith(self.root + "/") else ()
+        if earlier and earlier != ident and self._exists(place) and not self._is_table(earlier):
+            fs, p = filesystem(place, self.props)
+            fs.delete_dir(p)
 
     def rename_table(self, source: str | Sequence[str], target: str | Sequence[str]) -> None:
         """The new name's folder gets the current metadata; data files stay where they are, for manifests name them by full paths."""

@@ -6,6 +6,7 @@ never decodes rows (``sources.parquet_blocks`` for Parquet, ``sources.avro_ocf``
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import pandas as pd
@@ -112,6 +113,52 @@ def rewrite_manifests(writer, target: int = TARGET, **limits: int) -> DataFrame:
     return done
 
 
+def merge_manifests(writer, target: int = TARGET, **limits: int) -> int | None:
+    """Merge a table's manifests of any age, by decoding their entries: what these inherit is written out, added ones become existing ones and deleted ones go.
+    Returns the id of the new snapshot; None if there is nothing to merge.
+
+    For manifests that ``rewrite_manifests`` can't join. Rows and deletes mean what they did, and ``appended_files`` still finds what each snapshot added.
+    """
+    from tabulith.plans.scan import SnapshotTable
+    from tabulith.sources.manifests import DELETED, entry_rows
+    from tabulith.sources.writer import combined_rows
+
+    spark, m = writer.spark, writer.metadata
+    rows = {r["manifest_path"]: r for r in avro_ocf.read(read_bytes(m.current_snapshot.manifest_list))[1]}
+    group = ["partition_spec_id", "content"]
+    plan = assign(SnapshotTable(spark, ("merge",), m).manifests(), group, "manifest_path", "manifest_length", target, **({"min_files": 2, "small_mean": 1 << 62} | limits)).where("bin IS NOT NULL")
+    name = F.concat(F.lit(f"{writer.location}/metadata/merged-"), F.sha1(F.to_json(F.struct(F.lit(m.last_sequence_number), *group, "piece", "bin"))), F.lit(".avro"))
+    plan = materialize(plan.select(F.col("manifest_path").alias("path"), name.alias("target"), "partition_spec_id", "sequence_number", "added_snapshot_id"), "plan")
+    plan = materialize(plan.join(plan.groupBy("target").agg(F.count("*").alias("n")).where("n > 1"), "target", "left_semi"), "plan")
+
+    def merge(d: pd.DataFrame) -> pd.DataFrame:
+        out, first, numbers = [], None, []
+        for r in d.sort_values("path").itertuples(index=False):
+            data = read_bytes(r.path)
+            meta, entries = avro_ocf.read(data)
+            first = first or meta
+            known = {"manifest_path": r.path, "partition_spec_id": r.partition_spec_id, "sequence_number": r.sequence_number, "added_snapshot_id": r.added_snapshot_id}
+            for x, y in zip(entries, entry_rows(data, {k: None if pd.isna(v) else v if isinstance(v, str) else int(v) for k, v in known.items()}), strict=True):
+                if x["status"] != DELETED:
+                    out.append(x | {"status": 0} | {k: y[k] for k in ("snapshot_id", "sequence_number", "file_sequence_number")})
+                    numbers.append(y["sequence_number"])
+        data = avro_ocf.write(json.loads(first["avro.schema"]), out, {k: v for k, v in first.items() if not k.startswith("avro.")})
+        write_bytes(d["target"].iloc[0], data)
+        return pd.DataFrame([{"target": d["target"].iloc[0], "bytes": len(data), "n": len(out), "n_rows": sum(x["data_file"]["record_count"] for x in out), "least": min((n for n in numbers if n is not None), default=0)}])
+
+    made = {r.target: r for r in spread_targets(plan).groupBy("target").applyInPandas(merge, "target string, bytes bigint, n bigint, n_rows bigint, least bigint").collect()}  # one row for each new manifest
+    if not made:
+        return None
+    snap, new = writer._new_id(), {}
+    into = {r.path: r.target for r in plan.select("path", "target").collect()}
+    for path, r in rows.items():
+        k = into.get(path, path)
+        new[k] = new[k] | combined_rows(new[k], r, m) if k in new else dict(r)
+    for k, r in made.items():
+        new[k] |= {"manifest_path": k, "manifest_length": r.bytes, "sequence_number": m.last_sequence_number + 1, "min_sequence_number": r.least, "added_snapshot_id": snap, "added_files_count": 0, "existing_files_count": r.n, "deleted_files_count": 0, "added_rows_count": 0, "existing_rows_count": r.n_rows, "deleted_rows_count": 0}
+    return writer.publish_manifests(list(new.values()), {"manifests-replaced": str(len(into)), "manifests-created": str(len(made))}, snap)
+
+
 def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes: int = 128 << 20) -> DataFrame:
     """Join the Parquet files under ``source`` into files of about ``target_bytes`` under ``target`` by copying their blocks.
 

@@ -48,6 +48,7 @@ g AS (SELECT f.* FROM f JOIN l ON l.table_uuid = f.table_uuid AND l.list = f.lis
 live AS (SELECT * FROM g WHERE entries IS NULL OR entries <> 0)"""
 
 MANIFEST_COLUMNS = ("format_version", "manifest_list", "manifest_path", "manifest_length", "partition_spec_id", "content", "sequence_number", "min_sequence_number", "added_snapshot_id", "added_files_count", "existing_files_count", "deleted_files_count", "added_rows_count", "existing_rows_count", "deleted_rows_count", "partitions", "recorded_at")
+PLACES = "SELECT o_orderkey, o_orderstatus, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY year(o_orderdate) DESC NULLS LAST, o_orderkey) AS INT) AS place FROM orders"
 MONTH = "strftime(make_timestamp({} * 1000), '%Y-%m')"
 ORPHANS = f"""{META}, {SNAPS}, u AS (SELECT * FROM s WHERE expired_at IS NULL),
 q AS (SELECT * FROM snapshot_refs QUALIFY row_number() OVER (PARTITION BY table_uuid, ref_name ORDER BY recorded_at DESC) = 1),
@@ -141,7 +142,7 @@ SELECT table_uuid, snapshot_id FROM h WHERE NOT EXISTS (SELECT 1 FROM ingest_run
 p AS (SELECT *, lag((table_uuid, parent_snapshot_id, manifest_list)) OVER (PARTITION BY snapshot_id ORDER BY run) AS was, lag(run) OVER (PARTITION BY snapshot_id ORDER BY run) AS wasrun FROM v)
 SELECT snapshot_id, table_uuid, parent_snapshot_id, manifest_list FROM p WHERE wasrun IS NULL OR (table_uuid, parent_snapshot_id, manifest_list) IS DISTINCT FROM was""",
     }
-    return out | tables()
+    return out | tables() | metadata()
 
 
 def murmur_sql(column: str, table: str) -> str:
@@ -190,6 +191,8 @@ def tables() -> dict[str, str]:
         "filter_starts_with": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'p%'",
         "filter_not_starts_with": "SELECT p_partkey, p_brand FROM part WHERE p_brand NOT LIKE 'Brand#1%'",
         "filter_not_nan": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT isnan(c_acctbal)",
+        "filter_is_nan": "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 10 = 0",
+        "filter_not_nan_of_some": "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 10 <> 0",
         "transform_identity": count.format("l_returnflag", "lineitem"),
         "transform_void": count.format("CAST(NULL AS VARCHAR)", "lineitem"),
         "transform_truncate_long": count.format("l_orderkey - l_orderkey % 100", "lineitem"),
@@ -200,7 +203,8 @@ def tables() -> dict[str, str]:
         "transform_day": count.format("CAST(o_orderdate AS DATE)", "orders"),
         "transform_hour": count.format("CAST(epoch_us(ts) // 3600000000 AS INT)", "events"),
         "transform_bucket_long": f"{murmur_sql('o_orderkey', 'orders')} SELECT CAST((h & 2147483647::UBIGINT) % 16 AS INT) AS part, count(*) AS n FROM s8 GROUP BY 1",
-        "sort_order_apply": "SELECT o_orderkey, o_orderstatus, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY year(o_orderdate) DESC NULLS LAST, o_orderkey) AS INT) AS place FROM orders WHERE o_orderkey < 2000",
+        "sort_order_places": PLACES,
+        "sort_order_apply": PLACES,
         "pruning_soundness": f"SELECT l_orderkey, l_partkey, l_quantity, l_shipdate, count(*) AS n_skipping, count(*) AS n_whole FROM lineitem WHERE {window} AND l_quantity > 45 GROUP BY ALL",
         "pruning_files": f"SELECT (SELECT count(DISTINCT {months}) FROM lineitem WHERE {window}) AS files_kept, (SELECT count(*) FROM lineitem WHERE {months} IN (SELECT {months} FROM lineitem WHERE {window})) AS rows_kept, (SELECT count(DISTINCT {months}) FROM lineitem) AS files_all, (SELECT count(*) FROM lineitem) AS rows_all",
         "file_stats": f"SELECT CAST({months} AS INT) AS month, count(*) AS n_rows, count(*) AS n_values, count(*) - count(l_shipdate) AS n_nulls, min(l_orderkey) AS least_key, max(l_orderkey) AS greatest_key FROM lineitem GROUP BY ALL",
@@ -225,3 +229,48 @@ def tables() -> dict[str, str]:
         "metadata_log_table": "SELECT 2 AS n_earlier",
         "incremental_append": f"SELECT count(*) AS n_rows FROM lineitem WHERE NOT {early}",
     }
+
+
+def metadata() -> dict[str, str]:
+    """SQL of the queries over metadata, catalogs, literals and file formats."""
+    from tabulith.queries_metadata import FILTERS
+
+    renamed = "SELECT c_custkey, c_name AS customer_name, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 2 <> 0 THEN 'new' END AS note FROM customer"
+    day = "CAST(o_orderdate AS DATE)"
+    clock = f"epoch_us(o_orderdate) - epoch_us(CAST({day} AS TIMESTAMP))"
+    hash_ = "md5(CAST(o_orderkey AS VARCHAR))"
+    months = "(year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1"
+    spaces = "r AS (SELECT r_regionkey AS k, replace(r_name, ' ', '_') AS r FROM region), n AS (SELECT r, replace(n_name, ' ', '_') AS n FROM nation JOIN r ON n_regionkey = k), first AS (SELECT min(r) AS r FROM n), size AS (SELECT r, count(*) AS c FROM n GROUP BY r)"
+    work = f"""WITH {spaces} SELECT 'namespace' AS step, r AS result FROM size UNION ALL SELECT 'table', r || '.' || n FROM n UNION ALL SELECT 'size', r || '=' || c FROM size
+UNION ALL SELECT 'left', CAST(c - 1 AS VARCHAR) FROM size JOIN first USING (r) UNION ALL SELECT 'namespaces', CAST(count(*) - 1 AS VARCHAR) FROM size
+UNION ALL SELECT * FROM (VALUES ('removed', 'size'), ('updated', 'kind'), ('missing', 'none'), ('renamed', 'NoSuchTable'), ('loaded', '3'), ('again', 'NamespaceExists'), ('full', 'NamespaceNotEmpty'), ('missing', 'NoSuchNamespace'), ('refreshed', '2'), ('emptied', 'done'))"""
+    return {
+        "schema_evolution_orc": renamed,
+        "schema_evolution_mapped": renamed + " WHERE c_name IS NOT NULL AND c_custkey >= 0",
+        "scan_avro": "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_totalprice >= 1000",
+        "scan_format_1": "SELECT p_partkey, p_brand, p_size FROM part WHERE p_size >= 10 AND p_size < 30",
+        "manifests_format_1": "SELECT 0 AS sequence_number, 0 AS content, 0 AS known_deleted, count(DISTINCT p_size) AS added_files, 0 AS file_sequence, count(*) AS n_rows, 1 AS n_snapshots FROM part",
+        "incremental_rewritten": "SELECT count(*) AS n_rows FROM supplier WHERE s_suppkey % 2 <> 0",
+        "manifests_rewritten": """WITH c AS (SELECT count(DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END) AS a, count(DISTINCT CASE WHEN s_suppkey % 2 <> 0 THEN s_nationkey END) AS b, count(*) FILTER (s_suppkey % 2 = 0) AS x, count(*) AS y FROM supplier)
+SELECT 0 AS version, 'append' AS operation, a AS n_manifests, x AS n_rows, a AS n_files, 1 AS n_commits FROM c UNION ALL SELECT 1, 'append', a + b, y, a + b, 2 FROM c UNION ALL SELECT 2, 'replace', 2, y, a + b, 2 FROM c UNION ALL SELECT 3, 'replace', 1, y, a + b, 2 FROM c""",
+        "scan_rewritten": "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (1, 3, 5, 7)",
+        "metadata_documents": """WITH m AS (SELECT *, nullif(current_snapshot_id, -1) AS cur FROM table_metadata QUALIFY row_number() OVER (PARTITION BY table_uuid ORDER BY last_updated_ms DESC) = 1)
+SELECT table_uuid, format_version AS version_read, 2 AS version_up, table_location AS location, last_updated_ms, cur AS current_snapshot_id, cur AS main_snapshot_id, CASE WHEN format_version = 2 THEN coalesce(last_sequence_number, 0) ELSE 0 END AS sequence_number, coalesce(current_schema_id, 0) AS schema_id,
+CASE WHEN format_version = 1 THEN 1 ELSE 0 END AS n_spec_fields, CASE WHEN format_version = 1 THEN 1000 ELSE 999 END AS last_partition_id, 0 AS order_id, coalesce(len(map_keys(table_props)), 0) AS n_props, true AS same_again FROM m""",
+        "schema_index": f"""WITH RECURSIVE {TREE}, p AS (SELECT table_uuid, schema_id, field_id, name AS full_name, [field_id] AS line FROM x WHERE parent IS NULL UNION ALL SELECT x.table_uuid, x.schema_id, x.field_id, p.full_name || '.' || x.name, list_append(p.line, x.field_id) FROM p JOIN x ON x.table_uuid = p.table_uuid AND x.schema_id = p.schema_id AND x.parent = p.field_id),
+h AS (SELECT table_uuid, schema_id, max(field_id) AS highest FROM p GROUP BY ALL), l AS (SELECT h.*, p.line FROM h JOIN p ON p.table_uuid = h.table_uuid AND p.schema_id = h.schema_id AND p.field_id = h.highest),
+q AS (SELECT l.table_uuid, l.schema_id, l.highest, any_value(len(l.line)) + count(x.field_id) AS kept FROM l LEFT JOIN x ON x.table_uuid = l.table_uuid AND x.schema_id = l.schema_id AND x.name = 'key' AND list_contains(l.line, x.parent) AND NOT list_contains(l.line, x.field_id) AND EXISTS (SELECT 1 FROM x m WHERE m.table_uuid = x.table_uuid AND m.schema_id = x.schema_id AND m.field_id = x.parent AND m.kind = 'map') GROUP BY ALL)
+SELECT p.table_uuid, p.schema_id, p.field_id, p.full_name, true AS found, q.highest, q.kept FROM p JOIN q ON q.table_uuid = p.table_uuid AND q.schema_id = p.schema_id""",
+        "literal_casts": f"""SELECT o_orderkey, CASE WHEN o_orderkey * 1000000 > 2147483647 THEN 'above' ELSE CAST(o_orderkey * 1000000 AS VARCHAR) END AS wide, CASE WHEN o_orderkey * 1000000 > 2147483648 THEN 'below' ELSE CAST(-o_orderkey * 1000000 AS VARCHAR) END AS narrow, o_orderkey AS whole, CAST(o_orderkey AS DOUBLE) AS number,
+o_orderkey AS day, o_orderkey AS clock, o_orderkey || '.00' AS exact, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS single, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS twice, CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) AS money, 'above' AS beyond, CAST(epoch({day}) // 86400 AS INT) AS day_of, epoch_us(o_orderdate) AS zoned,
+CAST(o_orderkey AS INT) AS text_int, CASE WHEN o_orderkey < 0 THEN '' WHEN CAST(o_orderkey AS HUGEINT) * 100000000000000000 > 9223372036854775807 THEN 'above' ELSE CAST(CAST(o_orderkey AS HUGEINT) * 100000000000000000 AS VARCHAR) END AS text_long, o_totalprice AS text_number, CAST(CAST(CAST(o_totalprice AS DECIMAL(18, 3)) AS DECIMAL(15, 1)) AS VARCHAR) AS text_exact, CAST(epoch({day}) // 86400 AS INT) AS text_day, {clock} AS text_clock, epoch_us(o_orderdate) AS text_at,
+epoch_us(o_orderdate) - 7200000000 AS text_zoned, o_orderkey % 2 <> 0 AS text_flag, {hash_}[1:8] || '-' || {hash_}[9:12] || '-' || {hash_}[13:16] || '-' || {hash_}[17:20] || '-' || {hash_}[21:32] AS text_uuid, o_orderpriority AS text_same, false AS text_bytes, false AS wrong, 1 AS fixed FROM orders""",
+        "filter_rules": " UNION ALL ".join(f"SELECT '{name}' AS filter, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem WHERE {cond}" for name, _, cond in FILTERS),
+        "plan_files_table": f"SELECT count(DISTINCT {months}) AS n_tasks, 0 AS greatest_start, count(DISTINCT {months}) AS n_long, count(DISTINCT {months}) AS n_without_deletes, count(*) AS n_rows FROM lineitem",
+        "text_forms": "SELECT * FROM (VALUES ('identity', 'identity'), ('void', 'void'), ('year', 'year'), ('month', 'month'), ('day', 'day'), ('hour', 'hour'), ('bucket[16]', 'bucket[16]'), ('truncate[9]', 'truncate[9]'), ('bucket[]', 'error'), ('truncate[-1]', 'error'), ('week', 'error'), ('', 'error'), ('spec', 'truncate[19]'), ('order', 'nulls-last'), ('order without direction', 'error'), ('order of bad nulls', 'error'), ('order id', '2'), ('unsorted', '0')) v(\"case\", result)",
+        "file_systems": f"SELECT DISTINCT CAST({months} AS INT) AS month, true AS same_size, true AS marked FROM lineitem",
+        "catalog_local": work,
+        "catalog_rest": work,
+        "command_line": """SELECT * FROM (VALUES ('list', 0, 'world'), ('tables', 0, 'world.nation'), ('uuid', 0, '36'), ('location', 0, 'nation'), ('spec', 0, 'True'), ('describe', 0, 'True'), ('history', 0, '1'), ('set', 0, 'updated owner on world.nation'), ('get', 0, 'me'), ('remove', 0, 'removed owner on world.nation'), ('get again', 1, ''), ('rename', 0, 'renamed world.nation to world.land'), ('missing', 1, ''), ('drop', 0, 'dropped world.land'), ('drop namespace', 0, 'dropped world'), ('empty', 0, '')) v(command, code, printed)
+UNION ALL SELECT 'schema', 0, CAST(count(*) AS VARCHAR) FROM (DESCRIBE nation) UNION ALL SELECT 'files', 0, CAST(count(DISTINCT n_regionkey) AS VARCHAR) FROM nation""",
+    }

@@ -251,7 +251,9 @@ class TableScan:
         return df.select(*[_shaped(f, next(x for x in self.schema.fields if x.id == f.id)) for f in wanted.fields]) if names else df.select()
 
     def _read(self, fmt: str, paths: list[str], schema: TableSchema, rows: bool = False) -> DataFrame:
-        return read_files(self.table.spark, fmt, paths, schema, self.table.metadata.properties, self.table.props, rows)
+        # a name that was another field's in any version may be so in a file
+        reused = any(s.id_of.get(name, i) != i for s in self.table.metadata.schemas for i, name in schema.name_of.items())
+        return read_files(self.table.spark, fmt, paths, schema, self.table.metadata.properties, self.table.props, rows, not reused)
 
     def _positions(self, files: list[tuple[str, str]]) -> DataFrame:
         """``_p, _at, _d`` of position-delete files (format, path): the data file named, the place in it, and the delete file."""

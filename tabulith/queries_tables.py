@@ -61,6 +61,9 @@ def _build(spark: SparkSession, d: str, name: str) -> TableWriter:
         nested = df.selectExpr("c_custkey", "named_struct('name', c_name, 'home', named_struct('nation', c_nationkey, 'segment', c_mktsegment)) AS who", "c_acctbal")
         w = TableWriter.create(spark, place, nested.schema)
         w.append(nested, files=4)
+    elif name == "customer@nan":
+        w = TableWriter.create(spark, place, df.schema)
+        w.append(df.withColumn("c_acctbal", F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal")).otherwise(F.lit(float("nan")))), files=4)
     elif base == "orders":
         w = TableWriter.create(spark, place, df.schema, [("o_orderdate", "year"), ("o_orderkey", "bucket[4]")])
         w.append(df)
@@ -72,7 +75,7 @@ def _build(spark: SparkSession, d: str, name: str) -> TableWriter:
 
 
 def _table(spark: SparkSession, w: TableWriter) -> SnapshotTable:
-    return SnapshotTable(spark, ("test", "table"), w.metadata, w.metadata_location)
+    return SnapshotTable.load(spark, ("test", "table"), w.metadata_location)
 
 
 def table(spark: SparkSession, d: str, name: str) -> SnapshotTable:
@@ -116,26 +119,15 @@ def transform_truncate_signed(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("whole", "dec").agg(F.count("*").alias("n"))
 
 
-def _places(spark: SparkSession, d: str, expr: e.Expression | None) -> DataFrame:
-    """Places of orders within their status in the declared order: year of the date descending with NULLs last, then status, then key."""
+def sort_order_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places of all orders within their status in the declared order: year of the date descending with NULLs last, then status, then key."""
     tb = table(spark, d, "orders")
     s = tb.metadata.schema()
     order = SortOrder(1, (SortField(s.id_of["o_orderdate"], Transform("year"), "desc"), SortField(s.id_of["o_orderstatus"], Transform("identity"), "asc"), SortField(s.id_of["o_orderkey"], Transform("identity"), "asc")))
-    columns = ["o_orderkey", "o_orderdate", "o_orderstatus"]
-    df = (tb.scan(columns, expr) if expr else tb.scan(columns)).to_df()
+    df = tb.scan(["o_orderkey", "o_orderdate", "o_orderstatus"]).to_df()
     return places(df, "o_orderstatus", order.columns(s)).select("o_orderkey", "o_orderstatus", "place")
 
 
-def sort_order_apply(spark: SparkSession, d: str) -> DataFrame:
-    """Places of the orders of the first ids, as in its SQL; ``sort_order_places`` gives those of all orders."""
-    return _places(spark, d, e.less("o_orderkey", 2000))
-
-
-def sort_order_places(spark: SparkSession, d: str) -> DataFrame:
-    """Places of all orders."""
-    return _places(spark, d, None)
-
-
 def pruning_soundness(spark: SparkSession, d: str) -> DataFrame:
     """With and without skipping, side by side: a row that one of them lacks would show."""
     expr = e.And(e.at_least("l_shipdate", "1997-03-15T00:00:00.000000"), e.And(e.less("l_shipdate", "1997-06-10T00:00:00.000000"), e.greater("l_quantity", 45)))
@@ -273,7 +265,7 @@ AND_OR_NOT = e.Or(e.Not(e.Or(e.less("l_quantity", 40), e.equal("l_returnflag", "
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        scan_project, scan_project_case_insensitive, prune_by_id, transform_truncate_signed, sort_order_apply, sort_order_places, pruning_soundness, pruning_files, file_stats, manifests_table, files_table, all_files_table,
+        scan_project, scan_project_case_insensitive, prune_by_id, transform_truncate_signed, sort_order_places, pruning_soundness, pruning_files, file_stats, manifests_table, files_table, all_files_table,
         snapshots_table, refs_table, history_table, schemas_table, time_travel_id, time_travel_tag, time_travel_timestamp, schema_evolution, position_deletes, equality_deletes, incremental_append,
         scan_nested, scan_limit, min_sequence_number, manifest_pruning, delete_plan, metadata_log_table,
     )
@@ -294,6 +286,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filter_range": _lines(e.And(e.greater("l_quantity", 10), e.at_most("l_quantity", 12.0))),
         "filter_starts_with": _lines(e.starts_with("p_name", "p"), ("p_partkey", "p_name"), "part"),
         "filter_not_starts_with": _lines(e.Not(e.starts_with("p_brand", "Brand#1")), ("p_partkey", "p_brand"), "part"),
+        "sort_order_apply": sort_order_places,
+        "filter_is_nan": _lines(e.And(e.is_nan("c_acctbal"), e.greater("c_acctbal", 1e300)), ("c_custkey", "c_name"), "customer@nan"),
+        "filter_not_nan_of_some": _lines(e.not_nan("c_acctbal"), ("c_custkey", "c_acctbal"), "customer@nan"),
         "filter_not_nan": _lines(e.not_nan("c_acctbal"), ("c_custkey", "c_acctbal"), "customer"),
         "transform_identity": transform_counts("lineitem", "l_returnflag", Transform("identity"), t.STRING),
         "transform_void": transform_counts("lineitem", "l_returnflag", Transform("void"), t.STRING),

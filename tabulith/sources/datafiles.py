@@ -25,6 +25,7 @@ FORMATS = ("parquet", "orc", "avro")
 NAME_MAPPING = "schema.name-mapping.default"
 LAYOUT_TASKS = 2_000
 AVRO_ROWS = 5_000
+WALL = "wall"  # a time without zone, which Spark's ORC reader gives as one of the JVM's zone
 # Arrow's widths of types that may have been promoted since the file was written.
 NARROW = {pa.int8(): "int", pa.int16(): "int", pa.int32(): "int", pa.int64(): "long", pa.float32(): "float", pa.float64(): "double"}
 
@@ -53,7 +54,10 @@ def _node(f: pa.Field) -> list:
         return [f.name, _id(f.metadata), "map", [["key", *_node(k.key_field)[1:]], ["value", *_node(k.item_field)[1:]]]]
     if pa.types.is_list(k) or pa.types.is_large_list(k):
         return [f.name, _id(f.metadata), "list", [["element", *_node(k.value_field)[1:]]]]
-    return [f.name, _id(f.metadata), f"decimal({k.precision},{k.scale})" if pa.types.is_decimal(k) else NARROW.get(k, ""), []]
+    if pa.types.is_decimal(k):
+        return [f.name, _id(f.metadata), f"decimal({k.precision},{k.scale})", []]
+    wall = pa.types.is_timestamp(k) and k.tz is None and (f.metadata or {}).get(b"spark.sql.catalyst.type") != b"timestamp_ntz"
+    return [f.name, _id(f.metadata), WALL if wall else NARROW.get(k, ""), []]
 
 
 def _layout(fmt: str, path: str, props: dict[str, str] | None) -> list:
@@ -90,42 +94,60 @@ def _layouts(spark: SparkSession, fmt: str, paths: list[str], props: dict[str, s
     return out
 
 
-def _physical(nodes: list, fields: tuple[t.Field, ...]) -> list[T.StructField]:
+def _physical(nodes: list, fields: tuple[t.Field, ...], orc: bool) -> list[T.StructField]:
     """What to ask the file for, under its own names: the parts of ``fields`` that it has."""
     by = {n[1]: n for n in nodes if n[1] is not None}
-    return [T.StructField(by[f.id][0], _physical_type(by[f.id], f.type)) for f in fields if f.id in by]
+    return [T.StructField(by[f.id][0], _physical_type(by[f.id], f.type, orc)) for f in fields if f.id in by]
 
 
-def _physical_type(node: list, want: t.Type) -> T.DataType:
+def _physical_type(node: list, want: t.Type, orc: bool) -> T.DataType:
     kids = {n[0]: n for n in node[3]}
     if isinstance(want, t.Struct):
-        return T.StructType(_physical(node[3], want.fields))
+        return T.StructType(_physical(node[3], want.fields, orc))
     if isinstance(want, t.List):
-        return T.ArrayType(_physical_type(kids["element"], want.element))
+        return T.ArrayType(_physical_type(kids["element"], want.element, orc))
     if isinstance(want, t.Map):
-        return T.MapType(_physical_type(kids["key"], want.key), _physical_type(kids["value"], want.value))
+        return T.MapType(_physical_type(kids["key"], want.key, orc), _physical_type(kids["value"], want.value, orc))
+    if orc and want == t.TIMESTAMP and node[2] == WALL:
+        return T.TimestampType()
     narrow = want.name in ("int", "long", "float", "double") if isinstance(want, t.Primitive) else isinstance(want, t.Decimal)
     return t.to_spark(t.type_from_json(node[2])) if narrow and node[2] else t.to_spark(want, False)
 
 
-def _shaped(c: Column, node: list, want: t.Type) -> Column:
-    """A column of the file's form in the table's: parts found by id, missing ones NULL, promoted types cast."""
+def _shaped(c: Column, node: list, want: t.Type, zone: str | None) -> Column:
+    """A column of the file's form in the table's: parts found by id, missing ones NULL, promoted types cast. ``zone`` (for ORC) is the JVM's."""
     kids = {n[0]: n for n in node[3]}
     if isinstance(want, t.Struct):
         by = {n[1]: n for n in node[3] if n[1] is not None}
-        parts = [(_shaped(c.getField(by[f.id][0]), by[f.id], f.type) if f.id in by else F.lit(None).cast(t.to_spark(f.type, False))).alias(f.name) for f in want.fields]
+        parts = [(_shaped(c.getField(by[f.id][0]), by[f.id], f.type, zone) if f.id in by else F.lit(None).cast(t.to_spark(f.type, False))).alias(f.name) for f in want.fields]
         return F.when(c.isNotNull(), F.struct(*parts)) if parts else c
     if isinstance(want, t.List):
-        return F.transform(c, lambda x: _shaped(x, kids["element"], want.element))
+        return F.transform(c, lambda x: _shaped(x, kids["element"], want.element, zone))
     if isinstance(want, t.Map):
-        return F.transform_values(c, lambda k, v: _shaped(v, kids["value"], want.value))
+        return F.transform_values(c, lambda k, v: _shaped(v, kids["value"], want.value, zone))
+    if zone and want == t.TIMESTAMP and node[2] == WALL:
+        return F.convert_timezone(F.current_timezone(), F.lit(zone), c.cast("timestamp_ntz"))
     return c.cast(t.to_spark(want, False))
 
 
-def read_files(spark: SparkSession, fmt: str, paths: list[str], schema: TableSchema, properties: dict[str, str], props: dict[str, str] | None = None, rows: bool = False) -> DataFrame:
+def _parquet_by_id(spark: SparkSession, paths: list[str], schema: TableSchema, pushdown: bool) -> DataFrame:
+    """Spark finds the columns by id, whatever they were called when the file was written. That takes a setting of the session that a scan was made in, and
+    reader options don't reach it, so the scan is made in a copy of the session; what is built on it belongs to the user's session, whose settings stay.
+    Spark looks for the columns of pushed filters by name, though: without ``pushdown`` none are."""
+    copy = spark._jsparkSession.cloneSession()
+    copy.conf().set("spark.sql.parquet.fieldId.read.enabled", "true")
+    if not pushdown:
+        copy.conf().set("spark.sql.parquet.filterPushdown", "false")
+    reader = copy.read().schema(copy.parseDataType(schema.to_spark().json())).format("parquet")
+    scan = reader.load(spark._jvm.PythonUtils.toSeq([spark_path(p) for p in paths]))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, scan.logicalPlan()), spark)
+
+
+def read_files(spark: SparkSession, fmt: str, paths: list[str], schema: TableSchema, properties: dict[str, str], props: dict[str, str] | None = None, rows: bool = False, pushdown: bool = True) -> DataFrame:
     """The rows of the files with the columns of ``schema``; ``rows`` adds ``_tab_path`` and ``_tab_pos``, the file and the row's place in it (NULL for ORC,
     which has none). ``properties`` are the table's, ``props`` those of the file system. Columns that a file lacks are NULL. Files without ids
-    need the table's name mapping; without one they raise ``UnresolvedColumns``, for going by current names would give wrong columns silently."""
+    need the table's name mapping; without one they raise ``UnresolvedColumns``, for going by current names would give wrong columns silently. ``pushdown`` must be off if a file may have another field under
+    the name of one of these columns."""
     if fmt not in FORMATS:
         raise ValueError(f"no reader for {fmt} data files")
     mapping = json.loads(properties[NAME_MAPPING]) if NAME_MAPPING in properties else None
@@ -138,13 +160,12 @@ def read_files(spark: SparkSession, fmt: str, paths: list[str], schema: TableSch
         return [F.col("_metadata.file_path").alias("_tab_path"), (F.col("_metadata.row_index") if fmt == "parquet" else F.lit(None).cast("long")).alias("_tab_pos")]
 
     def by_id(some: list[str]) -> DataFrame:
-        # Spark finds the columns by id, whatever they were called when the file was written; the option holds for this reader alone
-        df = spark.read.schema(schema.to_spark()).option("spark.sql.parquet.fieldId.read.enabled", "true").format("parquet").load([spark_path(p) for p in some])
+        df = _parquet_by_id(spark, some, schema, pushdown)
         return df.select("*", *place(df)) if rows else df
 
     if fmt == "parquet" and mapping is None:
         return by_id(paths)
-    out = None
+    out, zone = None, spark._jvm.java.util.TimeZone.getDefault().getID() if fmt == "orc" else None
     for text, some in sorted(_layouts(spark, fmt, paths, props).items()):
         nodes = json.loads(text)
         if _has_ids(nodes):
@@ -157,8 +178,8 @@ def read_files(spark: SparkSession, fmt: str, paths: list[str], schema: TableSch
         else:
             nodes = _mapped(nodes, mapping)
         by = {n[1]: n for n in nodes if n[1] is not None}
-        df = spark.read.schema(T.StructType(_physical(nodes, schema.fields))).format(fmt).load([spark_path(p) for p in some])
-        cols = [(_shaped(F.col("`" + by[f.id][0].replace("`", "``") + "`"), by[f.id], f.type) if f.id in by else F.lit(None).cast(t.to_spark(f.type, False))).alias(f.name) for f in schema.fields]
+        df = spark.read.schema(T.StructType(_physical(nodes, schema.fields, fmt == "orc"))).format(fmt).load([spark_path(p) for p in some])
+        cols = [(_shaped(F.col("`" + by[f.id][0].replace("`", "``") + "`"), by[f.id], f.type, zone) if f.id in by else F.lit(None).cast(t.to_spark(f.type, False))).alias(f.name) for f in schema.fields]
         part = df.select(*cols, *place(df))
         out = part if out is None else out.unionByName(part)
     return out
@@ -228,7 +249,7 @@ def _read_avro(spark: SparkSession, paths: list[str], schema: TableSchema, mappi
     full = T.StructType([T.StructField(f.name, f.dataType) for f in shape] + [T.StructField("_tab_path", T.StringType()), T.StructField("_tab_pos", T.LongType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = to_arrow_schema(full, timezone="UTC")
+        target = to_arrow_schema(full)
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, p = filesystem(path, props)

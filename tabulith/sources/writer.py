@@ -145,7 +145,9 @@ def leaf_columns(schema: TableSchema) -> dict[str, tuple[int, t.Type]]:
 
 def with_ids(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The rows in the order and types of ``schema``, whose field ids go into the files."""
-    return df.to(schema)
+    df, spark = df.to(schema), df.sparkSession
+    # a projection that only changes metadata is removed by the optimizer, so the schema is set on the rows, which stay in Spark's own form
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), spark._jsparkSession.parseDataType(schema.json()), False), spark)
 
 
 class TableWriter:
@@ -196,6 +198,11 @@ class TableWriter:
         entries = self._entries(folder, 0, leaf_columns(schema))
         return self._commit(snap, entries, 0, "append", tag, per_manifest)
 
+    def add_files(self, files: list[dict], tag: str | None = None) -> int:
+        """Add data files that were written elsewhere, by their entries (``content, file_path, file_format, partition, record_count,
+        file_size_in_bytes`` and whatever statistics are known)."""
+        return self._commit(self._new_id(), files, 0, "append", tag)
+
     def delete_positions(self, rows: DataFrame, tag: str | None = None) -> int:
         """Delete rows by (file_path, pos)."""
         snap = self._new_id()
@@ -216,9 +223,13 @@ class TableWriter:
         entries = self._entries(folder, 2, leaf_columns(part), [f.id for f in part.fields], partitioned=False)
         return self._commit(snap, entries, 1, "delete", tag)
 
+    def publish_manifests(self, rows: list[dict], summary: dict[str, str], snap: int | None = None) -> int:
+        """A snapshot with this list of manifests and the same rows of data."""
+        return self._list(snap or self._new_id(), rows, "replace", summary)
+
     def replace_manifests(self, joined: dict[str, str], sizes: dict[str, int]) -> int:
         """A snapshot in whose list the old manifests' rows are those of the new ones they were joined into."""
-        meta, snap = self.metadata, self._new_id()
+        meta = self.metadata
         out: list[dict] = []
         new: dict[str, dict] = {}
         for r in avro_ocf.read(read_bytes(meta.current_snapshot.manifest_list))[1]:
@@ -229,11 +240,8 @@ class TableWriter:
                 new[path] = r | {"manifest_path": path, "manifest_length": sizes[path]}
                 out.append(new[path])
             else:
-                kinds = [f.type for f in next(s for s in meta.specs if s.spec_id == r["partition_spec_id"]).partition_type(meta.schema()).fields]
-                counts = {k: None if new[path][k] is None or r[k] is None else new[path][k] + r[k] for k in r if k.endswith("_count")}
-                low = [None if a["min_sequence_number"] is None else a["min_sequence_number"] for a in (new[path], r)]
-                new[path] |= counts | {"min_sequence_number": None if None in low else min(low), "partitions": _combined(new[path]["partitions"], r["partitions"], kinds)}
-        return self._list(snap, out, "replace", {"manifests-replaced": str(len(joined)), "manifests-created": str(len(sizes))})
+                new[path] |= combined_rows(new[path], r, meta)
+        return self.publish_manifests(out, {"manifests-replaced": str(len(joined)), "manifests-created": str(len(sizes))})
 
     def evolve(self, schema: TableSchema) -> None:
         """Make a new schema current; files of older ones stay and are read by field id."""
@@ -310,6 +318,14 @@ def _summary(files: list[dict], name: str, kind: t.Type) -> dict:
     return {"contains_null": len(there) < len(values), "contains_nan": False, "lower_bound": to_bytes(there[0], kind) if there else None, "upper_bound": to_bytes(there[-1], kind) if there else None}
 
 
+def combined_rows(a: dict, b: dict, meta: TableMetadata) -> dict:
+    """Counts, least sequence number and partition summaries of the rows of two manifests of one spec, as one row has them."""
+    kinds = [f.type for f in next(s for s in meta.specs if s.spec_id == a["partition_spec_id"]).partition_type(meta.schema()).fields]
+    counts = {k: None if a[k] is None or b[k] is None else a[k] + b[k] for k in a if k.endswith("_count")}
+    low = [x["min_sequence_number"] for x in (a, b)]
+    return counts | {"min_sequence_number": None if None in low else min(low), "partitions": _combined(a["partitions"], b["partitions"], kinds)}
+
+
 def _combined(a: list[dict] | None, b: list[dict] | None, kinds: list[t.Type]) -> list[dict] | None:
     """Partition summaries of two manifests as one's; what one of them doesn't know isn't known."""
     if a is None or b is None or not len(a) == len(b) == len(kinds):

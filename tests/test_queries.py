@@ -6,11 +6,11 @@ import os
 
 import pytest
 
-from tabulith import oracle, queries, queries_tables
+from tabulith import oracle, queries, queries_metadata, queries_tables
 from tests.compare import compare
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ALL = queries.queries() | queries_tables.queries()
+ALL = queries.queries() | queries_tables.queries() | queries_metadata.queries()
 SQL = oracle.sql()
 
 

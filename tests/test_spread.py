@@ -137,3 +137,66 @@ def test_unknown_partition_values_keep_files(spark, tmp_path):
         write_bytes(row["manifest_path"], avro_ocf.write(schema, entries, {"format-version": "2", "partition-spec": spec}))
         scan = tb.scan(row_filter=e.equal("id", 2))
         assert scan.plan_files().count() == kept and [r.id for r in scan.to_df().collect()] == [2]
+
+
+def test_names_that_were_other_fields(spark, tmp_path):
+    """Two columns swap their names: filters go by id, also those that Spark would push to the files by name."""
+    from tabulith import types as t
+    from tabulith.plans import expressions as e
+    from tabulith.schema import TableSchema
+
+    df = spark.range(100).selectExpr("id AS a", "id + 1000 AS b")
+    w = TableWriter.create(spark, f"file://{tmp_path}/t", df.schema)
+    w.append(df)
+    a, b = w.metadata.schema().fields
+    w.evolve(TableSchema((t.Field(a.id, "b", a.type), t.Field(b.id, "a", b.type))))
+    w.append(spark.range(5).selectExpr("id + 5000 AS b", "id + 7000 AS a"))
+    tb = SnapshotTable.load(spark, ("t",), w.metadata_location)
+    for skipping in (True, False):
+        assert tb.scan(row_filter=e.at_least("a", 1000), skipping=skipping).to_df().count() == 105 and tb.scan(row_filter=e.less("b", 50), skipping=skipping).to_df().count() == 50
+    assert spark.conf.get("spark.sql.parquet.fieldId.read.enabled") == "false"
+    tb.scan().to_df().createOrReplaceTempView("swapped")
+    assert spark.sql("SELECT count(*) AS n FROM swapped WHERE a >= 7000").first().n == 5
+
+
+def test_formats(spark, tmp_path):
+    """The same nested rows from Parquet, ORC and Avro files under other names, found by ids or by a mapping; deletes by place reach Avro files."""
+    import pyarrow as pa
+    from pyarrow import orc
+
+    from tabulith import types as t
+    from tabulith.schema import TableSchema
+    from tabulith.sources.datafiles import NAME_MAPPING, UnresolvedColumns
+
+    schema = TableSchema((t.Field(1, "k", t.LONG), t.Field(2, "s", t.Struct((t.Field(3, "x", t.INT), t.Field(4, "y", t.Decimal(9, 2))))), t.Field(5, "l", t.List(6, t.Struct((t.Field(7, "z", t.STRING),)))), t.Field(8, "m", t.Map(9, t.STRING, 10, t.DOUBLE)), t.Field(11, "d", t.DATE), t.Field(12, "u", t.UUID), t.Field(13, "at", t.TIMESTAMP), t.Field(14, "new", t.STRING)))
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    key = lambda i: {"some.id": str(i)}
+    f = lambda n, k, i: pa.field(n, k, metadata=key(i))
+    shape = pa.schema([f("k0", pa.int32(), 1), f("s0", pa.struct([f("y0", pa.decimal128(9, 2), 4), f("x0", pa.int32(), 3)]), 2), f("l0", pa.list_(f("element", pa.struct([f("z0", pa.string(), 7)]), 6)), 5), f("d0", pa.date32(), 11), f("at0", pa.timestamp("us"), 13)])
+    rows = [{"k0": i, "s0": {"y0": Decimal(i), "x0": -i}, "l0": [{"z0": str(i)}, None], "d0": date(2024, 1, 2), "at0": datetime(2024, 1, 2, 3, 4, 5, 6)} for i in range(4)] + [{"k0": None}]
+    orc.write_table(pa.Table.from_pylist(rows, schema=shape), f"{tmp_path}/a.orc")
+    orc.write_table(pa.Table.from_pylist(rows, schema=pa.schema([x.remove_metadata() for x in shape.remove_metadata()])).select(["k0", "d0"]), f"{tmp_path}/b.orc")
+    rec = lambda name, *fields: {"type": "record", "name": name, "fields": list(fields)}
+    av = lambda n, k, i: {"name": n, "type": ["null", k], "field-id": i}
+    s = rec("r", av("k9", "long", 1), av("s9", rec("s", av("x9", "int", 3), av("y9", {"type": "bytes", "logicalType": "decimal", "precision": 9, "scale": 2}, 4)), 2), av("l9", {"type": "array", "items": ["null", rec("e", av("z9", "string", 7))], "element-id": 6}, 5), av("m9", {"type": "map", "values": "double", "key-id": 9, "value-id": 10}, 8), av("u9", {"type": "fixed", "name": "u", "size": 16, "logicalType": "uuid"}, 12), av("at9", {"type": "long", "logicalType": "timestamp-millis"}, 13))
+    data = [{"k9": 10 + i, "s9": {"x9": i, "y9": bytes([i])}, "l9": [{"z9": "q"}, None], "m9": {"a": 1.5}, "u9": b"\1" * 16, "at9": 5} for i in range(3)]
+    write_bytes(f"{tmp_path}/c.avro", avro_ocf.write(s, data, per_block=2))
+    w = TableWriter.create(spark, f"file://{tmp_path}/t", schema)
+    entry = lambda path, kind, n: {"content": 0, "file_path": f"file://{tmp_path}/{path}", "file_format": kind, "partition": {}, "record_count": n, "file_size_in_bytes": 1}
+    w.add_files([entry("a.orc", "ORC", 5), entry("c.avro", "AVRO", 3)])
+    load = lambda: SnapshotTable.load(spark, ("t",), w.metadata_location)
+    got = {r.k: r for r in load().scan().to_df().collect()}
+    assert set(got) == {0, 1, 2, 3, None, 10, 11, 12} and load().scan().to_df().columns == [x.name for x in schema.fields]
+    assert (got[2].s.x, got[2].s.y, got[2].l, got[2].d, got[2].at, got[2].new, got[2].m) == (-2, Decimal(2), [("2",), None], date(2024, 1, 2), datetime(2024, 1, 2, 3, 4, 5, 6), None, None) and got[None].s is None
+    assert (got[11].s.x, got[11].s.y, got[11].l, got[11].m, got[11].u, got[11].at) == (1, Decimal("0.01"), [("q",), None], {"a": 1.5}, "01010101-0101-0101-0101-010101010101", datetime(1970, 1, 1, 0, 0, 0, 5000))
+    w.delete_positions(spark.createDataFrame([(f"file:{tmp_path}/c.avro", 2), (f"file:{tmp_path}/c.avro", 0)], "file_path string, pos long"))
+    assert sorted(r.k for r in load().scan(["k"]).to_df().collect() if r.k is not None) == [0, 1, 2, 3, 11]
+    w.add_files([entry("b.orc", "ORC", 5)])
+    with pytest.raises(UnresolvedColumns):
+        load().scan(["k"]).to_df()
+    from dataclasses import replace
+
+    mapped = replace(load(), metadata=replace(load().metadata, properties={NAME_MAPPING: json.dumps([{"field-id": 1, "names": ["k", "k0"]}, {"field-id": 11, "names": ["d0"]}])}))
+    assert sorted(r.k for r in mapped.scan(["k", "d", "new"]).to_df().collect() if r.k is not None) == [0, 0, 1, 1, 2, 2, 3, 3, 11]
