@@ -52,3 +52,16 @@ def places(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
     within = ranged.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
     out = within.join(offsets, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
     return out.withColumn("place", (F.col("_k") + F.col("_before"))).drop("_g", "_r", "_range", "_k", "_before", "_n")
+
+
+def dyadic_blocks(lo: str, hi: str) -> Column:
+    """The range of whole numbers from ``lo`` to ``hi`` (SQL, not negative) as an array of disjoint blocks ``l, i``, at most two per level: a block holds the numbers
+    n with n >> l = i. What is in the range is in exactly one of them, so a range join becomes an equi-join."""
+    # blocks of level l: an odd low end or an even high end can't be part of a block of the level above
+    none = "cast(array() as array<struct<l:int,i:bigint>>)"
+    return F.expr(
+        f"aggregate(sequence(0, 62), named_struct('lo', cast({lo} as bigint), 'hi', cast({hi} as bigint), 'out', {none}), (z, l) -> CASE WHEN z.lo > z.hi THEN z ELSE named_struct("
+        "'lo', (z.lo + 1) div 2, 'hi', (z.hi + 1) div 2 - 1, 'out', concat(z.out,"
+        f" CASE WHEN z.lo % 2 = 1 THEN array(named_struct('l', l, 'i', z.lo)) ELSE {none} END,"
+        f" CASE WHEN z.hi % 2 = 0 AND NOT (z.lo = z.hi AND z.lo % 2 = 1) THEN array(named_struct('l', l, 'i', z.hi)) ELSE {none} END)) END, z -> z.out)"
+    )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulith.operators.common import comparable
+from tabulith.operators.common import comparable, dyadic_blocks
 from tabulith.session import materialize
 
 LIVE, RAKED, COMPRESSED, DONE, CREDIT = range(5)
@@ -317,40 +317,43 @@ def with_paths(tree: DataFrame, id: str, parent: str, block: int = 32) -> DataFr
     return out.withColumn("path_tail", F.when(F.col("tail").isNotNull(), tail)).withColumn("path_next", F.when(F.col("tail").isNotNull(), nxt)).drop("v", "anc", "tail")
 
 
+def _lines(intervals: DataFrame, id: str, ancestors: DataFrame | None = None, descendants: DataFrame | None = None) -> DataFrame:  # noqa: A002
+    """All pairs ``ancestor, descendant, distance`` whose one end is in the ids given, from written intervals in preorder.
+
+    An ancestor's interval is cut into dyadic blocks and a descendant looks up the one block of each level that it lies in: an equi-join that gives each pair once and
+    no others, whatever the depth.
+    """
+    some = lambda d, ids: d if ids is None else d.join(ids.select(F.col(id).alias("_i")).where("_i IS NOT NULL").distinct(), F.col(id) == F.col("_i"), "left_semi")
+    a = some(intervals.where("last > first"), ancestors).select(F.col(id).alias("ancestor"), "top", F.col("hops").alias("_h"), F.explode(dyadic_blocks("first + 1", "last")).alias("_b"))
+    a = materialize(a.select("ancestor", F.col("top").alias("_t"), "_h", "_b.l", "_b.i"), "blocks")
+    used = sorted(r.l for r in a.select("l").distinct().collect())  # 63 numbers at most
+    levels = F.array(*[F.lit(x) for x in used]) if used else F.expr("cast(array() as array<int>)")
+    d = some(intervals.where("first > 0"), descendants).select(F.col(id).alias("descendant"), "top", "hops", F.col("first").alias("_f"), F.explode(levels).alias("_l")).withColumn("_at", F.expr("shiftright(_f, _l)"))
+    return d.join(a, (F.col("top") == F.col("_t")) & (F.col("_l") == F.col("l")) & (F.col("_at") == F.col("i"))).select("ancestor", "descendant", (F.col("hops") - F.col("_h")).cast("int").alias("distance"))
+
+
 def expand_paths(paths: DataFrame, ids: DataFrame, id: str) -> DataFrame:  # noqa: A002
-    """Whole paths (``id``, ``path`` from the root down) of the nodes in ``ids``, block by block: depth/block joins."""
-    rows = ids.select(F.col(id)).where(F.col(id).isNotNull()).distinct().join(paths.select(id, "path_tail", "path_next"), id).where("path_tail IS NOT NULL")
-    done = None
-    cur = rows.select(id, F.col("path_tail").alias("path"), F.col("path_next").alias("nxt"))
-    link = paths.select(F.col(id).alias("_i"), F.col("path_tail").alias("_t"), F.col("path_next").alias("_n"))
-    while True:
-        cur = materialize(cur, "paths")
-        part = cur.where("nxt IS NULL").select(id, "path")
-        done = part if done is None else done.unionByName(part)
-        more = cur.where("nxt IS NOT NULL")
-        if more.isEmpty():
-            return done
-        cur = more.join(link, F.col("nxt") == F.col("_i")).select(id, F.concat("_t", "path").alias("path"), F.col("_n").alias("nxt"))
+    """Whole paths (``id``, ``path`` from the root down) of the nodes in ``ids`` that have one. The number of jobs goes with the logarithm of the depth."""
+    up = F.when(F.size("path_tail") > 1, F.try_element_at("path_tail", F.size("path_tail") - 1)).otherwise(F.col("path_next"))
+    some = paths.where("path_tail IS NOT NULL")
+    iv = materialize(with_intervals(some.select(id, up.alias("_up"), "on_circle", "n_descendants"), id, "_up").select(id, "top", "first", "last", "hops"), "intervals")
+    want = ids.select(F.col(id).alias("_w")).where("_w IS NOT NULL").distinct()
+    own = iv.join(want, F.col(id) == F.col("_w"), "left_semi").select(F.col(id).alias("descendant"), F.col(id).alias("ancestor"), F.lit(0).alias("distance"))
+    lines = _lines(iv, id, descendants=ids).unionByName(own)
+    far = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("ancestor").alias("a"))))
+    return lines.groupBy(F.col("descendant").alias(id)).agg(far.alias("_p")).select(id, F.col("_p.a").alias("path"))
 
 
 def expand_descendants(tree: DataFrame, ids: DataFrame, id: str, parent: str) -> DataFrame:  # noqa: A002
-    """All pairs (``ancestor``, ``descendant``, ``distance``) below the nodes in ``ids``; one join per level below them.
+    """All pairs (``ancestor``, ``descendant``, ``distance``) below the nodes in ``ids``. The number of jobs goes with the logarithm of the depth.
     Nodes on a circle have no defined descendants and give no pair."""
-    start = ids.select(F.col(id)).where(F.col(id).isNotNull()).distinct().join(tree.where("NOT on_circle").select(id), id)
-    link = tree.where(F.col(parent).isNotNull()).select(F.col(id).alias("_c"), F.col(parent).alias("_p"))
-    cur = start.select(F.col(id).alias("ancestor"), F.col(id).alias("at"))
-    done, far = None, 0
-    while True:
-        far += 1
-        cur = materialize(cur.join(link, F.col("at") == F.col("_p")).select("ancestor", F.col("_c").alias("at")), "below")
-        if cur.isEmpty():
-            return done if done is not None else cur.select("ancestor", F.col("at").alias("descendant"), F.lit(far).alias("distance"))
-        part = cur.select("ancestor", F.col("at").alias("descendant"), F.lit(far).alias("distance"))
-        done = part if done is None else done.unionByName(part)
+    iv = materialize(with_intervals(tree, id, parent).where("top IS NOT NULL").select(id, "top", "first", "last", "hops"), "intervals")
+    return _lines(iv, id, ancestors=ids)
 
 
 def with_intervals(tree: DataFrame, id: str, parent: str) -> DataFrame:  # noqa: A002
-    """Add ``top``, ``first`` and ``last``: u is below v just if both have the same ``top`` and v.first < u.first <= v.last.
+    """Add ``top``, ``first``, ``last`` and ``hops``: u is below v just if both have the same ``top`` and v.first < u.first <= v.last; ``hops`` counts the links up to
+    ``top``.
 
     ``first`` is the place in preorder (siblings by id) below ``top``, the topmost ancestor; of nodes below a circle that is the one that hangs
     from it. Nodes on a circle have no defined descendants and get NULL. All descendants of all nodes take one row each. Not from the
@@ -365,13 +368,13 @@ def with_intervals(tree: DataFrame, id: str, parent: str) -> DataFrame:  # noqa:
     ranges = kids.groupBy("p", "r").agg(F.sum("w").alias("w")).select("p", "r", F.coalesce(ahead, F.lit(0)).alias("ahead"))
     within = F.sum("w").over(Window.partitionBy("p", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
     kids = kids.select("v", "p", "r", F.coalesce(within, F.lit(0)).alias("within")).join(ranges, ["p", "r"])
-    done = nodes.where("p IS NULL").select("v", F.col("v").alias("top"), F.lit(0).cast("long").alias("first"))
-    more = materialize(kids.select("v", F.col("p").alias("anc"), (F.col("within") + F.col("ahead") + 1).alias("first")), "places")
+    done = nodes.where("p IS NULL").select("v", F.col("v").alias("top"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("hops"))
+    more = materialize(kids.select("v", F.col("p").alias("anc"), (F.col("within") + F.col("ahead") + 1).alias("first"), F.lit(1).cast("long").alias("hops")), "places")
     while not more.isEmpty():
-        ends = done.select(F.col("v").alias("_v"), F.col("top"), F.lit(None).cast(more.schema["anc"].dataType).alias("_a"), F.col("first").alias("_f"))
-        on = more.select(F.col("v").alias("_v"), F.lit(None).cast(more.schema["v"].dataType).alias("top"), F.col("anc").alias("_a"), F.col("first").alias("_f"))
-        step = more.join(ends.unionByName(on), F.col("anc") == F.col("_v")).select("v", F.col("_a").alias("anc"), "top", (F.col("first") + F.col("_f")).alias("first"))
+        ends = done.select(F.col("v").alias("_v"), F.col("top"), F.lit(None).cast(more.schema["anc"].dataType).alias("_a"), F.col("first").alias("_f"), F.col("hops").alias("_h"))
+        on = more.select(F.col("v").alias("_v"), F.lit(None).cast(more.schema["v"].dataType).alias("top"), F.col("anc").alias("_a"), F.col("first").alias("_f"), F.col("hops").alias("_h"))
+        step = more.join(ends.unionByName(on), F.col("anc") == F.col("_v")).select("v", F.col("_a").alias("anc"), "top", (F.col("first") + F.col("_f")).alias("first"), (F.col("hops") + F.col("_h")).alias("hops"))
         step = materialize(step, "doubled")
-        done = done.unionByName(step.where("top IS NOT NULL").select("v", "top", "first"))
-        more = step.where("top IS NULL").select("v", "anc", "first")
+        done = done.unionByName(step.where("top IS NOT NULL").select("v", "top", "first", "hops"))
+        more = step.where("top IS NULL").select("v", "anc", "first", "hops")
     return tree.join(done, F.col(id) == F.col("v"), "left").withColumn("last", F.col("first") + F.col("n_descendants")).drop("v")

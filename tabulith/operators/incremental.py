@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulith.operators.common import digest
+from tabulith.operators.common import digest, dyadic_blocks
 from tabulith.session import broadcast_if_small, hadoop_fs, materialize, put_new
 
 FANOUT_BITS = 4
@@ -202,14 +202,7 @@ def covered(points: DataFrame, runs: DataFrame, group: str, at: str, since: str,
     """
     whole = runs.select(F.col(group).alias("_g"), F.col(start).alias("_a"), F.col(end).alias("_b"), F.col(started).alias("_s")).where("_a < _b AND _s IS NOT NULL AND _b >= 0")
     whole = whole.withColumn("_a", F.greatest("_a", F.lit(-1)))
-    # blocks of level l: an odd low end or an even high end can't be part of a block of the level above
-    step = F.expr(
-        "aggregate(sequence(0, 62), named_struct('lo', _a + 1, 'hi', _b, 'out', cast(array() as array<struct<l:int,i:bigint>>)), (z, l) -> CASE WHEN z.lo > z.hi THEN z ELSE named_struct("
-        "'lo', (z.lo + 1) div 2, 'hi', (z.hi + 1) div 2 - 1, 'out', concat(z.out,"
-        " CASE WHEN z.lo % 2 = 1 THEN array(named_struct('l', l, 'i', z.lo)) ELSE cast(array() as array<struct<l:int,i:bigint>>) END,"
-        " CASE WHEN z.hi % 2 = 0 AND NOT (z.lo = z.hi AND z.lo % 2 = 1) THEN array(named_struct('l', l, 'i', z.hi)) ELSE cast(array() as array<struct<l:int,i:bigint>>) END)) END, z -> z.out)"
-    )
-    blocks = whole.select("_g", "_s", F.explode(step).alias("b")).groupBy("_g", F.col("b.l").alias("_l"), F.col("b.i").alias("_i")).agg(F.max("_s").alias("_s"))
+    blocks = whole.select("_g", "_s", F.explode(dyadic_blocks("_a + 1", "_b")).alias("b")).groupBy("_g", F.col("b.l").alias("_l"), F.col("b.i").alias("_i")).agg(F.max("_s").alias("_s"))
     blocks = materialize(blocks, "blocks")
     used = [r._l for r in blocks.select("_l").distinct().collect()]  # 63 numbers at most
     p = points.withColumn("_pid", F.struct(group, at, since))

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +84,20 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def intermediate_tables() -> Iterator[None]:
+    """Remove the tables that were written within the block at its end: results must have been consumed, or written elsewhere, by then. Without it they
+    stay until Python ends."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[start:]:
+            fs, p = hadoop_fs(spark, path)
+            fs.delete(p, True)
+        del _written[start:]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = new_dir(df.sparkSession, name)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabulith.operators import hierarchy as h
 
@@ -143,3 +144,23 @@ def test_descendants_as_intervals(spark, n, chain, loops):
             above.add((u, v))
             u = parent[u]
     assert got == above and len(got) > 100
+
+
+def test_a_long_chain_expands_in_few_jobs(spark):
+    """The number of jobs doesn't go with the depth."""
+    from tabulith.session import intermediate_tables, materialize
+
+    n = 20_000
+    chain = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    sc = spark.sparkContext
+    with intermediate_tables():
+        tree = materialize(h.hierarchy(chain, "id", "parent", locality=["id"]), "tree")
+        some = spark.createDataFrame([(n - 1,), (5,), (777_777,), (None,)], "id long")
+        sc.setJobGroup("chain", "chain")
+        paths = materialize(h.with_paths(tree, "id", "parent"), "paths")
+        got = {r.id: r.path for r in h.expand_paths(paths, some, "id").collect()}
+        assert got == {5: list(range(6)), n - 1: list(range(n))}
+        below = h.expand_descendants(tree, some, "id", "parent")
+        assert sorted(r.distance for r in below.where("ancestor = 5").select("distance").collect()) == list(range(1, n - 5)) and below.count() == n - 6
+        assert len(sc.statusTracker().getJobIdsForGroup("chain")) < 300
+        sc.setJobGroup("", "")
