@@ -12,7 +12,7 @@ a leaf one each.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -156,6 +156,36 @@ def parse_record(text: str | None) -> object:
         return None
 
 
+def pruned(shape: dict, ancestor: tuple[str, ...], wanted: Iterable[str]) -> dict:
+    """The part of a shape that the table of ``ancestor`` needs: the way to it, and of what lies directly below it the ``wanted`` leaves (one at least, to carry
+    the levels)."""
+    if ancestor:
+        name, kind = ancestor[0], shape[ancestor[0]]
+        inner = pruned(kind[0] if isinstance(kind, list) else kind, ancestor[1:], wanted)
+        return {name: [inner] if isinstance(kind, list) else inner}
+    names = set(wanted)
+
+    def keep(part: dict, prefix: str) -> dict:
+        out = {}
+        for n, k in part.items():
+            if isinstance(k, dict):
+                if inner := keep(k, f"{prefix}{n}_"):
+                    out[n] = inner
+            elif k is None and prefix + n in names:
+                out[n] = None
+        return out
+
+    def first(part: dict) -> dict:
+        for n, k in part.items():
+            if k is None:
+                return {n: None}
+            if isinstance(k, dict) and (inner := first(k)):
+                return {n: inner}
+        return {}
+
+    return keep(shape, "") or first(shape) or shape
+
+
 def shred_json(df: DataFrame, text: str, keys: Sequence[str], shape: dict, ancestor: tuple[str, ...], columns: dict[str, tuple[str, Callable[[object], object], str]], null_places: bool = False) -> DataFrame:
     """The flat table of one repeated ancestor of the JSON in ``text``: ``keys``, ``pos_1..pos_k`` and ``columns``.
 
@@ -169,9 +199,11 @@ def shred_json(df: DataFrame, text: str, keys: Sequence[str], shape: dict, ances
     out = T.StructType([T.StructField(k, kinds[k]) for k in keys] + [T.StructField(f"pos_{i + 1}", T.IntegerType()) for i in range(depth)])
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out] + [f"`{n}` {t}" for n, (_, _, t) in columns.items()])
 
+    part = pruned(shape, ancestor, [leaf for leaf, _, _ in columns.values()]) if isinstance(_at(shape, ancestor), dict) else shape
+
     def shred(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in frames:
-            s = Shredder(shape)
+            s = Shredder(part)
             for x in d[text]:
                 s.add(parse_record(x))
             t = assemble(s.columns, ancestor)
@@ -182,7 +214,17 @@ def shred_json(df: DataFrame, text: str, keys: Sequence[str], shape: dict, ances
                 res[name] = pd.array([f(v) for v in t[leaf]], dtype={"int": "Int32", "bigint": "Int64", "boolean": "boolean"}.get(kind, object))
             yield pd.DataFrame(res)
 
-    return df.select(*keys, text).mapInPandas(shred, ddl).distinct()
+    # copies of a record that are written alike go before they are parsed, others after
+    return df.select(*keys, text).distinct().mapInPandas(shred, ddl).distinct()
+
+
+def _at(shape: dict, ancestor: tuple[str, ...]) -> object:
+    """The shape of one entry of a repeated part."""
+    here: object = shape
+    for name in ancestor:
+        here = here[name]
+        here = here[0] if isinstance(here, list) else here
+    return here
 
 
 def _lists(shape: dict, ancestor: tuple[str, ...]) -> Iterator[str]:
