@@ -133,6 +133,17 @@ class RestCatalog:
         except ValueError as e:
             raise RestError(f"the answer isn't JSON: {e}") from e
 
+    def _pages(self, path: str, key: str, query: dict[str, str] | None = None) -> list:
+        """All entries of a listing, page by page where the service gives a token for the next one."""
+        out: list = []
+        query = dict(query or {})
+        while True:
+            got = self._call("GET", path + ("?" + urlencode(query) if query else ""), override={404: NoSuchNamespace})
+            out += got.get(key) or ()
+            if not got.get("next-page-token"):
+                return out
+            query["pageToken"] = got["next-page-token"]
+
     @staticmethod
     def _ns(namespace: Sequence[str]) -> str:
         return quote(SEPARATOR.join(namespace), safe="")
@@ -140,8 +151,7 @@ class RestCatalog:
     # --- namespaces
 
     def list_namespaces(self, parent: str | Sequence[str] = ()) -> list[Identifier]:
-        query = "?" + urlencode({"parent": SEPARATOR.join(check_namespace(parent))}) if parent else ""
-        return [tuple(n) for n in self._call("GET", "namespaces" + query, override={404: NoSuchNamespace}).get("namespaces", ())]
+        return [tuple(n) for n in self._pages("namespaces", "namespaces", {"parent": SEPARATOR.join(check_namespace(parent))} if parent else None)]
 
     def create_namespace(self, namespace: str | Sequence[str], props: dict[str, str] | None = None) -> None:
         ns = check_namespace(namespace)
@@ -161,8 +171,7 @@ class RestCatalog:
     # --- tables
 
     def list_tables(self, namespace: str | Sequence[str]) -> list[Identifier]:
-        out = self._call("GET", f"namespaces/{self._ns(check_namespace(namespace))}/tables", override={404: NoSuchNamespace})
-        return [(*x["namespace"], x["name"]) for x in out.get("identifiers", ())]
+        return [(*x["namespace"], x["name"]) for x in self._pages(f"namespaces/{self._ns(check_namespace(namespace))}/tables", "identifiers")]
 
     def _table(self, ident: Identifier) -> str:
         return f"namespaces/{self._ns(ident[:-1])}/tables/{quote(ident[-1], safe='')}"

@@ -18,6 +18,7 @@ from tabulith import types as t
 from tabulith.functions.literals import cast, from_bytes, order_key, to_bytes
 from tabulith.functions.transforms import FIRST_PARTITION_ID, PartitionField, PartitionSpec, SortOrder, parse_transform
 from tabulith.schema import TableSchema
+from tabulith.session import put_new
 from tabulith.sources import avro_ocf
 from tabulith.sources.filesystem import filesystem, read_bytes, spark_path, write_bytes
 from tabulith.sources.metadata import MAIN, Snapshot, SnapshotRef, Summary, TableMetadata
@@ -178,8 +179,10 @@ class TableWriter:
         return f"{self.location}/metadata/v{self.version}.metadata.json"
 
     def _publish(self, meta: TableMetadata) -> None:
+        """Write the next version's file. ``FileExistsError`` if another writer has: then nothing has happened but that files were written that nothing names."""
+        path = f"{self.location}/metadata/v{self.version + 1}.metadata.json"
+        put_new(self.spark, spark_path(path) if ":" in path.split("/")[0] else f"file://{path}", json.dumps(meta.to_json()).encode())
         self.version += 1
-        write_bytes(self.metadata_location, json.dumps(meta.to_json()).encode())
         self.metadata = meta
 
     def append(self, df: DataFrame, files: int | None = None, tag: str | None = None, per_manifest: int = 1000) -> int:

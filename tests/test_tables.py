@@ -468,6 +468,30 @@ def test_rest(rest):
         c.create_namespace("n")
 
 
+def test_rest_pages(rest, monkeypatch):
+    """Listings that come in pages are read to the end."""
+    c = rest(token="t0")
+    pages = {None: {"namespaces": [["a"]], "next-page-token": "p 2"}, "p 2": {"namespaces": [["b"]], "next-page-token": "p3"}, "p3": {"namespaces": [["c"]]}}
+    asked = []
+
+    def call(method, path, *rest, **more):
+        asked.append(parse_qs(urlparse(path).query).get("pageToken", [None])[0])
+        return pages[asked[-1]]
+
+    monkeypatch.setattr(c, "_call", call)
+    assert c.list_namespaces() == [("a",), ("b",), ("c",)] and asked == [None, "p 2", "p3"]
+
+
+def test_writers_at_a_time(spark, place):
+    """Of two commits on the same version one fails and changes nothing."""
+    w = TableWriter.create(spark, f"{place}/race", spark.range(1).schema)
+    other = TableWriter(spark, w.location, w.metadata, w.version)
+    w.append(spark.range(3))
+    with pytest.raises(FileExistsError):
+        other.append(spark.range(5))
+    assert SnapshotTable.load(spark, ("t",), w.metadata_location).scan().to_df().count() == 3
+
+
 def test_rest_tokens(rest):
     assert rest(token="t0") and Server.seen[0][4]["authorization"] == "Bearer t0"
     rest(credential="only-secret")
