@@ -44,13 +44,27 @@ ITEM_BLOCK = 20_000
 TABLE_BYTES = 64 << 20  # of the index's buckets; what doesn't fit is looked up from the other side
 
 
+class _Codes(dict):
+    """Numbers of the words met so far, 0 for those of no item. Letters in another order are a common slip: such words are looked up by first letter and sorted
+    letters."""
+
+    def __init__(self, ids: dict[str, int], slips: dict[str, int]) -> None:
+        super().__init__(ids)
+        self.slips, self.room = slips, len(ids) + 500_000
+
+    def __missing__(self, w: str) -> int:
+        code = self.slips.get(_letters(w), 0) if 3 < len(w) < 30 else 0
+        if len(self) < self.room:
+            self[w] = code
+        return code
+
+
 class Vocabulary:
     """The words of all items, with what all items say of them."""
 
     def __init__(self, names: list[str], df: list[int], slips: list[str], n_items: int, least: float) -> None:
         self.ids = {w: i + 1 for i, w in enumerate(names)}  # 0: not a word of any item
-        # letters in another order are a common slip: words of no item are looked up by first letter and sorted letters
-        self.slips = {_letters(w): self.ids[w] for w in slips}
+        self.codes = _Codes(self.ids, {_letters(w): self.ids[w] for w in slips})
         self.weight = np.array([0.0] + [math.log(1 + n_items / k) for k in df])
         self.least = least
         seeds = np.array([0] + [xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64)
@@ -123,14 +137,7 @@ class Items:
         return np.concatenate([w, w[:, 1:] + w[:, :-1]], axis=1)
 
     def encode(self, text: list[str]) -> np.ndarray:
-        vocab, v = self.vocab, self.vocabulary
-        out = np.fromiter((vocab.get(w, 0) for w in text), dtype=np.int32, count=len(text))
-        if len(text):
-            for i in np.flatnonzero(out == 0):
-                w = text[i]
-                if 3 < len(w) < 30:
-                    out[i] = v.slips.get(_letters(w), 0)
-        return out
+        return np.fromiter(map(self.vocabulary.codes.__getitem__, text), dtype=np.int32, count=len(text))
 
     def candidates(self, toks: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, window, share) of all verified candidates in ``toks``, whose documents are numbered in ``doc``."""

@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +92,7 @@ def own_prose(text: str | None) -> list[str]:
     if "." in t:
         t = URL.sub(" ", t)
     if DIGIT.search(t) or LONG.search(t):
-        t = "\n".join("" if LONG.search(x) or (DIGIT.search(x) and len(NUMBERED.findall(x)) * 3 > len(x.split())) else x for x in t.split("\n"))
+        t = "\n".join("" if (len(x) > 40 and LONG.search(x)) or (DIGIT.search(x) and len(NUMBERED.findall(x)) * 3 > len(x.split())) else x for x in t.split("\n"))
     t = t.replace("_", "").replace("*", "")
     paragraphs = [p for p in re.split(r"\n\s*\n", t) if p.strip()]
     if len(paragraphs) > 1 and len(paragraphs[-1].split()) < 12 and len(SENTENCE.split(paragraphs[-1].strip())) == 1 and "\n" not in paragraphs[-1].strip():
@@ -200,13 +202,17 @@ def features(posts: list[Post]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, n.astype(int), (n > 0) & (common >= 0.2 * n)
 
 
-def letter_codes(post: Post) -> np.ndarray:
-    """Places of the runs of three letters of a post's words."""
-    x = np.frombuffer((" " + " ".join(w for t in post[1] for w in t) + " ").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(x) < 5:
-        return np.zeros(0, np.int64)
+def letter_codes(posts: list[Post]) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the runs of three letters of the posts' words, the post of each)."""
+    texts = [f" {' '.join(chain.from_iterable(toks))} " for _, toks in posts]
+    lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    x = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(x) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)
-    return (h % np.uint64(LETTERS)).astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), lens)
+    within = of[:-2] == of[2:]
+    return (h[within] % np.uint64(LETTERS)).astype(np.int64), of[:-2][within]
 
 
 @dataclass
@@ -222,7 +228,8 @@ class Language:
         return Language(np.log(yes) - np.log(no))
 
     def english(self, posts: list[Post]) -> np.ndarray:
-        return np.array([bool(len(c := letter_codes(p)) and self.odds[c].sum() > 0) for p in posts])
+        code, of = letter_codes(posts)
+        return np.bincount(of, self.odds[code], len(posts)) > 0
 
 
 @dataclass
@@ -234,7 +241,8 @@ class Ranker:
     levels: np.ndarray  # non-decreasing levels at the scores
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights
+        w = self.weights / self.scale
+        return x @ w - self.mean @ w
 
     def level(self, score: np.ndarray) -> np.ndarray:
         return np.interp(score, self.cuts, self.levels)
@@ -333,7 +341,7 @@ def _own(frame: pd.DataFrame, items: Items | ItemStore | None) -> list[Post]:
     posts = [(p, [tokens(s) for s in p]) for p in map(own_prose, frame["t"])]
     if items is None:
         return posts
-    flat = [[w for t in toks for w in t] for _, toks in posts]
+    flat = [list(chain.from_iterable(toks)) for _, toks in posts]
     pasted: dict[int, np.ndarray] = {}
     for index in [items] if isinstance(items, Items) else items.indexes():
         for a in range(0, len(flat), BATCH):
@@ -393,22 +401,30 @@ def language(docs: DataFrame, max_language: int = MAX_LANGUAGE) -> Language | No
     """Fit on at most ``max_language`` posts (chosen by hash) that name their language in ``lang``; None without any of English and any of another."""
     if "lang" not in docs.columns:
         return None
-    t = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").alias("d"), "lang", F.col("text").alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(max_language)
+    # the sample is chosen without the texts, which then come to it where they are
+    named = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text <> ''")
+    some = named.select(F.col("doc_id").alias("_d")).distinct().orderBy(F.xxhash64("_d"), "_d").limit(max_language)
+    t = named.select(F.col("doc_id").alias("_i"), "lang", F.col("text").alias("t")).join(F.broadcast(some), F.col("_i") == F.col("_d")).select("lang", "t")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[bool, np.ndarray] = {}
         for f in frames:
-            posts = [(p, [tokens(s) for s in p]) for p in map(own_prose, f["t"])]
-            counts: dict[bool, np.ndarray] = {}
-            for p, e in zip(posts, f["lang"].str.lower().str.startswith("en"), strict=True):
-                counts.setdefault(bool(e), np.zeros(LETTERS, np.int64))
-                counts[bool(e)] += np.bincount(letter_codes(p), minlength=LETTERS)
-            yield pd.DataFrame({"e": list(counts), "c": [v.tolist() for v in counts.values()]})
-
-    rows = t.mapInPandas(run, "e boolean, c array<bigint>").toArrow()  # two rows for each batch of documents
-    total = {True: np.zeros(LETTERS), False: np.zeros(LETTERS)}
-    for e, v in zip(rows["e"].to_pylist(), rows["c"], strict=True):
-        total[e] += v.values.to_numpy()
-    return Language.of(total) if all(v.any() for v in total.values()) else None
+            english = f["lang"].str.lower().str.startswith("en").to_numpy(bool)
+            for e in (True, False):
+                texts = f["t"][english == e]
+                if len(texts):
+                    code, _ = letter_codes([(p, [tokens(s) for s in p]) for p in map(own_prose, texts)])
+                    total[e] = total.get(e, 0) + np.bincount(code, minlength=LETTERS)
+        for e, n in total.items():
+            k = np.flatnonzero(n)
+            yield pd.DataFrame({"e": np.full(len(k), e), "k": k, "n": n[k]})
+
+    rows = t.mapInPandas(run, "e boolean, k int, n bigint").groupBy("e", "k").agg(F.sum("n").alias("n")).toArrow()  # at most two for each place
+    counts = {True: np.zeros(LETTERS), False: np.zeros(LETTERS)}
+    for e in (True, False):
+        part = rows.filter(pc.equal(rows["e"], e))
+        counts[e][part["k"].to_numpy()] = part["n"].to_numpy()
+    return Language.of(counts) if all(v.any() for v in counts.values()) else None
 
 
 def _stored(items: DataFrame | ItemStore | None) -> ItemStore | None:
