@@ -39,6 +39,7 @@ LEAST_WEIGHT_SHARE = 0.75  # of a slightly altered passage's own weight
 FAR = 40
 BAND = 8
 CHUNK = 16_384
+LOOKUPS = 1 << 22  # pairs of fingerprints compared at a time
 SEED = 4  # of WINDOW words of which ALTERED were altered, so many always stand unbroken
 ITEM_BLOCK = 20_000
 TABLE_BYTES = 64 << 20  # of the index's buckets; what doesn't fit is looked up from the other side
@@ -160,12 +161,17 @@ class Items:
                 own = (h >> np.uint64(b * BLOCK_BITS)).astype(np.uint32) & np.uint32(0xFFFF)
                 for mask in _masks(BLOCK_RADIUS - self.spread):
                     key = own ^ mask
-                    s, size = first[key], first[key + 1] - first[key]
-                    rep = np.repeat(np.arange(len(at)), size)
-                    e = entries[np.arange(size.sum()) + np.repeat(s - (np.cumsum(size) - size), size)]
-                    near = np.bitwise_count(h[rep] ^ self.hashes[e]) <= RADIUS
-                    pos.append(rep[near])
-                    win.append(e[near])
+                    size = first[key + 1] - first[key]
+                    ends = np.cumsum(size)
+                    cuts = np.searchsorted(ends, np.arange(LOOKUPS, ends[-1], LOOKUPS)) + 1  # crowded buckets: fewer windows at a time
+                    for x, y in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                        if x < y:
+                            n_ = size[x:y]
+                            to = np.cumsum(n_)
+                            e = entries[np.arange(to[-1]) + np.repeat(first[key[x:y]] - to + n_, n_)]
+                            near = np.flatnonzero(np.bitwise_count(np.repeat(h[x:y], n_) ^ self.hashes[e]) <= RADIUS)
+                            pos.append(x + np.searchsorted(to, near, side="right"))
+                            win.append(e[near])
             code = np.unique(np.concatenate(pos).astype(np.int64) * len(self.windows) + np.concatenate(win))
             if len(code):
                 p, w = at[code // len(self.windows)], code % len(self.windows)

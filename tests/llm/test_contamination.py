@@ -199,3 +199,14 @@ def test_recall_against_brute_force(items):
         total += held
         found += held and any(x == it for _, x, _, _ in ix.leaks([words(text(random.Random(31 + k), 12)) + cut + words(text(r, 12))]))
     assert total > 120 and found >= 0.98 * total
+
+
+def test_crowded_buckets(items, monkeypatch):
+    """Many items with one passage in common: fewer windows are compared at a time, with the same result."""
+    r = random.Random(3)
+    stock = text(r, 14)
+    ix = index([(k, f"{text(r, 8)} {stock} {text(r, 8)}") for k in range(200)])
+    docs = [words(f"{text(r, 10)} {stock} {text(r, 10)}") for _ in range(5)]
+    want = sorted((k, i, m) for k, i, m, _ in ix.leaks(docs))
+    monkeypatch.setattr(c, "LOOKUPS", 50)
+    assert sorted((k, i, m) for k, i, m, _ in ix.leaks(docs)) == want and len(want) == 1000
