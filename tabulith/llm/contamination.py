@@ -42,7 +42,7 @@ CHUNK = 16_384
 LOOKUPS = 1 << 22  # pairs of fingerprints compared at a time
 SEED = 4  # of WINDOW words of which ALTERED were altered, so many always stand unbroken
 ITEM_BLOCK = 20_000
-TABLE_BYTES = 64 << 20  # of the index's buckets; what doesn't fit is looked up from the other side
+TABLE_BYTES = 24 << 20  # of the windows in the index's buckets, whose fingerprints take twice that beside them; what does not fit is looked up from the other side
 
 
 class _Codes(dict):
@@ -125,13 +125,14 @@ class Items:
             out[a : a + CHUNK] = _pack(self.signs[rows[a : a + CHUNK]].sum(axis=1, dtype=np.int32))
         return out
 
-    def _table(self, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first entry of each bucket, windows by bucket)."""
+    def _table(self, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first entry of each bucket, windows by bucket, their fingerprints)."""
         key = (self.hashes >> np.uint64(block * BLOCK_BITS)).astype(np.uint32) & np.uint32(0xFFFF)
         keys = (key[None, :] ^ _masks(self.spread)[:, None]).ravel().astype(np.uint16)  # sorted by radix
         order = np.argsort(keys, kind="stable")
         at = np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1))
-        return at, (order % max(1, len(key))).astype(np.int32)
+        entries = (order % max(1, len(key))).astype(np.int32)
+        return at, entries, self.hashes[entries]
 
     def _shingle_weight(self, rows: np.ndarray) -> np.ndarray:
         w = self.weight[rows]
@@ -148,16 +149,18 @@ class Items:
             return none
         known = np.concatenate([[0], np.cumsum(toks > 0)])
         ok = (doc[:n] == doc[WINDOW - 1 :]) & (known[WINDOW:] > known[:n])  # a window without any word of an item shares nothing
-        where = np.flatnonzero(ok)
         found = []
-        for a in range(0, len(where), CHUNK):
-            at = where[a : a + CHUNK]
-            lo, hi = at[0], at[-1] + WINDOW
-            sums = np.zeros((hi - lo + 1, 64), dtype=np.int16)
-            np.cumsum(self.signs[toks[lo:hi]], axis=0, dtype=np.int16, out=sums[1:])  # may wrap around; differences are right
-            h = _pack(sums[at - lo + WINDOW] - sums[at - lo])
+        for a in range(0, n, CHUNK):
+            at = np.flatnonzero(ok[a : a + CHUNK])
+            if not len(at):
+                continue
+            own = toks[a : min(n, a + CHUNK) + WINDOW - 1]
+            sums = np.zeros((len(own) + 1, 64), dtype=np.int16)
+            np.cumsum(self.signs[own], axis=0, dtype=np.int16, out=sums[1:])  # may wrap around; differences are right
+            h = _pack(sums[WINDOW:] - sums[:-WINDOW])[at]
+            at += a
             pos, win = [], []
-            for b, (first, entries) in enumerate(self.tables):
+            for b, (first, entries, prints) in enumerate(self.tables):
                 own = (h >> np.uint64(b * BLOCK_BITS)).astype(np.uint32) & np.uint32(0xFFFF)
                 for mask in _masks(BLOCK_RADIUS - self.spread):
                     key = own ^ mask
@@ -168,10 +171,11 @@ class Items:
                         if x < y:
                             n_ = size[x:y]
                             to = np.cumsum(n_)
-                            e = entries[np.arange(to[-1]) + np.repeat(first[key[x:y]] - to + n_, n_)]
-                            near = np.flatnonzero(np.bitwise_count(np.repeat(h[x:y], n_) ^ self.hashes[e]) <= RADIUS)
+                            at_ = np.repeat(first[key[x:y]] - to + n_, n_)
+                            at_ += np.arange(to[-1])
+                            near = np.flatnonzero(np.bitwise_count(np.repeat(h[x:y], n_) ^ prints[at_]) <= RADIUS)
                             pos.append(x + np.searchsorted(to, near, side="right"))
-                            win.append(e[near])
+                            win.append(entries[at_[near]])
             code = np.unique(np.concatenate(pos).astype(np.int64) * len(self.windows) + np.concatenate(win))
             if len(code):
                 p, w = at[code // len(self.windows)], code % len(self.windows)

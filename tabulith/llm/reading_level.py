@@ -27,6 +27,7 @@ MAX_LABELLED = 5_000
 PAIRS_PER_DOC = 200
 FOLDS = 5
 LEAST_WORDS = 30
+BASE = 16  # features beside the counts
 VOCABULARY = 512
 PATTERNS = 512
 MAX_LANGUAGE = 5_000
@@ -58,8 +59,12 @@ PERSONAL = frozenset("i you we they he she it me us them".split())
 
 
 def own_prose(text: str | None) -> list[str]:
-    """The author's own sentences. Quotes (also nested or cut off), attributions, code, logs, encoded data, links, markup and
+    """The author's own sentences that have words. Quotes (also nested or cut off), attributions, code, logs, encoded data, links, markup and
     signatures are left out; a last paragraph of one short sentence counts as a signature if there are others before it."""
+    return [s for s in _sentences(text) if WORD.search(s)]
+
+
+def _sentences(text: str | None) -> list[str]:
     if not text:
         return []
     t = text.replace("\r\n", "\n") if "\r" in text else text
@@ -97,31 +102,31 @@ def own_prose(text: str | None) -> list[str]:
     paragraphs = [p for p in re.split(r"\n\s*\n", t) if p.strip()]
     if len(paragraphs) > 1 and len(paragraphs[-1].split()) < 12 and len(SENTENCE.split(paragraphs[-1].strip())) == 1 and "\n" not in paragraphs[-1].strip():
         paragraphs.pop()
-    return [s.strip() for p in paragraphs for s in SENTENCE.split(p) if s and WORD.search(s)]
+    return [s.strip() for p in paragraphs for s in SENTENCE.split(p) if s]
 
 
-class _Words:
-    """Attributes of the words met so far: (length, syllables, subordinates, personal, common, is "of", place of its count, shape). The shape of a word of up to three
-    letters, as most of those that join others are, is the word itself, that of a longer one its last three."""
+class _Words(dict):
+    """Places of the words met so far in a table of their attributes: (length, syllables, subordinates, personal, common, is "of", place of its count, shape). The shape of
+    a word of up to three letters, as most of those that join others are, is the word itself, that of a longer one its last three."""
 
     def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
+        super().__init__()
         self.rows: list[tuple] = []
         self.table = np.zeros((0, 8), dtype=np.int64)
 
+    def __missing__(self, w: str) -> int:
+        self[w] = n = len(self)
+        self.rows.append((len(w), max(1, len(VOWELS.findall(w))), w in SUBORDINATE, w in PERSONAL, w in COMMON, w == "of", xxhash.xxh32_intdigest(w) % VOCABULARY, xxhash.xxh32_intdigest(w[-3:] if len(w) < 4 else "-" + w[-3:])))
+        return n
+
     def of(self, words_: list[str]) -> np.ndarray:
-        if len(self.ids) > 300_000:
+        if len(self) > 300_000:
+            self.clear()
             self.__init__()
-        ids, new = self.ids, []
-        for w in words_:
-            if w not in ids:
-                ids[w] = len(ids)
-                new.append((len(w), max(1, len(VOWELS.findall(w))), w in SUBORDINATE, w in PERSONAL, w in COMMON, w == "of", xxhash.xxh32_intdigest(w) % VOCABULARY, xxhash.xxh32_intdigest(w[-3:] if len(w) < 4 else "-" + w[-3:])))
-        if new:
-            self.rows += new
-            if len(self.rows) > len(self.table):
-                self.table = np.concatenate([self.table, np.array(new, dtype=np.int64)])
-        return self.table[[ids[w] for w in words_]]
+        at = np.fromiter(map(self.__getitem__, words_), dtype=np.int64, count=len(words_))
+        if len(self.rows) > len(self.table):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], dtype=np.int64)])
+        return self.table[at]
 
 
 _words = _Words()
@@ -130,44 +135,67 @@ _words = _Words()
 Post = tuple[list[str], list[list[str]]]  # sentences and their words
 
 
+def post_of(text: str | None) -> Post:
+    both = [(s, w) for s in _sentences(text) if (w := tokens(s))]
+    return [s for s, _ in both], [w for _, w in both]
+
+
 def tokens(sentence: str) -> list[str]:
     s = sentence.lower()
     return WORD.findall(s if s.isascii() else s.translate(CONFUSABLE))
 
 
-def features(posts: list[Post]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each post a row of features, the number of words, and whether they are English.
-
-    Features are those of syntax (lengths, clauses, commas), of vocabulary (lengths, syllables, kinds of words), hashed relative
-    word counts, and hashed relative counts of three word shapes in a row within a sentence. Without a language model a text is English if a fifth of its words are ones
-    that only join or point there.
-    """
+@dataclass
+class Features:
+    """Of each post: ``base``, features of syntax (lengths, clauses, commas) and of vocabulary (lengths, syllables, kinds of words), and relative counts, held as places:
+    hashed words, and three word shapes in a row within a sentence. ``n`` counts words. Without a language model a text is ``english`` if a fifth of its words are
+    ones that only join or point there."""
+
+    base: np.ndarray
+    n: np.ndarray
+    english: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    pattern_doc: np.ndarray
+    pattern: np.ndarray
+
+    def dense(self) -> np.ndarray:
+        """All features as columns, ``BASE + VOCABULARY + PATTERNS``."""
+        k, per = len(self.n), (10 / np.maximum(self.n, 1))[:, None]
+        counts = [np.bincount(d * size + x, minlength=k * size).reshape(k, size) * per for d, x, size in ((self.doc, self.word, VOCABULARY), (self.pattern_doc, self.pattern, PATTERNS))]
+        return np.concatenate([self.base, *counts], axis=1)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """``dense() @ w`` from the places alone."""
+        k, per = len(self.n), 10 / np.maximum(self.n, 1)
+        words_, patterns = w[BASE : BASE + VOCABULARY], w[BASE + VOCABULARY :]
+        return self.base @ w[:BASE] + per * (np.bincount(self.doc, words_[self.word], k) + np.bincount(self.pattern_doc, patterns[self.pattern], k))
+
+
+def features(posts: list[Post]) -> Features:
     k = len(posts)
-    flat: list[str] = []
-    starts: list[int] = []
-    n, m, longest, marks = (np.zeros(k) for _ in range(4))
-    for i, (sentences, toks) in enumerate(posts):
-        lens = []
-        for s, t in zip(sentences, toks, strict=True):
-            starts.append(len(flat))
-            flat += t
-            lens.append(len(t))
-            marks[i] += s.count(",") + s.count(";") + s.count(":")
-        n[i], m[i], longest[i] = sum(lens), len(lens), max(lens, default=0)
-    out = np.zeros((k, 16 + VOCABULARY + PATTERNS))
+    toks_ = [t for _, toks in posts for t in toks]
+    per_post = np.fromiter((len(toks) for _, toks in posts), dtype=np.int64, count=k)
+    lens = np.fromiter(map(len, toks_), dtype=np.int64, count=len(toks_))
+    flat = list(chain.from_iterable(toks_))
+    of = np.repeat(np.arange(k), per_post)
+    n = np.bincount(of, lens, k)
+    none = np.zeros(0, np.int64)
     if not flat:
-        return out, n.astype(int), np.zeros(k, bool)
+        return Features(np.zeros((k, BASE)), n.astype(int), np.zeros(k, bool), none, none, none, none)
+    longest = np.zeros(k)
+    np.maximum.at(longest, of, lens)
+    marks = np.array([sum(s.count(",") + s.count(";") + s.count(":") for s in sentences) for sentences, _ in posts], dtype=float)
     w = _words.of(flat)
-    doc = np.repeat(np.arange(k), n.astype(int))
+    doc = np.repeat(of, lens)
     total = lambda v: np.bincount(doc, v, k)
-    some = np.maximum(n, 1)
-    lens = w[:, 0].astype(float)
+    some, m = np.maximum(n, 1), np.maximum(per_post, 1)
+    size = w[:, 0].astype(float)
     common = total(w[:, 4])
     content = np.maximum(n - common, 1)
-    mean = total(lens) / some
+    mean = total(size) / some
     sub = total(w[:, 2])
-    m = np.maximum(m, 1)
-    out[:, :16] = np.stack(
+    base = np.stack(
         [
             np.log(some / m),
             n / m / 10,
@@ -176,30 +204,24 @@ def features(posts: list[Post]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             sub / m,
             sub / some * 10,
             mean,
-            np.sqrt(np.maximum(total(lens**2) / some - mean**2, 0)),
-            total(lens >= 8) / some * 5,
-            total(lens >= 11) / some * 5,
-            total(lens >= 13) / some * 5,
+            np.sqrt(np.maximum(total(size**2) / some - mean**2, 0)),
+            total(size >= 8) / some * 5,
+            total(size >= 11) / some * 5,
+            total(size >= 13) / some * 5,
             total(w[:, 1]) / some,
             total(w[:, 3]) / some * 10,
             total(w[:, 5]) / some * 10,
             (n - common) / some * 5,
-            total(lens * (w[:, 4] == 0)) / content,
+            total(size * (w[:, 4] == 0)) / content,
         ],
         axis=1,
     )
-    out[:, 16 : 16 + VOCABULARY] = np.bincount(doc * VOCABULARY + w[:, 6], minlength=k * VOCABULARY).reshape(k, VOCABULARY) * (10 / some)[:, None]
+    base[n == 0] = 0
     shape = w[:, 7].astype(np.uint64)
-    sentence = np.zeros(len(flat), np.int64)
-    sentence[[a for a in starts if a < len(flat)]] = 1
-    sentence = np.cumsum(sentence)
-    if len(flat) > 2:
-        code = (shape[:-2] * np.uint64(0x9E3779B1) + shape[1:-1] * np.uint64(0x85EBCA77) + shape[2:] * np.uint64(0xC2B2AE3D)) >> np.uint64(17)
-        within = sentence[:-2] == sentence[2:]
-        place = doc[:-2] * PATTERNS + (code % np.uint64(PATTERNS)).astype(np.int64)
-        out[:, 16 + VOCABULARY :] = np.bincount(place[within], minlength=k * PATTERNS).reshape(k, PATTERNS) * (10 / some)[:, None]
-    out[n == 0] = 0
-    return out, n.astype(int), (n > 0) & (common >= 0.2 * n)
+    sentence = np.repeat(np.arange(len(lens)), lens)
+    within = sentence[:-2] == sentence[2:]
+    code = (shape[:-2] * np.uint64(0x9E3779B1) + shape[1:-1] * np.uint64(0x85EBCA77) + shape[2:] * np.uint64(0xC2B2AE3D)) >> np.uint64(17)
+    return Features(base, n.astype(int), (n > 0) & (common >= 0.2 * n), doc, w[:, 6], doc[:-2][within], (code[within] % np.uint64(PATTERNS)).astype(np.int64))
 
 
 def letter_codes(posts: list[Post]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,9 +262,9 @@ class Ranker:
     cuts: np.ndarray  # scores
     levels: np.ndarray  # non-decreasing levels at the scores
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, x: np.ndarray | Features) -> np.ndarray:
         w = self.weights / self.scale
-        return x @ w - self.mean @ w
+        return (x.dot(w) if isinstance(x, Features) else x @ w) - self.mean @ w
 
     def level(self, score: np.ndarray) -> np.ndarray:
         return np.interp(score, self.cuts, self.levels)
@@ -338,7 +360,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs_per_doc: int = PAIRS_PER_DOC) -> Ran
 
 def _own(frame: pd.DataFrame, items: Items | ItemStore | None) -> list[Post]:
     """Own sentences of each post and their words, without those that belong to a pasted item."""
-    posts = [(p, [tokens(s) for s in p]) for p in map(own_prose, frame["t"])]
+    posts = [post_of(t) for t in frame["t"]]
     if items is None:
         return posts
     flat = [list(chain.from_iterable(toks)) for _, toks in posts]
@@ -375,7 +397,7 @@ def _featured(docs: DataFrame, items: ItemStore | None, keep: list[str]) -> Data
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for part, posts in _posts(f, items):
-                yield pd.DataFrame({"d": part["d"].to_numpy(), **{c: part[c].to_numpy() for c in keep}, "x": list(features(posts)[0])})
+                yield pd.DataFrame({"d": part["d"].to_numpy(), **{c: part[c].to_numpy() for c in keep}, "x": list(features(posts).dense())})
 
     ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("d", *keep))
     return docs.mapInPandas(run, f"{ddl}, x array<double>")
@@ -413,7 +435,7 @@ def language(docs: DataFrame, max_language: int = MAX_LANGUAGE) -> Language | No
             for e in (True, False):
                 texts = f["t"][english == e]
                 if len(texts):
-                    code, _ = letter_codes([(p, [tokens(s) for s in p]) for p in map(own_prose, texts)])
+                    code, _ = letter_codes([post_of(x) for x in texts])
                     total[e] = total.get(e, 0) + np.bincount(code, minlength=LETTERS)
         for e, n in total.items():
             k = np.flatnonzero(n)
@@ -447,9 +469,9 @@ def reading_levels(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for part, posts in _posts(f, store):
-                x, n, english = features(posts)
-                english = speech.english(posts) & (n > 0) if speech else english
-                score = model.score(x) if model else np.full(len(x), np.nan)
+                x = features(posts)
+                n, english = x.n, speech.english(posts) & (x.n > 0) if speech else x.english
+                score = model.score(x) if model else np.full(len(n), np.nan)
                 yield pd.DataFrame({"doc_id": part["d"].to_numpy(), "own_words": n, "english": english, "score": np.where(english, score, np.nan), "level": np.where(english, model.level(score) if model else np.nan, np.nan)})
 
     kind = src.schema["d"].dataType.simpleString()
