@@ -38,7 +38,7 @@ ALTERED = 2  # edits of a slightly altered passage, its end words included
 LEAST_WEIGHT_SHARE = 0.75  # of a slightly altered passage's own weight
 FAR = 40
 BAND = 8
-CHUNK = 16_384
+CHUNK = 4_096
 LOOKUPS = 1 << 22  # pairs of fingerprints compared at a time
 SEED = 4  # of WINDOW words of which ALTERED were altered, so many always stand unbroken
 ITEM_BLOCK = 20_000
@@ -148,7 +148,12 @@ class Items:
         if n <= 0 or not len(self.windows):
             return none
         known = np.concatenate([[0], np.cumsum(toks > 0)])
-        ok = (doc[:n] == doc[WINDOW - 1 :]) & (known[WINDOW:] > known[:n])  # a window without any word of an item shares nothing
+        many = known[WINDOW:] - known[:n]
+        ok = (doc[:n] == doc[WINDOW - 1 :]) & (many > 0)  # a window without any word of an item shares nothing
+        # a passage that is accepted has at least so many words of an item within twelve: texts without such a place hold none
+        dense = np.zeros(int(doc[-1]) + 1, bool)
+        dense[doc[:n][ok & (many >= WINDOW // 2)]] = True
+        ok &= dense[doc[:n]]
         found = []
         for a in range(0, n, CHUNK):
             at = np.flatnonzero(ok[a : a + CHUNK])
@@ -171,8 +176,8 @@ class Items:
                         if x < y:
                             n_ = size[x:y]
                             to = np.cumsum(n_)
-                            at_ = np.repeat(first[key[x:y]] - to + n_, n_)
-                            at_ += np.arange(to[-1])
+                            at_ = np.repeat((first[key[x:y]] - to + n_).astype(np.int32), n_)
+                            at_ += np.arange(to[-1], dtype=np.int32)
                             near = np.flatnonzero(np.bitwise_count(np.repeat(h[x:y], n_) ^ prints[at_]) <= RADIUS)
                             pos.append(x + np.searchsorted(to, near, side="right"))
                             win.append(entries[at_[near]])

@@ -31,7 +31,8 @@ BASE = 16  # features beside the counts
 VOCABULARY = 512
 PATTERNS = 512
 MAX_LANGUAGE = 5_000
-LETTERS = 1 << 14
+LETTER_BITS = 14
+LETTERS = 1 << LETTER_BITS
 BATCH = 500
 
 PRE = re.compile(r"(?is)<(pre|code)\b[^>]*>.*?(?:</\1\s*>|\Z)|```.*?(?:```|\Z)|\[code\].*?(?:\[/code\]|\Z)")
@@ -112,7 +113,7 @@ class _Words(dict):
     def __init__(self) -> None:
         super().__init__()
         self.rows: list[tuple] = []
-        self.table = np.zeros((0, 8), dtype=np.int64)
+        self.table = np.zeros((8, 0))
 
     def __missing__(self, w: str) -> int:
         self[w] = n = len(self)
@@ -124,9 +125,9 @@ class _Words(dict):
             self.clear()
             self.__init__()
         at = np.fromiter(map(self.__getitem__, words_), dtype=np.int64, count=len(words_))
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], dtype=np.int64)])
-        return self.table[at]
+        if len(self.rows) > self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.array(self.rows[self.table.shape[1] :], dtype=float).T], axis=1)
+        return self.table[:, at]
 
 
 _words = _Words()
@@ -190,11 +191,11 @@ def features(posts: list[Post]) -> Features:
     doc = np.repeat(of, lens)
     total = lambda v: np.bincount(doc, v, k)
     some, m = np.maximum(n, 1), np.maximum(per_post, 1)
-    size = w[:, 0].astype(float)
-    common = total(w[:, 4])
+    size = w[0]
+    common = total(w[4])
     content = np.maximum(n - common, 1)
     mean = total(size) / some
-    sub = total(w[:, 2])
+    sub = total(w[2])
     base = np.stack(
         [
             np.log(some / m),
@@ -208,33 +209,29 @@ def features(posts: list[Post]) -> Features:
             total(size >= 8) / some * 5,
             total(size >= 11) / some * 5,
             total(size >= 13) / some * 5,
-            total(w[:, 1]) / some,
-            total(w[:, 3]) / some * 10,
-            total(w[:, 5]) / some * 10,
+            total(w[1]) / some,
+            total(w[3]) / some * 10,
+            total(w[5]) / some * 10,
             (n - common) / some * 5,
-            total(size * (w[:, 4] == 0)) / content,
+            total(size * (1 - w[4])) / content,
         ],
         axis=1,
     )
     base[n == 0] = 0
-    shape = w[:, 7].astype(np.uint64)
+    shape = w[7].astype(np.uint64)
     sentence = np.repeat(np.arange(len(lens)), lens)
     within = sentence[:-2] == sentence[2:]
     code = (shape[:-2] * np.uint64(0x9E3779B1) + shape[1:-1] * np.uint64(0x85EBCA77) + shape[2:] * np.uint64(0xC2B2AE3D)) >> np.uint64(17)
-    return Features(base, n.astype(int), (n > 0) & (common >= 0.2 * n), doc, w[:, 6], doc[:-2][within], (code[within] % np.uint64(PATTERNS)).astype(np.int64))
+    return Features(base, n.astype(int), (n > 0) & (common >= 0.2 * n), doc, w[6].astype(np.int64), doc[:-2][within], (code[within] % np.uint64(PATTERNS)).astype(np.int64))
 
 
-def letter_codes(posts: list[Post]) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the runs of three letters of the posts' words, the post of each)."""
+def letter_codes(posts: list[Post]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of all runs of three letters of the posts' words one after another, where each post's begin, which runs lie across two posts)."""
     texts = [f" {' '.join(chain.from_iterable(toks))} " for _, toks in posts]
-    lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    x = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(x) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)
-    of = np.repeat(np.arange(len(texts)), lens)
-    within = of[:-2] == of[2:]
-    return (h[within] % np.uint64(LETTERS)).astype(np.int64), of[:-2][within]
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+    x = np.frombuffer(("".join(texts) + "  ").encode("utf-32-le"), dtype=np.uint32)
+    h = x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)
+    return h >> np.uint32(32 - LETTER_BITS), np.concatenate([[0], ends[:-1]]), np.concatenate([ends - 2, ends - 1])
 
 
 @dataclass
@@ -250,8 +247,12 @@ class Language:
         return Language(np.log(yes) - np.log(no))
 
     def english(self, posts: list[Post]) -> np.ndarray:
-        code, of = letter_codes(posts)
-        return np.bincount(of, self.odds[code], len(posts)) > 0
+        if not posts:
+            return np.zeros(0, bool)
+        code, starts, across = letter_codes(posts)
+        said = self.odds[code]
+        said[across] = 0
+        return np.add.reduceat(said, starts) > 0
 
 
 @dataclass
@@ -435,8 +436,8 @@ def language(docs: DataFrame, max_language: int = MAX_LANGUAGE) -> Language | No
             for e in (True, False):
                 texts = f["t"][english == e]
                 if len(texts):
-                    code, _ = letter_codes([post_of(x) for x in texts])
-                    total[e] = total.get(e, 0) + np.bincount(code, minlength=LETTERS)
+                    code, _, across = letter_codes([post_of(x) for x in texts])
+                    total[e] = total.get(e, 0) + np.bincount(np.delete(code, across), minlength=LETTERS)
         for e, n in total.items():
             k = np.flatnonzero(n)
             yield pd.DataFrame({"e": np.full(len(k), e), "k": k, "n": n[k]})
