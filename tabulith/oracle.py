@@ -98,6 +98,10 @@ FROM n LEFT JOIN r ON r.snapshot_id = n.snapshot_id LEFT JOIN c ON c.parent = n.
         "p1_paths": f"""WITH RECURSIVE {LINKS}, {ABOVE}, al AS (SELECT v, u, dist FROM a UNION ALL SELECT snapshot_id, snapshot_id, 0 FROM r),
 p AS (SELECT al.v, string_agg(CAST(u AS VARCHAR), ',' ORDER BY dist DESC) FILTER (dist <= r.depth % 32) AS tail, max(u) FILTER (dist = r.depth % 32 + 1) AS nxt FROM al JOIN r ON r.snapshot_id = al.v GROUP BY al.v)
 SELECT n.snapshot_id, CAST(r.depth AS BIGINT) AS depth, p.tail AS path_tail, p.nxt AS path_next FROM n LEFT JOIN r ON r.snapshot_id = n.snapshot_id LEFT JOIN p ON p.v = n.snapshot_id""",
+        "p1_descendants": f"""WITH RECURSIVE {LINKS}, {PAIRS}, o AS (SELECT DISTINCT v FROM a WHERE v = u), b AS (SELECT u, count(*) AS k FROM a GROUP BY u),
+t AS (SELECT n.snapshot_id AS v, n.snapshot_id AS top, [n.snapshot_id] AS line FROM n LEFT JOIN o q ON q.v = n.parent LEFT JOIN o ON o.v = n.snapshot_id WHERE o.v IS NULL AND (n.parent IS NULL OR q.v IS NOT NULL) UNION ALL SELECT n.snapshot_id, t.top, list_append(t.line, n.snapshot_id) FROM t JOIN n ON n.parent = t.v),
+p AS (SELECT v, top, row_number() OVER (PARTITION BY top ORDER BY line) - 1 AS first FROM t)
+SELECT n.snapshot_id, p.top, p.first, p.first + coalesce(b.k, 0) AS last FROM n LEFT JOIN p ON p.v = n.snapshot_id LEFT JOIN b ON b.u = n.snapshot_id""",
         "p2_found": f"""WITH RECURSIVE {NODES}
 SELECT table_uuid, schema_id, field_id, 'added' AS change FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.table_uuid = w.table_uuid AND o.schema_id = w.schema_id AND o.field_id = w.field_id)
 UNION SELECT table_uuid, schema_id, field_id, 'removed' FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE o.table_uuid = w.table_uuid AND o.schema_id = w.schema_id AND o.field_id = w.field_id)
@@ -142,6 +146,11 @@ SELECT table_uuid, snapshot_id FROM h WHERE NOT EXISTS (SELECT 1 FROM ingest_run
 p AS (SELECT *, lag((table_uuid, parent_snapshot_id, manifest_list)) OVER (PARTITION BY snapshot_id ORDER BY run) AS was, lag(run) OVER (PARTITION BY snapshot_id ORDER BY run) AS wasrun FROM v)
 SELECT snapshot_id, table_uuid, parent_snapshot_id, manifest_list FROM p WHERE wasrun IS NULL OR (table_uuid, parent_snapshot_id, manifest_list) IS DISTINCT FROM was""",
     }
+    runs = ("WHERE recorded_at < TIMESTAMP '2024-01-01'", "WHERE recorded_at < TIMESTAMP '2024-07-01'", "")
+    whole = "CAST((table_uuid, parent_snapshot_id, sequence_number, timestamp_ms, manifest_list, schema_id, list_sort(map_entries(summary)), expired_at) AS VARCHAR)"
+    out["p6_replay_times"] = f"""WITH s AS (SELECT * FROM snapshots WHERE snapshot_id IS NOT NULL), v AS ({" UNION ALL ".join(f"(SELECT {i} AS run, snapshot_id, {whole} AS content FROM s {w} QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY recorded_at DESC) = 1)" for i, w in enumerate(runs))}),
+p AS (SELECT *, lag(content) OVER (PARTITION BY snapshot_id ORDER BY run) AS was, lag(run) OVER (PARTITION BY snapshot_id ORDER BY run) AS wasrun FROM v)
+SELECT snapshot_id, count(*) AS n_times FROM p WHERE wasrun IS NULL OR content IS DISTINCT FROM was GROUP BY snapshot_id"""
     return out | tables() | metadata()
 
 

@@ -285,6 +285,11 @@ def p6_replay_content(spark: SparkSession, d: str) -> DataFrame:
     return _replay(rows, [c for c in rows.columns if c not in ("snapshot_id", "recorded_at")])
 
 
+def p6_replay_times(spark: SparkSession, d: str) -> DataFrame:
+    """How often each snapshot was processed in the replay of all content: once, and again for each correction that a run saw."""
+    return p6_replay_content(spark, d).groupBy("snapshot_id").agg(F.count("*").alias("n_times"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ("p1_found", "p1_hierarchy", "p1_paths", "p1_descendants", "p2_found", "p2_script", "p2_rows", "p2_values", "p3_found", "p3_consolidated", "p3_assignment", "p3_blockcopy", "p3_blockcopy_columns", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay", "p6_replay_content")
+    names = ("p1_found", "p1_hierarchy", "p1_paths", "p1_descendants", "p2_found", "p2_script", "p2_rows", "p2_values", "p3_found", "p3_consolidated", "p3_assignment", "p3_blockcopy", "p3_blockcopy_columns", "p4_found", "p4_counts", "p5_found", "p5_lists", "p5_manifests", "p5_summaries", "p5_partitions", "p6_found", "p6_replay", "p6_replay_content", "p6_replay_times")
     return {n: globals()[n] for n in names}

@@ -154,7 +154,10 @@ def read_lists(spark: SparkSession, lists: list[str], props: dict[str, str] | No
     lists = [x for x in lists if x]
     if len(lists) == 1:
         fs, path = filesystem(lists[0], props)
-        if fs.get_file_info(path).size <= LOCAL_LIST_BYTES:
+        info = fs.get_file_info(path)
+        if not info.is_file:
+            raise FileNotFoundError(lists[0])
+        if info.size <= LOCAL_LIST_BYTES:
             return _local(spark, [{"manifest_list": lists[0], **r} for r in manifest_rows(read_bytes(lists[0], props))], ddl)
     src = spark.createDataFrame([(x,) for x in lists], "manifest_list string")
 
