@@ -128,7 +128,7 @@ def merge_manifests(writer, target: int = TARGET, **limits: int) -> int | None:
     group = ["partition_spec_id", "content"]
     plan = assign(SnapshotTable(spark, ("merge",), m).manifests(), group, "manifest_path", "manifest_length", target, **({"min_files": 2, "small_mean": 1 << 62} | limits)).where("bin IS NOT NULL")
     name = F.concat(F.lit(f"{writer.location}/metadata/merged-"), F.sha1(F.to_json(F.struct(F.lit(m.last_sequence_number), *group, "piece", "bin"))), F.lit(".avro"))
-    plan = materialize(plan.select(F.col("manifest_path").alias("path"), name.alias("target"), "partition_spec_id", "sequence_number", "added_snapshot_id"), "plan")
+    plan = materialize(plan.select(F.col("manifest_path").alias("path"), name.alias("target"), "partition_spec_id", *[F.col(c).cast("string").alias(c) for c in ("sequence_number", "added_snapshot_id")]), "plan")
     plan = materialize(plan.join(plan.groupBy("target").agg(F.count("*").alias("n")).where("n > 1"), "target", "left_semi"), "plan")
 
     def merge(d: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +138,7 @@ def merge_manifests(writer, target: int = TARGET, **limits: int) -> int | None:
             meta, entries = avro_ocf.read(data)
             first = first or meta
             known = {"manifest_path": r.path, "partition_spec_id": r.partition_spec_id, "sequence_number": r.sequence_number, "added_snapshot_id": r.added_snapshot_id}
-            for x, y in zip(entries, entry_rows(data, {k: None if pd.isna(v) else v if isinstance(v, str) else int(v) for k, v in known.items()}), strict=True):
+            for x, y in zip(entries, entry_rows(data, {k: None if pd.isna(v) else v if k == "manifest_path" else int(v) for k, v in known.items()}), strict=True):
                 if x["status"] != DELETED:
                     out.append(x | {"status": 0} | {k: y[k] for k in ("snapshot_id", "sequence_number", "file_sequence_number")})
                     numbers.append(y["sequence_number"])

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,21 +202,24 @@ def shred_json(df: DataFrame, text: str, keys: Sequence[str], shape: dict, ances
 
     part = pruned(shape, ancestor, [leaf for leaf, _, _ in columns.values()]) if isinstance(_at(shape, ancestor), dict) else shape
 
-    def shred(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in frames:
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+
+    def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in batches:  # keys stay in Arrow's form: pandas would turn longs with a NULL among them into doubles
             s = Shredder(part)
-            for x in d[text]:
+            for x in d.column(len(keys)).to_pylist():
                 s.add(parse_record(x))
             t = assemble(s.columns, ancestor)
             t = t if null_places else t[t["present"].astype(bool)]
-            res = {k: d[k].to_numpy()[t["record"].to_numpy(dtype=np.int64)] for k in keys}
-            res |= {f"pos_{i + 1}": t[f"pos_{i + 1}"].to_numpy() for i in range(depth)}
-            for name, (leaf, f, kind) in columns.items():
-                res[name] = pd.array([f(v) for v in t[leaf]], dtype={"int": "Int32", "bigint": "Int64", "boolean": "boolean"}.get(kind, object))
-            yield pd.DataFrame(res)
+            at = pa.array(t["record"].to_numpy(dtype=np.int64))
+            cols = [d.column(i).take(at) for i in range(len(keys))] + [pa.array(t[f"pos_{i + 1}"].to_numpy(dtype=np.int32)) for i in range(depth)]
+            for leaf, f, kind in columns.values():
+                cols.append(pa.array([f(v) for v in t[leaf]], type=arrow.get(kind, pa.string())))
+            yield from pa.Table.from_arrays(cols, names=names).to_batches(max_chunksize=10_000)
 
+    names = [*keys, *[f"pos_{i + 1}" for i in range(depth)], *columns]
     # copies of a record that are written alike go before they are parsed, others after
-    return df.select(*keys, text).distinct().mapInPandas(shred, ddl).distinct()
+    return df.select(*keys, text).distinct().mapInArrow(shred, ddl).distinct()
 
 
 def _at(shape: dict, ancestor: tuple[str, ...]) -> object:

@@ -265,10 +265,13 @@ def metadata_documents(spark: SparkSession, d: str) -> DataFrame:
                 again = TableMetadata.parse(json.dumps(m.to_json()))
                 main = up.refs["main"].snapshot_id if "main" in up.refs else None
                 out.append((r.table_uuid, m.format_version, up.format_version, up.location, up.last_updated_ms, up.current_snapshot and up.current_snapshot.snapshot_id, main, up.last_sequence_number, up.schema().schema_id, len(up.spec().fields), up.last_partition_id, up.sort_order.order_id, len(up.properties), again == m))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")]).astype({"current_snapshot_id": "Int64", "main_snapshot_id": "Int64"})
+            names = [c.split()[0] for c in ddl.split(", ")]
+            ids = ("current_snapshot_id", "main_snapshot_id")
+            yield pd.DataFrame({n: pd.array(v, dtype="Int64") if n in ids else list(v) for n, v in zip(names, zip(*out, strict=True), strict=True)})
 
     ddl = "table_uuid string, version_read int, version_up int, location string, last_updated_ms bigint, current_snapshot_id bigint, main_snapshot_id bigint, sequence_number bigint, schema_id int, n_spec_fields int, last_partition_id int, order_id int, n_props int, same_again boolean"
-    return rows.select("table_uuid", *cols).mapInPandas(run, ddl)
+    # ids as texts: pandas turns longs with a NULL among them into doubles
+    return rows.select("table_uuid", *cols).withColumn("current_snapshot_id", F.col("current_snapshot_id").cast("string")).mapInPandas(run, ddl)
 
 
 def schema_index(spark: SparkSession, d: str) -> DataFrame:

@@ -171,13 +171,14 @@ def read_lists(spark: SparkSession, lists: list[str], props: dict[str, str] | No
     return src.repartition(max(1, min(len(lists), DECODE_TASKS))).mapInPandas(decode, ddl)
 
 
-HEADS = "manifest_path string, partition_spec_id int, sequence_number bigint, added_snapshot_id bigint"
+# numbers as texts: pandas turns a column of longs with a NULL among them into doubles, which don't hold a snapshot's id
+HEADS = "manifest_path string, partition_spec_id string, sequence_number string, added_snapshot_id string"
 
 
 def spread_manifests(manifests: DataFrame) -> DataFrame:
     """Each manifest once, over as many partitions as there are manifests, up to ``DECODE_TASKS``. The rows are tiny, so the number of partitions is given: left to
     adaptive execution, all of them would meet in one task. A local relation is sliced evenly as it is."""
-    src = manifests.select(*_names(HEADS))
+    src = manifests.select(*[F.col(n).cast("string") for n in _names(HEADS)])
     if _is_local(src):
         return _local(src.sparkSession, [r.asDict() for r in {r.manifest_path: r for r in src.collect()}.values()], HEADS)  # no job: the rows are here
     src = materialize(src.dropDuplicates(["manifest_path"]), "manifests")
@@ -190,7 +191,7 @@ def read_entries(manifests: DataFrame, props: dict[str, str] | None = None, disc
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for m in f.to_dict("records"):
-                m = {k: None if not isinstance(v, str) and pd.isna(v) else v for k, v in m.items()}
+                m = {k: v if k == "manifest_path" or v is None else int(v) for k, v in m.items()}
                 rows = entry_rows(read_bytes(m["manifest_path"], props), m)
                 for a in range(0, len(rows), 5000):
                     yield _frame(rows[a : a + 5000], ENTRIES)

@@ -200,3 +200,20 @@ def test_formats(spark, tmp_path):
 
     mapped = replace(load(), metadata=replace(load().metadata, properties={NAME_MAPPING: json.dumps([{"field-id": 1, "names": ["k", "k0"]}, {"field-id": 11, "names": ["d0"]}])}))
     assert sorted(r.k for r in mapped.scan(["k", "d", "new"]).to_df().collect() if r.k is not None) == [0, 0, 1, 1, 2, 2, 3, 3, 11]
+
+
+def test_ids_stay_whole_beside_nulls(spark, tmp_path):
+    """A manifest without a snapshot id beside one with nineteen digits; keys of records too."""
+    from tabulith.operators import shredding
+
+    big = 8_182_715_666_859_000_001
+    rows = []
+    for i, snap in enumerate((big, None)):
+        path = f"{tmp_path}/m{i}.avro"
+        write_bytes(path, avro_ocf.write(entry_schema(Struct()), [entry(f"f{i}") | {"snapshot_id": None}], {"format-version": "2"}))
+        rows.append((path, 0, 5, snap))
+    m = spark.createDataFrame(rows, "manifest_path string, partition_spec_id int, sequence_number bigint, added_snapshot_id bigint").coalesce(1)
+    assert {r.file_path: r.snapshot_id for r in manifests.read_entries(m).collect()} == {"f0": big, "f1": None}
+    df = spark.createDataFrame([(big, '{"a": [{"b": 1}]}'), (None, '{"a": [{"b": 2}]}')], "k bigint, j string").coalesce(1)
+    got = shredding.shred_json(df, "j", ["k"], {"a": [{"b": None}]}, ("a",), {"b": ("b", lambda v: v, "bigint")}).collect()
+    assert {(r.k, r.pos_1, r.b) for r in got} == {(big, 0, 1), (None, 0, 2)}
