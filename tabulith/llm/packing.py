@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,11 +200,11 @@ def token_counts(docs: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER
     if os.path.exists(tokenizer):
         docs.sparkSession.sparkContext.addFile(tokenizer)  # executors that don't have the path get the file with the job
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(tokenizer if os.path.exists(tokenizer) else SparkFiles.get(os.path.basename(tokenizer)))
-        for f in frames:
-            n = np.zeros(len(f), dtype=np.int64)
-            texts = f["t"].tolist()
+        for b in batches:  # ids stay in Arrow's form: pandas would turn longs with a NULL among them into doubles
+            texts = b.column(1).to_pylist()
+            n = np.zeros(len(texts), dtype=np.int64)
             batch: list[int] = []
             size = 0
             for i, x in enumerate(texts):
@@ -213,10 +213,10 @@ def token_counts(docs: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER
                 if size > 1_000_000 or i == len(texts) - 1:
                     n[batch] = tokens([texts[j] for j in batch])
                     batch, size = [], 0
-            yield pd.DataFrame({"d": f["d"].to_numpy(), "n_tokens": n})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=["d", "n_tokens"])
 
     src = docs.select(F.col(id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return src.mapInPandas(count, f"d {src.schema['d'].dataType.simpleString()}, n_tokens bigint").withColumnRenamed("d", id)
+    return src.mapInArrow(count, f"d {src.schema['d'].dataType.simpleString()}, n_tokens bigint").withColumnRenamed("d", id)
 
 
 def pack(sized: DataFrame, id: str, size: str, capacity: int = CAPACITY) -> DataFrame:  # noqa: A002
@@ -241,14 +241,15 @@ def pack(sized: DataFrame, id: str, size: str, capacity: int = CAPACITY) -> Data
     ranked = ranked.select("d", "piece", "s", (F.col("before") + F.col("r") - 1).alias("rank"))
     key = runs[:, 0] << 44 | runs[:, 1]
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            s, rank = f["s"].to_numpy(np.int64), f["rank"].to_numpy(np.int64)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, rank = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy()
             run = runs[np.searchsorted(key, s << 44 | rank, side="right") - 1]
             t = rank - run[:, 1]
-            yield pd.DataFrame({"d": f["d"].to_numpy(), "piece": f["piece"].to_numpy(), "n_tokens": s.astype(np.int32), "container": run[:, 2] + t // run[:, 3], "place": (run[:, 4] + t % run[:, 3] * s).astype(np.int32)})
+            cols = [pa.array(s.astype(np.int32)), pa.array(run[:, 2] + t // run[:, 3]), pa.array((run[:, 4] + t % run[:, 3] * s).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["d", "piece", "n_tokens", "container", "place"])
 
     kind = pieces.schema["d"].dataType.simpleString()
-    out = ranked.mapInPandas(place, f"d {kind}, piece int, n_tokens int, container bigint, place int")
+    out = ranked.mapInArrow(place, f"d {kind}, piece int, n_tokens int, container bigint, place int")
     none = pieces.where("s = 0").select("d", "piece", F.col("s").alias("n_tokens"), F.pmod(F.xxhash64("d"), F.lit(max(1, containers))).alias("container"), F.lit(0).alias("place"))
     return out.unionByName(none).withColumnRenamed("d", id)

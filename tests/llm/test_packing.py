@@ -99,3 +99,12 @@ def test_tokens(spark):
     got = {r.id: r.n_tokens for r in p.token_counts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").collect()}
     t.encode_special_tokens = True
     assert got == {i: 0 if not x else len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
+def test_ids_stay_whole_beside_nulls(spark):
+    big = 8_182_715_666_859_000_001
+    docs = spark.createDataFrame([(big, "some words"), (None, "other words here"), (big + 1, "")], "doc_id bigint, text string").coalesce(1)
+    from tabulith.llm import packing
+
+    got = packing.pack(packing.token_counts(docs, "doc_id", "text"), "doc_id", "n_tokens").collect()
+    assert {r.doc_id for r in got} == {big, None, big + 1}
