@@ -105,6 +105,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if what it reads comes in fewer parts, as a file of one row group does; else, and where it was shuffled anyway, as it is. For work on
+    rows that takes far longer than moving them."""
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; of a written table it is the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
