@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm.text import words
-from tabulith.session import materialize, new_dir
+from tabulith.session import materialize, new_dir, spread
 from tabulith.sources.filesystem import filesystem
 
 WINDOW = 12
@@ -462,5 +462,5 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                         hits = index.leaks(texts[b : b + 500])
                         yield pd.DataFrame({"d": [ids[b + k] for k, *_ in hits], "item_id": [index.ids[i] for _, i, *_ in hits], "n_words": [m for _, _, m, _ in hits]})
 
-    found = src.mapInPandas(find, f"d {kind}, item_id bigint, n_words int")
+    found = spread(src).mapInPandas(find, f"d {kind}, item_id bigint, n_words int")
     return found.groupBy(F.col("d").alias(doc_id), "item_id").agg(F.max("n_words").alias("n_words"))

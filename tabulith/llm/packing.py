@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulith.session import materialize
+from tabulith.session import materialize, spread
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -216,7 +216,7 @@ def token_counts(docs: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=["d", "n_tokens"])
 
     src = docs.select(F.col(id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return src.mapInArrow(count, f"d {src.schema['d'].dataType.simpleString()}, n_tokens bigint").withColumnRenamed("d", id)
+    return spread(src).mapInArrow(count, f"d {src.schema['d'].dataType.simpleString()}, n_tokens bigint").withColumnRenamed("d", id)
 
 
 def pack(sized: DataFrame, id: str, size: str, capacity: int = CAPACITY) -> DataFrame:  # noqa: A002

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tabulith.llm.contamination import WINDOW, Items, ItemStore, _items, item_blocks  # noqa: F401
 from tabulith.llm.text import CONFUSABLE, TAG, WORD, unescaped
+from tabulith.session import spread
 
 MAX_LABELLED = 5_000
 PAIRS_PER_DOC = 200
@@ -476,5 +477,5 @@ def reading_levels(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
                 yield pd.DataFrame({"doc_id": part["d"].to_numpy(), "own_words": n, "english": english, "score": np.where(english, score, np.nan), "level": np.where(english, model.level(score) if model else np.nan, np.nan)})
 
     kind = src.schema["d"].dataType.simpleString()
-    out = src.mapInPandas(run, f"doc_id {kind}, own_words int, english boolean, score double, level double")
+    out = spread(src).mapInPandas(run, f"doc_id {kind}, own_words int, english boolean, score double, level double")
     return out.select("doc_id", "own_words", "english", F.nanvl("score", F.lit(None).cast("double")).alias("score"), F.nanvl("level", F.lit(None).cast("double")).alias("level")).dropDuplicates(["doc_id"])
