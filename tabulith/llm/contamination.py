@@ -39,7 +39,9 @@ LEAST_WEIGHT_SHARE = 0.75  # of a slightly altered passage's own weight
 FAR = 40
 BAND = 8
 CHUNK = 4_096
-LOOKUPS = 1 << 22  # pairs of fingerprints compared at a time
+SLAB = 1 << 14  # windows looked up at a time
+RUNS = 1_024  # windows fingerprinted at a time
+LOOKUPS = 1 << 16  # pairs of fingerprints compared at a time
 SEED = 4  # of WINDOW words of which ALTERED were altered, so many always stand unbroken
 ITEM_BLOCK = 20_000
 TABLE_BYTES = 24 << 20  # of the windows in the index's buckets, whose fingerprints take twice that beside them; what does not fit is looked up from the other side
@@ -105,6 +107,10 @@ class Items:
         code = np.concatenate(seeds or [np.zeros(0, np.uint64)])
         order = np.argsort(code, kind="stable")
         self.seeds = code[order]
+        bits = min(22, len(code).bit_length() + 4)
+        # which first bits of a code the items' codes have: most others need no search
+        self.seed_shift, self.seed_marks = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.seed_marks[code >> self.seed_shift] = True
         self.seed_item = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])[order]
         self.seed_at = np.concatenate([np.arange(len(x)) for x in seeds] or [np.zeros(0, np.int64)])[order]
         pad = np.full(WINDOW, -1, np.int32)
@@ -125,6 +131,17 @@ class Items:
             out[a : a + CHUNK] = _pack(self.signs[rows[a : a + CHUNK]].sum(axis=1, dtype=np.int32))
         return out
 
+    def _hash_runs(self, toks: np.ndarray) -> np.ndarray:
+        """The fingerprints of all windows of ``toks``, one after another."""
+        n = len(toks) - WINDOW + 1
+        out = np.zeros(n, dtype=np.uint64)
+        for a in range(0, n, RUNS):
+            one = self.signs.take(toks[a : a + RUNS + WINDOW - 1], axis=0, mode="clip")
+            two = one[:-1] + one[1:]
+            four = two[:-2] + two[2:]
+            out[a : a + RUNS] = _pack(four[:-8] + four[4:-4] + four[8:])
+        return out
+
     def _table(self, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first entry of each bucket, windows by bucket, their fingerprints)."""
         key = (self.hashes >> np.uint64(block * BLOCK_BITS)).astype(np.uint32) & np.uint32(0xFFFF)
@@ -155,31 +172,33 @@ class Items:
         dense[doc[:n][ok & (many >= WINDOW // 2)]] = True
         ok &= dense[doc[:n]]
         found = []
-        for a in range(0, n, CHUNK):
-            at = np.flatnonzero(ok[a : a + CHUNK])
+        for a in range(0, n, SLAB):
+            at = np.flatnonzero(ok[a : a + SLAB])
             if not len(at):
                 continue
-            own = toks[a : min(n, a + CHUNK) + WINDOW - 1]
-            sums = np.zeros((len(own) + 1, 64), dtype=np.int16)
-            np.cumsum(self.signs[own], axis=0, dtype=np.int16, out=sums[1:])  # may wrap around; differences are right
-            h = _pack(sums[WINDOW:] - sums[:-WINDOW])[at]
+            h = self._hash_runs(toks[a : min(n, a + SLAB) + WINDOW - 1])[at]
             at += a
             pos, win = [], []
             for b, (first, entries, prints) in enumerate(self.tables):
-                own = (h >> np.uint64(b * BLOCK_BITS)).astype(np.uint32) & np.uint32(0xFFFF)
+                own = (h >> np.uint64(b * BLOCK_BITS)).astype(np.uint16)
+                order = np.argsort(own, kind="stable")  # neighbours in the table follow one another
+                own, sorted_ = own[order].astype(np.uint32), h[order]
                 for mask in _masks(BLOCK_RADIUS - self.spread):
                     key = own ^ mask
-                    size = first[key + 1] - first[key]
+                    begin = first[key]
+                    size = first[key + 1] - begin
                     ends = np.cumsum(size)
-                    cuts = np.searchsorted(ends, np.arange(LOOKUPS, ends[-1], LOOKUPS)) + 1  # crowded buckets: fewer windows at a time
+                    cuts = np.searchsorted(ends, np.arange(LOOKUPS, ends[-1], LOOKUPS)) + 1  # as many as the processor's cache holds
                     for x, y in zip([0, *cuts], [*cuts, len(key)], strict=True):
                         if x < y:
                             n_ = size[x:y]
-                            to = np.cumsum(n_)
-                            at_ = np.repeat((first[key[x:y]] - to + n_).astype(np.int32), n_)
-                            at_ += np.arange(to[-1], dtype=np.int32)
-                            near = np.flatnonzero(np.bitwise_count(np.repeat(h[x:y], n_) ^ prints[at_]) <= RADIUS)
-                            pos.append(x + np.searchsorted(to, near, side="right"))
+                            to = ends[x:y] - (ends[x - 1] if x else 0)
+                            at_ = np.repeat(begin[x:y] - to + n_, n_)
+                            at_ += np.arange(to[-1])
+                            differ = prints.take(at_, mode="clip")  # all are in range; this mode is the fast one
+                            differ ^= np.repeat(sorted_[x:y], n_)
+                            near = np.flatnonzero(np.bitwise_count(differ) <= RADIUS)
+                            pos.append(order[x + np.searchsorted(to, near, side="right")])
                             win.append(entries[at_[near]])
             code = np.unique(np.concatenate(pos).astype(np.int64) * len(self.windows) + np.concatenate(win))
             if len(code):
@@ -237,8 +256,9 @@ class Items:
         if n <= 0 or not len(self.seeds):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         known = np.concatenate([[0], np.cumsum(toks > 0)])
-        at = np.flatnonzero((doc[:n] == doc[SEED - 1 :]) & (known[SEED:] - known[:n] == SEED))
-        code = _codes(toks, SEED)[at]
+        code = _codes(toks, SEED)
+        at = np.flatnonzero((doc[:n] == doc[SEED - 1 :]) & (known[SEED:] - known[:n] == SEED) & self.seed_marks[code >> self.seed_shift])
+        code = code[at]
         lo = np.searchsorted(self.seeds, code)
         size = np.searchsorted(self.seeds, code, side="right") - lo
         p = np.repeat(at, size)

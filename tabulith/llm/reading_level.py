@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm.contamination import WINDOW, Items, ItemStore, _items, item_blocks  # noqa: F401
-from tabulith.llm.text import CONFUSABLE, TAG, WORD, unescaped
+from tabulith.llm.text import CONFUSABLE, TAG, WORD, plain_words, unescaped
 from tabulith.session import spread
 
 MAX_LABELLED = 5_000
@@ -47,10 +47,14 @@ BREAK = re.compile(r"(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|h\d|tr|table)\b[^>]*>")
 BB = re.compile(r"\[/?[A-Za-z*]+(?:=[^\]\n]{0,200})?\]")
 SIGNATURE = re.compile(r"\n[ \t]*(?:-{2,3}|_{3,}|={3,})[ \t]*\n(?=((?:[^\n]*\n?){1,6})\Z)")
 URL = re.compile(r"(?i)\b(?:https?://|www\.)\S+|\b[\w-]+\.(?:com|org|net|info|invalid|example|test)\b\S*")
+# One of these is in every ASCII text that URL matches.
+URL_MARKS = ("://", "www.", ".com", ".org", ".net", ".info", ".invalid", ".example", ".test")
 DIGIT = re.compile(r"\d")
+PLAIN_DIGIT = re.compile(r"[0-9]")  # the same of ASCII texts, faster
 NUMBERED = re.compile(r"(?<!\S)[^\s\d]*\d")
 LONG = re.compile(r"\S{41}")
 SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n\s*\n")
+ENDED = re.compile(r"[.!?]([\"')\]]*\s+)")  # the first kind of SENTENCE, found by the mark
 VOWELS = re.compile(r"[aeiouy]+")
 WRAP = re.compile(r"(?<=\w)-\n(?=\w)")
 
@@ -97,14 +101,33 @@ def _sentences(text: str | None) -> list[str]:
     if "-\n" in t:
         t = WRAP.sub("", t)
     if "." in t:
-        t = URL.sub(" ", t)
-    if DIGIT.search(t) or LONG.search(t):
+        t = _unlinked(t)
+    if (PLAIN_DIGIT if t.isascii() else DIGIT).search(t) or max(map(len, t.split()), default=0) > 40:
         t = "\n".join("" if (len(x) > 40 and LONG.search(x)) or (DIGIT.search(x) and len(NUMBERED.findall(x)) * 3 > len(x.split())) else x for x in t.split("\n"))
     t = t.replace("_", "").replace("*", "")
     paragraphs = [p for p in re.split(r"\n\s*\n", t) if p.strip()]
     if len(paragraphs) > 1 and len(paragraphs[-1].split()) < 12 and len(SENTENCE.split(paragraphs[-1].strip())) == 1 and "\n" not in paragraphs[-1].strip():
         paragraphs.pop()
-    return [s.strip() for p in paragraphs for s in SENTENCE.split(p) if s]
+    return [s.strip() for p in paragraphs for s in _cut(p) if s]
+
+
+def _unlinked(t: str) -> str:
+    """``URL.sub(" ", t)``; the pattern runs only where a mark of it is there."""
+    if t.isascii():
+        low = t.lower()
+        if not any(m in low for m in URL_MARKS):
+            return t
+    return URL.sub(" ", t)
+
+
+def _cut(paragraph: str) -> list[str]:
+    """``SENTENCE.split(paragraph)`` of a text without empty lines."""
+    out, a = [], 0
+    for m in ENDED.finditer(paragraph):
+        out.append(paragraph[a : m.start(1)])
+        a = m.end()
+    out.append(paragraph[a:])
+    return out
 
 
 class _Words(dict):
@@ -143,6 +166,8 @@ def post_of(text: str | None) -> Post:
 
 
 def tokens(sentence: str) -> list[str]:
+    if sentence.isascii():
+        return plain_words(sentence)
     s = sentence.lower()
     return WORD.findall(s if s.isascii() else s.translate(CONFUSABLE))
 

@@ -15,6 +15,13 @@ BBCODE = re.compile(r"\[/?[A-Za-z*]+(?:=[^\]\n]{0,200})?\]")
 QUOTED = re.compile(r"(?m)^[ \t]*(?:[A-Za-z]{0,3}>[ \t]?)+")
 BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
+# What each ASCII character is to WORD, letters in lower case.
+PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(128)
+
+
+def plain_words(text: str) -> list[str]:
+    """``WORD.findall(text.lower())`` of an ASCII text, in a fraction of its time."""
+    return text.encode("ascii").translate(PLAIN).decode("ascii").split()
 
 
 def unescaped(text: str) -> str:
@@ -42,5 +49,4 @@ def words(text: str | None) -> list[str]:
         t = QUOTED.sub("", t)
     if "-" in t:
         t = BROKEN.sub("", t)
-    t = t.casefold()
-    return WORD.findall(t if t.isascii() else t.translate(CONFUSABLE))
+    return plain_words(t) if t.isascii() else WORD.findall(t.casefold().translate(CONFUSABLE))

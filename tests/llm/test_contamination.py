@@ -210,3 +210,35 @@ def test_crowded_buckets(items, monkeypatch):
     want = sorted((k, i, m) for k, i, m, _ in ix.leaks(docs))
     monkeypatch.setattr(c, "LOOKUPS", 50)
     assert sorted((k, i, m) for k, i, m, _ in ix.leaks(docs)) == want and len(want) == 1000
+
+
+def test_windows_are_looked_up_in_the_order_of_the_table(items, monkeypatch):
+    """Neighbours in the table follow one another, however windows are cut; what is found is the same."""
+    ix, r = index(items), random.Random(19)
+    texts = [words(" ".join([text(r, r.randint(0, 30)), " ".join(words(r.choice(items)[1])[3:20]), text(r, 15)])) for _ in range(40)]
+    coded = [ix.encode(t) for t in texts]
+    toks, doc = np.concatenate(coded), np.repeat(np.arange(len(coded)), [len(x) for x in coded])
+    assert ix._hash_runs(toks).tolist() == ix._hash_rows(np.lib.stride_tricks.sliding_window_view(toks, c.WINDOW)).tolist()
+
+    class Table(np.ndarray):
+        def __getitem__(self, k):
+            if getattr(k, "ndim", 0):
+                asked.append(np.asarray(k))
+            return np.asarray(self)[k]
+
+    asked, tables = [], ix.tables
+    want = [x.tolist() for x in ix.candidates(toks, doc)], ix.leaks(texts)
+    ix.tables = [(first.view(Table), *rest) for first, *rest in tables]
+    ix.candidates(toks, doc)
+    assert ix.spread == c.BLOCK_RADIUS and asked and all((np.diff(k.astype(int)) >= 0).all() for k in asked)
+    ix.tables = tables
+    for slab, runs, lookups in ((7, 3, 5), (64, 1, 1 << 20), (13, 50, 40)):
+        for name, n in (("SLAB", slab), ("RUNS", runs), ("LOOKUPS", lookups)):
+            monkeypatch.setattr(c, name, n)
+        assert ([x.tolist() for x in ix.candidates(toks, doc)], ix.leaks(texts)) == want and want[1]
+
+
+def test_seeds_without_a_code_of_an_item_are_not_searched(items):
+    ix = index(items)
+    assert ix.seed_marks[ix.seeds >> ix.seed_shift].all() and ix.seed_marks.mean() < 0.1
+    assert c.Items([], []).leaks([words(items[0][1])]) == []

@@ -97,3 +97,25 @@ def test_pasted_item_with_every_sixth_word_altered():
     own = "We walked to the station early because the bus was late again."
     posts = m._own(pd.DataFrame({"t": [f"{own} {pasted} {own}"]}), index)
     assert [w for t in posts[0][1] for w in t if w == "zebra"] == [] and len(posts[0][0]) == 2
+
+
+class Unused:
+    def sub(self, *_):
+        raise AssertionError("the pattern of links ran on a text without any")
+
+
+def test_patterns_run_only_where_they_can_match(monkeypatch):
+    r = random.Random(11)
+    parts = ["a", "Bc", "7", ".", "!", "?", '"', "'", ")", "]", " ", "\n", "\t", "\x1f", "\x85", "\u2003", "www.", "http", "://", ".Com", ".net", "x.\u0131nfo", "-", "_", "\u00e9", "\u0130"]
+    for _ in range(3_000):
+        t = "".join(r.choices(parts, k=r.randint(0, 30)))
+        assert m._unlinked(t) == m.URL.sub(" ", t)
+        for p in m.re.split(r"\n\s*\n", t):
+            assert m._cut(p) == m.SENTENCE.split(p)
+        assert (max(map(len, t.split()), default=0) > 4) == bool(m.re.search(r"\S{5}", t))
+        low = t.lower()
+        assert m.tokens(t) == m.WORD.findall(low if low.isascii() else low.translate(m.CONFUSABLE))
+    every = "".join(map(chr, range(128)))
+    assert m.tokens(" ".join(every) + every) == m.WORD.findall((" ".join(every) + every).lower())
+    monkeypatch.setattr(m, "URL", Unused())
+    assert m.own_prose("It ended. Then it rained all day, and the next one too.") == ["It ended.", "Then it rained all day, and the next one too."]
